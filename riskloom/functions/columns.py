@@ -60,6 +60,11 @@ def calendar_parts(time: Column) -> dict[str, Column]:
     }
 
 
+def epoch_seconds(time: str | Column) -> Column:
+    """Timestamp as seconds since 1970, independent of the session time zone for zone-less times."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), _column(time)) / 1e6
+
+
 def elapsed_bucket(seconds: Column) -> Column:
     """Number of the two-hour bucket holding an elapsed time."""
     return F.floor(seconds / SECONDS_PER_TREND_BUCKET).cast("int")

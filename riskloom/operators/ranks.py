@@ -76,6 +76,7 @@ def locate_ranks(
     ranks: Mapping[str, Column],
     keys: Sequence[str] = (),
     buckets: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Values found at given 1-based ranks of each column, per key group.
 
@@ -88,7 +89,7 @@ def locate_ranks(
     collapse in the map-side combine of both passes.
     """
     keys = list(keys)
-    rows, groups = _size_up(df, keys)
+    rows, groups = (rows, 1) if rows and not keys else _size_up(df, keys)
     buckets = buckets or bucket_count(df)
     cuts = boundaries(df, columns, buckets, rows)
     names = {c: f"__bucket_{i}" for i, c in enumerate(columns)}

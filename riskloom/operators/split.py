@@ -84,25 +84,31 @@ def time_cuts(df: DataFrame, time: str, target: str | None = None) -> TimeCuts:
     first_target, second_target = round(n * TRAIN_SHARE), round(n * UP_TO_VALIDATION_SHARE)
 
     def tie_groups(*wanted: int) -> dict[int, tuple[float, int, int]]:
-        found = locate_ranks(clean, ["t"], {str(r): F.lit(r) for r in set(wanted)}).collect()
+        found = locate_ranks(clean, ["t"], {str(r): F.lit(r) for r in set(wanted)}, rows=n).collect()
         return {r.rank: (r.value, r.n_below, r.n_upto) for r in found}
 
     aim = min(max(first_target, 1), n - 2)
     groups = tie_groups(aim, second_target)
-    value, below, upto = groups[aim]
+    first_value, below, upto = groups[aim]
     first = _nearest(below, upto, first_target, 1, n - 2)
     if first is None:
         raise failure
+    first_ends_group = first == upto
     aim = min(max(second_target, first + 1), n - 1)
     if aim not in groups:
         groups |= tie_groups(aim)
-    _, below, upto = groups[aim]
+    second_value, below, upto = groups[aim]
     second = _nearest(below, upto, second_target, first + 1, n - 1)
     if second is None:
         raise failure
-    ends = tie_groups(first, first + 1, second, second + 1)
-    return TimeCuts(ends[first][0], ends[first + 1][0], ends[second][0], ends[second + 1][0],
-                    first, second - first, n - second)
+    # A cut lies just after or just before its tie group; the time on its other side is one min or max away.
+    edges = clean.agg(*[
+        e for i, v in enumerate((first_value, second_value)) for e in (
+            F.max(F.when(F.col("t") < v, F.col("t"))).alias(f"before{i}"), F.min(F.when(F.col("t") > v, F.col("t"))).alias(f"after{i}"))
+    ]).first()
+    first_pair = (first_value, edges.after0) if first_ends_group else (edges.before0, first_value)
+    second_pair = (second_value, edges.after1) if second == upto else (edges.before1, second_value)
+    return TimeCuts(*first_pair, *second_pair, first, second - first, n - second)
 
 
 def chronological_split(df: DataFrame, time: str, target: str | None = None) -> tuple[DataFrame, TimeCuts]:

@@ -13,7 +13,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with label y (error events), a 0-1 score, and seconds since the first event."""
     return read(spark, folder, "events").withColumns({
         "y": (F.col("event_type") == "error").cast("int"),
-        "score": F.least(F.round(F.col("value") / 500, 2), F.lit(1.0)),
+        "score": F.least(F.floor(F.col("value") / 5) / 100, F.lit(1.0)),
     })
 
 
