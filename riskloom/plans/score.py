@@ -86,8 +86,8 @@ def shapley_linear(spark: SparkSession, folder: str) -> DataFrame:
         return df.withColumn("score", sum((F.col("x")[i] * LINEAR[n] for i, n in enumerate(names)), F.lit(20.0)))
 
     out = explain.shapley_values(cases, "o_orderkey", names, background, score_rows, max_evals=27, seed=SEED)
-    return out.select("o_orderkey", F.round("score", 4).alias("score"), F.round("baseline_score", 4).alias("baseline_score"),
-                      *[(F.round(F.col("shap")[i], 4) + 0.0).alias(f"phi_{n}") for i, n in enumerate(names)], "additive")
+    return out.select("o_orderkey", F.round("score", 6).alias("score"), F.round("baseline_score", 6).alias("baseline_score"),
+                      *[(F.round(F.col("shap")[i], 6) + 0.0).alias(f"phi_{n}") for i, n in enumerate(names)], "additive")
 
 
 SHAPLEY_LINEAR_SQL = f"""
@@ -95,9 +95,9 @@ WITH f AS (SELECT o_orderkey, o_totalprice AS price, CAST(isodow(o_orderdate) -
                   CAST(month(o_orderdate) AS DOUBLE) AS month, CAST(day(o_orderdate) AS DOUBLE) AS day FROM orders),
 b AS (SELECT avg(price) AS price, avg(weekday) AS weekday, avg(month) AS month, avg(day) AS day FROM (
   SELECT * FROM f ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-{SEED}') LIMIT {LINEAR_BACKGROUND}))
-SELECT o_orderkey, round({' + '.join(f'f.{n} * {c}::DOUBLE' for n, c in LINEAR.items())} + 20, 4) AS score,
-       round({' + '.join(f'b.{n} * {c}::DOUBLE' for n, c in LINEAR.items())} + 20, 4) AS baseline_score,
-       {', '.join(f"round((f.{n} - b.{n}) * {c}::DOUBLE, 4) + 0.0 AS phi_{n}" for n, c in LINEAR.items())},
+SELECT o_orderkey, round({' + '.join(f'f.{n} * {c}::DOUBLE' for n, c in LINEAR.items())} + 20, 6) AS score,
+       round({' + '.join(f'b.{n} * {c}::DOUBLE' for n, c in LINEAR.items())} + 20, 6) AS baseline_score,
+       {', '.join(f"round((f.{n} - b.{n}) * {c}::DOUBLE, 6) + 0.0 AS phi_{n}" for n, c in LINEAR.items())},
        true AS additive
 FROM f, b
 """
