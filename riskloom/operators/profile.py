@@ -75,8 +75,9 @@ def numeric_summary_by_class(df: DataFrame, columns: Sequence[str], target: str)
     )
     frame = _labels(df, "label").select("label", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
     keys = ["label", "column_name"]
+    # Both sides hold one row per class and named column, whatever the table size.
     return (
-        frame.join(moments, keys, "left").join(quantiles, keys, "left")
+        frame.join(F.broadcast(moments), keys, "left").join(F.broadcast(quantiles), keys, "left")
         .select("column_name", "label", F.coalesce("value_count", F.lit(0)).alias("value_count"),
                 "mean", "median", "p95", "highest")
     )
@@ -93,7 +94,8 @@ def component_stats(df: DataFrame, components: Sequence[str], target: str) -> Da
         F.count("cell.value").alias("value_count"), finite_or_null(F.avg("cell.value")).alias("mean"),
         F.stddev_samp("cell.value").alias("deviation"),
     )
-    return moments.join(medians, ["label", "column_name"], "left").select(
+    # One row per class and component on both sides.
+    return moments.join(F.broadcast(medians), ["label", "column_name"], "left").select(
         F.col("column_name").alias("component"), "label", "value_count", "mean", "deviation", "median")
 
 
@@ -114,7 +116,7 @@ def amount_distribution(df: DataFrame, amount: str, target: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(e) for e in edges[:-1]]), F.col("id").cast("int") + 1).alias("lower"),
         F.element_at(F.array(*[F.lit(e) for e in edges[1:]]), F.col("id").cast("int") + 1).alias("upper"),
     )
-    return bins.join(counts, "bin", "left").select(
+    return bins.join(F.broadcast(counts), "bin", "left").select(  # at most ten rows
         "bin", "lower", F.when(F.col("bin") < AMOUNT_BINS - 1, F.col("upper")).alias("upper"),
         F.coalesce("legitimate", F.lit(0)).alias("legitimate"), F.coalesce("fraud", F.lit(0)).alias("fraud"),
     ).orderBy("bin")
@@ -140,12 +142,16 @@ def density_histogram(df: DataFrame, value: str, target: str, bins: int) -> Data
 
     start = per_class(0)
     width = (per_class(1) - per_class(0)) / bins
-    # Compared with the edges themselves, so a value on an edge never lands one bin off.
-    number = sum(((F.col("v") >= i * width + start).cast("int") for i in range(1, bins)), F.lit(0))
-    counts = classed.groupBy("label", number.alias("bin")).agg(F.count(F.lit(1)).alias("row_count"))
+    placed = classed.select("label", "v", start.alias("start"), width.alias("width"),
+                            F.least(F.floor((F.col("v") - start) / width), F.lit(bins - 1)).cast("int").alias("guess"))
+    # The division can miss by one on an edge, so the guess is settled against the edges themselves.
+    below = F.col("v") < F.col("guess") * F.col("width") + F.col("start")
+    above = (F.col("guess") < bins - 1) & (F.col("v") >= (F.col("guess") + 1) * F.col("width") + F.col("start"))
+    number = F.col("guess") + F.when(below, -1).when(above, 1).otherwise(0)
+    counts = placed.groupBy("label", number.alias("bin")).agg(F.count(F.lit(1)).alias("row_count"))
     frame = df.sparkSession.range(bins).select(
         F.col("id").cast("int").alias("bin"), F.explode(F.array(*[F.lit(k) for k in sorted(flat)])).alias("label"))
-    filled = frame.join(counts, ["label", "bin"], "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+    filled = frame.join(F.broadcast(counts), ["label", "bin"], "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
     return filled.select(
         "label", "bin", (F.col("bin") * width + start).alias("lower"), "row_count",
         (F.col("row_count") / (per_class(2) * width)).alias("density"),

@@ -8,7 +8,7 @@ from riskloom.functions.columns import calendar_parts, epoch_seconds, is_alert,
 from riskloom.operators import explain, iforest, investigate, metrics, models, payload, scoring, split
 from riskloom.operators.features import FeatureState, fit_features, transform_features
 from riskloom.operators.ranks import bottom_by_digest
-from riskloom.plans.tables import events, lines, orders, read
+from riskloom.plans.tables import events, lines, orders, read, spread
 
 SEED = 42
 
@@ -112,7 +112,7 @@ _PAYLOAD_SQL = """CASE
 
 
 def strict_payload(spark: SparkSession, folder: str) -> DataFrame:
-    df = read(spark, folder, "orders").select("o_orderkey", F.expr(_PAYLOAD_SQL).alias("body"))
+    df = spread(read(spark, folder, "orders")).select("o_orderkey", F.expr(_PAYLOAD_SQL).alias("body"))
     out = payload.parse_payloads(df, "body", ["Time", "Amount"])
     return out.select("o_orderkey", "reject_reason", F.col("Time").alias("time"), F.col("Amount").alias("amount"))
 
@@ -185,7 +185,7 @@ def _prepared_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, Featu
     """Orders with a line roll-up; orders without lines have gaps that the fitted state fills."""
     rollup = read(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).cast("double").alias("line_count"), F.sum("l_extendedprice").alias("line_amount"))
-    df = orders(spark, folder).join(rollup, "o_orderkey", "left").select(
+    df = spread(orders(spark, folder)).join(rollup, "o_orderkey", "left").select(
         "o_orderkey", "y", epoch_seconds("o_orderdate").alias("order_time"), F.col("o_totalprice").alias("price"),
         "line_count", F.round("line_amount", 2).alias("line_amount"))
     parts, _ = split.chronological_split(df, "order_time", "y")

@@ -9,6 +9,15 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than cores (a small file) is dealt out before heavy per-row work.
+
+    Tables large enough to fill the cluster already have more splits and pass through unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with label y (error events), a 0-1 score, and seconds since the first event."""
     return read(spark, folder, "events").withColumns({
