@@ -62,17 +62,23 @@ def category_summary(df: DataFrame, category: str, target: str, *, fill_unknown:
     )
 
 
+def _moments(classed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, mean, deviation and maximum per class and column; columns become rows after the aggregate."""
+    cells = []
+    for c in columns:
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None))
+        cells.append(F.struct(
+            F.lit(c).alias("column_name"), F.count(x).alias("value_count"), finite_or_null(F.avg(x)).alias("mean"),
+            F.stddev_samp(x).alias("deviation"), finite_or_null(F.max(x)).alias("highest")))
+    wide = classed.groupBy("label").agg(F.array(*cells).alias("cells"))
+    return wide.select("label", F.explode("cells").alias("cell")).select("label", "cell.*")
+
+
 def numeric_summary_by_class(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Per column and class: count, mean, median, 95th percentile and maximum, both classes always shown."""
     classed = df.where(F.col(target).isin(0, 1)).select(F.col(target).cast("int").alias("label"), *columns)
     quantiles = exact_quantiles(classed, columns, {"median": 0.5, "p95": 0.95}, ["label"]).drop("total")
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value")) for c in columns
-    ])).alias("cell")
-    moments = classed.select("label", cells).groupBy("label", "cell.column_name").agg(
-        F.count("cell.value").alias("value_count"),
-        finite_or_null(F.avg("cell.value")).alias("mean"), finite_or_null(F.max("cell.value")).alias("highest"),
-    )
+    moments = _moments(classed, columns)
     frame = _labels(df, "label").select("label", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
     keys = ["label", "column_name"]
     # Both sides hold one row per class and named column, whatever the table size.
@@ -87,13 +93,7 @@ def component_stats(df: DataFrame, components: Sequence[str], target: str) -> Da
     """Per component and class: count, mean, sample deviation and median, from a wide table."""
     classed = df.where(F.col(target).isin(0, 1)).select(F.col(target).cast("int").alias("label"), *components)
     medians = exact_quantiles(classed, components, {"median": 0.5}, ["label"]).select("label", "column_name", "median")
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value")) for c in components
-    ])).alias("cell")
-    moments = classed.select("label", cells).groupBy("label", "cell.column_name").agg(
-        F.count("cell.value").alias("value_count"), finite_or_null(F.avg("cell.value")).alias("mean"),
-        F.stddev_samp("cell.value").alias("deviation"),
-    )
+    moments = _moments(classed, components)
     # One row per class and component on both sides.
     return moments.join(F.broadcast(medians), ["label", "column_name"], "left").select(
         F.col("column_name").alias("component"), "label", "value_count", "mean", "deviation", "median")

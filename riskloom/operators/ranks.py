@@ -19,10 +19,10 @@ ROWS_PER_BOUNDARY = 400
 BROADCAST_ROWS = 200_000
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Buckets follow the shuffle partitioning the session was sized with."""
+def bucket_count(df: DataFrame, columns: int = 1) -> int:
+    """Buckets follow the shuffle partitioning the session was sized with, fewer for many columns."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(32, min(MAX_BUCKETS, 4 * partitions))
+    return max(32, min(MAX_BUCKETS, 4 * partitions, 65_536 // columns))
 
 
 def boundaries(df: DataFrame, columns: Sequence[str], buckets: int, rows: int) -> dict[str, list[float]]:
@@ -91,19 +91,20 @@ def locate_ranks(
     """
     keys = list(keys)
     rows, groups = (rows, 1) if rows and not keys else _size_up(df, keys)
-    buckets = buckets or bucket_count(df)
+    buckets = buckets or bucket_count(df, len(columns))
     cuts = boundaries(df, columns, buckets, rows)
     names = {c: f"__bucket_{i}" for i, c in enumerate(columns)}
+    # Columns travel by number; their names come back on the few result rows.
     cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"), F.col(names[c]).alias("bucket"))
-        for c in columns
+        F.struct(F.lit(i).alias("column_no"), F.col(c).cast("double").alias("value"), F.col(names[c]).alias("bucket"))
+        for i, c in enumerate(columns)
     ])).alias("cell")
     long = (
         with_buckets(df.select(*keys, *columns), cuts, names)
         .select(*keys, cells).select(*keys, "cell.*")
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
     )
-    group = [*keys, "column_name"]
+    group = [*keys, "column_no"]
     by_bucket = Window.partitionBy(*group).orderBy("bucket")
     histogram = (
         long.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -132,7 +133,8 @@ def locate_ranks(
     return (
         counted.join(_hint(targets.drop("before"), bound), [*group, "bucket"])
         .where((F.col("rank") > F.col("n_below")) & (F.col("rank") <= F.col("n_upto")))
-        .select(*group, "total", "rank_label", "rank", "value", "n_below", "n_upto")
+        .select(*keys, F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_no") + 1).alias("column_name"),
+                "total", "rank_label", "rank", "value", "n_below", "n_upto")
     )
 
 
@@ -176,6 +178,7 @@ def running_totals(
     `following` also next_<name>, the same sum at the next distinct value (null at the end).
     """
     keys = list(keys)
+    df = df.where(F.col(order).isNotNull())
     rows, groups = _size_up(df, keys)
     buckets = buckets or bucket_count(df)
     cuts = boundaries(df, [order], buckets, rows)

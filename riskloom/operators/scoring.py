@@ -16,6 +16,7 @@ from riskloom.operators.features import FeatureState, assemble, feature_columns
 from riskloom.operators.iforest import ALERT_ABOVE, IsolationForest
 from riskloom.operators.models import DECISION_THRESHOLD, positive_probability
 from riskloom.operators.ranks import running_totals
+from riskloom.session import cut_lineage
 
 # The wording attached to scores and alerts.
 PROBABILITY_BASIS = "uncalibrated model probability × 100"
@@ -125,8 +126,8 @@ def raw_scores(df: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
 
 
 def training_reference(model: IsolationForest, train: DataFrame, state: FeatureState) -> DataFrame:
-    """Raw anomaly scores of the training rows, the reference of the percentile scale."""
-    return train.select(model.score(feature_columns(state)).alias("raw_score"))
+    """Raw anomaly scores of the training rows, the reference of the percentile scale, stored once."""
+    return cut_lineage(train.select(model.score(feature_columns(state)).alias("raw_score")))
 
 
 def _finish(scored: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
@@ -148,7 +149,8 @@ def score_batch(df: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame
         ordered = scorer.reference.toPandas()["raw_score"].to_numpy()  # size checked above
         scored = scored.withColumn("score", percentile_lookup(ordered, F.col("raw_score")))
     else:
-        scored = anomaly_percentile(scored, scorer.reference, "raw_score", out="score")
+        # Ranking reads the raw scores several times, so the model's output is stored once.
+        scored = anomaly_percentile(cut_lineage(scored), scorer.reference, "raw_score", out="score")
     return _finish(scored, scorer, keep)
 
 

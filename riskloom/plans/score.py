@@ -9,6 +9,7 @@ from riskloom.operators import explain, iforest, investigate, metrics, models, p
 from riskloom.operators.features import FeatureState, fit_features, transform_features
 from riskloom.operators.ranks import bottom_by_digest
 from riskloom.plans.tables import events, lines, orders, read, spread
+from riskloom.session import cut_lineage
 
 SEED = 42
 
@@ -163,6 +164,8 @@ def _evaluated(spark: SparkSession, folder: str, name: str, **settings) -> DataF
     model = models.FITTERS[name](models.training_rows(parts, state, "y"), **settings)
     scorer = scoring.build_scorer(name, model, state, score_kind="probability")
     scored = scoring.score_batch(parts.where(F.col("split") != "train"), scorer, ["split", "y"])
+    # Every metric reads the scores, so the model's output is stored once.
+    scored = cut_lineage(scored.select("model_name", "split", "y", "raw_score", "model_alert"))
     return metrics.evaluate_models(scored, "y", "raw_score", "model_alert")
 
 
@@ -185,9 +188,10 @@ def _prepared_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, Featu
     """Orders with a line roll-up; orders without lines have gaps that the fitted state fills."""
     rollup = read(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).cast("double").alias("line_count"), F.sum("l_extendedprice").alias("line_amount"))
-    df = spread(orders(spark, folder)).join(rollup, "o_orderkey", "left").select(
+    df = orders(spark, folder).join(rollup, "o_orderkey", "left").select(
         "o_orderkey", "y", epoch_seconds("o_orderdate").alias("order_time"), F.col("o_totalprice").alias("price"),
         "line_count", F.round("line_amount", 2).alias("line_amount"))
+    df = spread(cut_lineage(df))  # the join feeds cuts, fits, references and scores
     parts, _ = split.chronological_split(df, "order_time", "y")
     return parts, fit_features(parts.where(F.col("split") == "train"), ORDER_FEATURES)
 
