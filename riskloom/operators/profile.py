@@ -64,12 +64,16 @@ def category_summary(df: DataFrame, category: str, target: str, *, fill_unknown:
 
 def _moments(classed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation and maximum per class and column; columns become rows after the aggregate."""
+    def finite(value: str) -> str:
+        return f"CASE WHEN NOT isnan({value}) AND abs({value}) <> double('infinity') THEN {value} END"
+
+    # One SQL text per column: tables with many components would spend longer on building expressions.
     cells = []
     for c in columns:
-        x = F.nanvl(F.col(c).cast("double"), F.lit(None))
-        cells.append(F.struct(
-            F.lit(c).alias("column_name"), F.count(x).alias("value_count"), finite_or_null(F.avg(x)).alias("mean"),
-            F.stddev_samp(x).alias("deviation"), finite_or_null(F.max(x)).alias("highest")))
+        x = f"nanvl(CAST(`{c}` AS DOUBLE), NULL)"
+        cells.append(F.expr(
+            f"named_struct('column_name', '{c}', 'value_count', count({x}), 'mean', {finite(f'avg({x})')}, "
+            f"'deviation', stddev_samp({x}), 'highest', {finite(f'max({x})')})"))
     wide = classed.groupBy("label").agg(F.array(*cells).alias("cells"))
     return wide.select("label", F.explode("cells").alias("cell")).select("label", "cell.*")
 

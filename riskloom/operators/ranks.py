@@ -47,16 +47,15 @@ def with_buckets(df: DataFrame, cuts: Mapping[str, Sequence[float]], names: Mapp
     usable = [c for c in columns if cuts[c]]
     if usable:
         doubles = {c: f"__double_{i}" for i, c in enumerate(usable)}
-        out = out.withColumns({doubles[c]: F.col(c).cast("double") for c in usable})
+        out = out.selectExpr("*", *[f"CAST(`{c}` AS DOUBLE) AS `{doubles[c]}`" for c in usable])
         out = Bucketizer(
             inputCols=[doubles[c] for c in usable],
             outputCols=[names[c] for c in usable],
             splitsArray=[[-math.inf, *cuts[c], math.inf] for c in usable],
             handleInvalid="keep",
-        ).transform(out).drop(*doubles.values())
-    return out.withColumns({
-        names[c]: F.col(names[c]).cast("int") if c in usable else F.lit(0) for c in columns
-    })
+        ).transform(out)
+    buckets = [f"CAST(`{names[c]}` AS INT) AS `{names[c]}`" if c in usable else f"0 AS `{names[c]}`" for c in columns]
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], *buckets)
 
 
 def _size_up(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -94,11 +93,11 @@ def locate_ranks(
     buckets = buckets or bucket_count(df, len(columns))
     cuts = boundaries(df, columns, buckets, rows)
     names = {c: f"__bucket_{i}" for i, c in enumerate(columns)}
-    # Columns travel by number; their names come back on the few result rows.
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("column_no"), F.col(c).cast("double").alias("value"), F.col(names[c]).alias("bucket"))
-        for i, c in enumerate(columns)
-    ])).alias("cell")
+    # Columns travel by number; their names come back on the few result rows. One SQL text keeps
+    # planning quick for wide tables.
+    cells = F.expr("explode(array(" + ", ".join(
+        f"named_struct('column_no', {i}, 'value', CAST(`{c}` AS DOUBLE), 'bucket', `{names[c]}`)" for i, c in enumerate(columns)
+    ) + "))").alias("cell")
     long = (
         with_buckets(df.select(*keys, *columns), cuts, names)
         .select(*keys, cells).select(*keys, "cell.*")

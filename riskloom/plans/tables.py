@@ -46,7 +46,6 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 def embedding_components(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
     """Embeddings as one column per component with a two-class label (upper half of the labels)."""
     names = [f"c{i:02d}" for i in range(64)]
-    df = read(spark, folder, "embeddings").select(
-        "vec_id", (F.col("label") >= 5).cast("int").alias("y"),
-        *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    df = read(spark, folder, "embeddings").selectExpr(
+        "vec_id", "CAST(label >= 5 AS INT) AS y", *[f"CAST(embedding[{i}] AS DOUBLE) AS {c}" for i, c in enumerate(names)])
     return df, names
