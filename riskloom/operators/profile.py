@@ -10,8 +10,9 @@ from riskloom.functions.columns import (
     clip_upper, elapsed_bucket, elapsed_label, finite_or_null, known_category, parse_time, ratio,
 )
 from riskloom.errors import ValidationError
-from riskloom.operators.quality import combined_copies, missing_by_column
+from riskloom.operators.quality import combined_copies, duplicate_rows, missing_by_column
 from riskloom.operators.ranks import exact_quantiles
+from riskloom.schema import RELATED_TARGET, WIDE_COMPONENTS, WIDE_FEATURES, WIDE_TARGET
 
 AMOUNT_BINS = 10
 
@@ -183,7 +184,43 @@ def table_profile(df: DataFrame, target: str, time: str) -> DataFrame:
     )
 
 
+
+def wide_profiles(df: DataFrame) -> dict[str, DataFrame]:
+    """Every descriptive table of the wide data set, by name."""
+    columns = [WIDE_TARGET, *WIDE_FEATURES]
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValidationError(f"The wide table is missing columns needed for profiling: {missing}")
+    return {
+        "overview": kpi_overview(df, WIDE_TARGET, "Amount"),
+        "missing": missing_by_column(df),
+        "duplicates": duplicate_rows(df),
+        "by_class": numeric_summary_by_class(df, ["Amount", "Time"], WIDE_TARGET),
+        "components": component_stats(df, list(WIDE_COMPONENTS), WIDE_TARGET),
+        "trend": elapsed_trend(df, "Time", WIDE_TARGET),
+        "amount_distribution": amount_distribution(df, "Amount", WIDE_TARGET),
+        "amount_density": density_histogram(df, "Amount", WIDE_TARGET, 40),
+        "time_density": density_histogram(df, "Time", WIDE_TARGET, 40),
+    }
+
+
+def related_profiles(df: DataFrame) -> dict[str, DataFrame]:
+    """Every descriptive table of the joined transaction table, by name."""
+    columns = [RELATED_TARGET, "Amount", "TransactionAmount", "Timestamp", "Category"]
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValidationError(f"The transaction table is missing columns needed for profiling: {missing}")
+    return {
+        "overview": kpi_overview(df, RELATED_TARGET, "Amount"),
+        "profile": table_profile(df, RELATED_TARGET, "Timestamp"),
+        "missing": missing_by_column(df),
+        "by_class": numeric_summary_by_class(df, ["Amount", "TransactionAmount"], RELATED_TARGET),
+        "trend": daily_trend(df, "Timestamp", RELATED_TARGET),
+        "categories": category_summary(df, "Category", RELATED_TARGET),
+        "amount_distribution": amount_distribution(df, "Amount", RELATED_TARGET),
+        "amount_density": density_histogram(df, "Amount", RELATED_TARGET, 25),
+    }
+
+
 __all__ = [
-    "amount_distribution", "category_summary", "component_stats", "daily_trend", "density_histogram",
-    "elapsed_trend", "kpi_overview", "missing_by_column", "numeric_summary_by_class", "table_profile",
+    "amount_distribution", "category_summary", "component_stats", "daily_trend", "density_histogram", "elapsed_trend",
+    "kpi_overview", "missing_by_column", "numeric_summary_by_class", "related_profiles", "table_profile", "wide_profiles",
 ]

@@ -177,6 +177,33 @@ def average_precision(spark: SparkSession, folder: str) -> DataFrame:
     return ranking_metrics(spark, folder).drop("roc_auc")
 
 
+def evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Two rival scores of the events, each evaluated per weekday as its own partition."""
+    base = _scored(spark, folder).select("weekday", "y", "score")
+    rival = base.withColumn("score", 1 - F.col("score"))
+    both = base.withColumn("model_name", F.lit("amount")).unionByName(rival.withColumn("model_name", F.lit("inverse")))
+    both = both.withColumns({"alert": (F.col("score") >= 0.5).cast("int"), "split": F.col("weekday")}).drop("weekday")
+    out = metrics.evaluate_models(both, "y", "score", "alert")
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "prevalence", "alert_rate", "roc_auc", "pr_auc")})
+
+
+EVALUATION_SQL = f"""WITH {_SCORED_SQL},
+m AS (SELECT 'amount' AS model_name, weekday AS split, y, score FROM t UNION ALL SELECT 'inverse', weekday, y, 1 - score FROM t),
+c AS (SELECT model_name, split, count(*) AS n, count(*) FILTER (WHERE y = 0 AND score < 0.5) AS tn, count(*) FILTER (WHERE y = 0 AND score >= 0.5) AS fp,
+             count(*) FILTER (WHERE y = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE y = 1 AND score >= 0.5) AS tp FROM m GROUP BY ALL),
+d AS (SELECT model_name, split, score, sum(y) AS pos, sum(1 - y) AS neg FROM m GROUP BY ALL),
+r AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER (PARTITION BY model_name, split) AS ap,
+             sum(neg) OVER (PARTITION BY model_name, split) AS an FROM d WINDOW w AS (PARTITION BY model_name, split ORDER BY score DESC)),
+k AS (SELECT model_name, split, round(sum(neg * (cp - pos / 2.0)) / max(ap * an), 6) AS roc_auc,
+             round(sum(pos * cp / (cp + cn)) / max(ap), 6) AS pr_auc FROM r GROUP BY ALL)
+SELECT c.model_name, c.split, n AS row_count, tn AS true_negative, fp AS false_positive, fn AS false_negative, tp AS true_positive,
+       tp + fp AS predicted_positive, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+       round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+       round((tp + fn) / n, 6) AS prevalence, round((tp + fp) / n, 6) AS alert_rate, roc_auc, pr_auc
+FROM c JOIN k ON c.model_name = k.model_name AND c.split = k.split
+"""
+
+
 def _whole(spark: SparkSession, folder: str) -> DataFrame:
     """A fine score, so that curves have one point per distinct amount."""
     return events(spark, folder).select("y", (F.col("value") / 500).alias("score"))
@@ -220,10 +247,12 @@ QUERIES = {
     "chrono_split": chrono_split, "split_report": split_report, "class_weight": class_weight, "monotone_check": monotone_check,
     "stratified_split": stratified_split, "impute_scale_onehot": impute_scale_onehot, "confusion_metrics": confusion_metrics,
     "roc_auc": roc_auc, "average_precision": average_precision, "roc_curve": roc_curve, "pr_curve": pr_curve,
+    "evaluation": evaluation,
 }
 ORACLES = {
     "chrono_split": CHRONO_SPLIT_SQL, "split_report": SPLIT_REPORT_SQL, "class_weight": CLASS_WEIGHT_SQL,
     "monotone_check": MONOTONE_CHECK_SQL, "stratified_split": STRATIFIED_SPLIT_SQL,
     "impute_scale_onehot": IMPUTE_SCALE_ONEHOT_SQL, "confusion_metrics": CONFUSION_METRICS_SQL,
     "roc_auc": _ranking_sql(_AUC), "average_precision": _ranking_sql(_AP), "roc_curve": ROC_CURVE_SQL, "pr_curve": PR_CURVE_SQL,
+    "evaluation": EVALUATION_SQL,
 }

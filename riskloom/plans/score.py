@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.functions.columns import calendar_parts, epoch_seconds, is_alert, risk_level
-from riskloom.operators import explain, iforest, investigate, metrics, models, payload, scoring, split
+from riskloom.operators import evaluate, explain, iforest, investigate, metrics, models, payload, scoring, split
 from riskloom.operators.features import FeatureState, fit_features, transform_features
 from riskloom.operators.ranks import bottom_by_digest
 from riskloom.plans.tables import events, lines, orders, read, spread
@@ -134,6 +134,21 @@ SELECT o_orderkey, reject_reason, CASE WHEN reject_reason IS NULL THEN CAST(json
        CASE WHEN reject_reason IS NULL THEN CAST(json_extract_string(j, '$.Amount') AS DOUBLE) END AS amount FROM r
 """
 
+def typed_payload(spark: SparkSession, folder: str) -> DataFrame:
+    df = read(spark, folder, "lineitem").select(
+        F.col("l_quantity").alias("Time"), (F.col("l_extendedprice") - 40000).alias("Amount"),
+        F.try_divide(F.col("l_tax"), F.col("l_discount")).alias("V1"), F.log(F.col("l_discount")).alias("V2"))
+    reason = payload.typed_reason(df, ["Time", "V1", "V2", "Amount"])
+    return df.withColumn("reject_reason", reason).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+TYPED_PAYLOAD_SQL = """
+SELECT CASE WHEN l_quantity IS NULL THEN 'feature Time must be a numeric value' WHEN l_quantity < 0 THEN 'feature Time cannot be negative'
+            WHEN l_discount = 0 THEN 'feature V1 must be a numeric value'
+            WHEN l_extendedprice - 40000 < 0 THEN 'feature Amount cannot be negative' END AS reject_reason, count(*) AS row_count
+FROM lineitem GROUP BY 1
+"""
+
 _ID_SQL = """CASE WHEN o_orderstatus = 'F' THEN concat('  case-', o_orderkey, ' ')
   WHEN o_orderpriority = '1-URGENT' THEN '   ' WHEN o_orderpriority = '5-LOW' THEN repeat('x', CAST(o_orderkey % 200 AS INTEGER))
   ELSE CAST(o_orderkey AS {text}) END"""
@@ -214,14 +229,29 @@ def investigation(spark: SparkSession, folder: str) -> DataFrame:
     return investigate.investigate(parts, "o_orderkey", scorer, background, time="order_time", amount="price", top=2, max_evals=21)
 
 
+def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """All three kinds of score on held-out orders, compared in one report."""
+    parts, state = _prepared_orders(spark, folder)
+    train = parts.where(F.col("split") == "train")
+    rows = models.training_rows(parts, state, "y")
+    forest = iforest.fit_isolation_forest(transform_features(train, state, ["o_orderkey"]), "o_orderkey", state.names, trees=50, seed=SEED)
+    scorers = [
+        scoring.build_scorer("logistic_regression", models.fit_logistic(rows), state, score_kind="probability"),
+        scoring.build_scorer("gradient_boosting", models.fit_boosting(rows, maxIter=5, maxDepth=3), state, score_kind="probability"),
+        scoring.build_scorer("isolation_forest", forest, state, score_kind="anomaly",
+                             reference=scoring.training_reference(forest, train, state)),
+    ]
+    return evaluate.compare_scorers(parts, "y", scorers)[0]
+
+
 QUERIES = {
     "risk_bands": risk_bands, "anomaly_percentile": anomaly_percentile, "background_sample": background_sample,
     "top_contributors": top_contributors, "shapley_linear": shapley_linear, "strict_payload": strict_payload, "case_ids": case_ids,
     "logistic": logistic, "random_forest": random_forest, "gbt": gbt, "isolation_forest": isolation_forest,
-    "investigation": investigation,
+    "investigation": investigation, "typed_payload": typed_payload, "model_comparison": model_comparison,
 }
 ORACLES = {
     "risk_bands": RISK_BANDS_SQL, "anomaly_percentile": ANOMALY_PERCENTILE_SQL, "background_sample": BACKGROUND_SAMPLE_SQL,
     "top_contributors": TOP_CONTRIBUTORS_SQL, "shapley_linear": SHAPLEY_LINEAR_SQL, "strict_payload": STRICT_PAYLOAD_SQL,
-    "case_ids": CASE_IDS_SQL,
+    "case_ids": CASE_IDS_SQL, "typed_payload": TYPED_PAYLOAD_SQL,
 }

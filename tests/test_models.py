@@ -6,7 +6,7 @@ from conftest import NAMES, modular_toy, wide_frame
 from pyspark.sql import functions as F
 
 from riskloom.errors import ValidationError
-from riskloom.operators import features, iforest, metrics, models, scoring
+from riskloom.operators import evaluate, features, iforest, metrics, models, scoring
 from riskloom.sinks import bundle, tables as sink
 from riskloom.sources import stored
 
@@ -154,10 +154,14 @@ def test_evaluation_is_stored_and_read_back(spark, tmp_path, prepared, logistic,
     first = scoring.build_scorer("logistic", logistic, state, score_kind="probability")
     second = scoring.build_scorer("forest", forest, state, score_kind="anomaly",
                                   reference=scoring.training_reference(forest, out.where("split = 'train'"), state))
-    held = out.where("split <> 'train'")
-    scored = scoring.score_batch(held, first, ["split", "Class"]).unionByName(scoring.score_batch(held, second, ["split", "Class"]))
-    report = metrics.evaluate_models(scored, "Class", "raw_score", "model_alert")
-    curves = metrics.evaluation_curves(scored, "Class", "raw_score")
+    report, curves = evaluate.compare_scorers(out, "Class", [first, second])
+    assert {r.decision_rule for r in report.collect()} == {
+        "probability >= 0.5 (fixed)", "Isolation Forest native predict cutoff (contamination=auto)"}
+    with pytest.raises(ValidationError, match="unique"):
+        evaluate.check_scorers([first, first])
+    with pytest.raises(ValidationError, match="At least one"):
+        evaluate.check_scorers([])
+    report = report.drop("score_kind", "decision_rule")
     rules = {"logistic": ("probability", metrics.decision_rule("probability", 0.5)), "forest": ("anomaly", metrics.decision_rule("anomaly"))}
     paths = sink.write_evaluation(report, curves, str(tmp_path / "evaluation"), rules)
     view = stored.read_performance(spark, paths["metrics"], "test")

@@ -9,7 +9,7 @@ from tools.check import TABLES, compare
 
 QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
 # Full expected plans of these are Python-side or model fits; they are covered by their own tests too.
-ROWS_ONLY = {"logistic", "random_forest", "gbt", "isolation_forest", "investigation"}
+ROWS_ONLY = {"logistic", "random_forest", "gbt", "isolation_forest", "investigation", "model_comparison"}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,7 @@ def test_matches_sql(spark, duck, name):
 def test_model_queries_return_rows(spark, name):
     df = QUERIES[name](spark, SMALL)
     rows = df.collect()
-    if name in ("logistic", "random_forest", "gbt"):
+    if name in ("logistic", "random_forest", "gbt", "model_comparison"):
         assert {r.split for r in rows} == {"validation", "test"} and all(0 <= r.roc_auc <= 1 for r in rows)
     elif name == "investigation":
         assert len(rows) == spark.read.parquet(f"{SMALL}/orders.parquet").count() and all(r.agrees for r in rows)

@@ -8,6 +8,7 @@ from riskloom.functions.columns import calendar_parts, check_bands, elapsed_labe
 from riskloom.errors import ValidationError
 from riskloom.operators import profile, relations
 from riskloom.schema import WIDE_COMPONENTS
+from riskloom.sinks.tables import write_profiles
 from pyspark.sql import functions as F
 
 
@@ -84,3 +85,13 @@ def test_calendar_and_bands(spark):
     assert df.select(risk_level("s", 25, 65).alias("b"), elapsed_label(F.lit(5)).alias("l")).first().l == "10–12 h"
     with pytest.raises(ValidationError, match="Risk bands"):
         check_bands(70, 30)
+
+
+def test_all_profiles_are_written(spark, tmp_path):
+    paths = write_profiles(profile.related_profiles(joined(spark)), str(tmp_path / "related"))
+    assert spark.read.parquet(paths["trend"]).count() == 2 and spark.read.parquet(paths["amount_density"]).count() == 50
+    wide = wide_frame(spark, 20, lambda r: (r * 500, r, lambda i: r / i, r % 4 == 0))
+    paths = write_profiles(profile.wide_profiles(wide), str(tmp_path / "wide"))
+    assert spark.read.parquet(paths["components"]).count() == 56 and spark.read.parquet(paths["overview"]).first().fraud_transactions == 5
+    with pytest.raises(ValidationError, match="missing columns"):
+        profile.wide_profiles(wide.drop("V7"))

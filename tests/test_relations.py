@@ -64,3 +64,11 @@ def test_hot_key_audit(spark):
     target = spark.range(7, 3100).selectExpr("id AS k")
     row = relations.relationship_audit(source, target, Relation("s", "t", "k")).first()
     assert (row.matched, row.unmatched, row.unreferenced) == (2001, 0, 1092)
+
+
+def test_related_quality_checks(spark):
+    status = {r.check_name: r.status for r in relations.related_quality_checks(related_tables(spark)).collect()}
+    assert status == {"Source table schemas": "passed", "Missing values": "passed", "Exact duplicate rows": "passed",
+                      "Transaction joins": "passed", "Label interpretation": "info"}
+    broken = related_tables(spark, amount_data=RELATED_ROWS["amount_data"] + [(4, 1.0)])
+    assert {r.check_name: r.status for r in relations.related_quality_checks(broken).collect()}["Transaction joins"] == "failed"
