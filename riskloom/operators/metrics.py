@@ -14,10 +14,12 @@ _POSITIVE = "pos"
 _NEGATIVE = "neg"
 
 
-def _sums(label: str) -> dict:
+def _sums(label: str, score: str) -> dict:
+    """Class counts per distinct score; rows without a score count for neither class."""
+    known = F.col(score).isNotNull()
     return {
-        _POSITIVE: F.sum(F.when(F.col(label) == 1, 1).otherwise(0)),
-        _NEGATIVE: F.sum(F.when(F.col(label) == 0, 1).otherwise(0)),
+        _POSITIVE: F.sum(F.when(known & (F.col(label) == 1), 1).otherwise(0)),
+        _NEGATIVE: F.sum(F.when(known & (F.col(label) == 0), 1).otherwise(0)),
     }
 
 
@@ -43,7 +45,7 @@ def confusion_metrics(df: DataFrame, label: str, prediction: str, keys: Sequence
 
 def ranking_metrics(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC (ties count half) and average precision, from one running total over distinct scores."""
-    totals = running_totals(df.select(*keys, score, label), score, _sums(label), keys, descending=True)
+    totals = running_totals(df.select(*keys, score, label), score, _sums(label, score), keys, descending=True)
     pos, neg = F.col(_POSITIVE), F.col(_NEGATIVE)
     cum_pos, cum_neg = F.col("cum_pos"), F.col("cum_neg")
     area = F.sum(neg * (cum_pos - pos / 2.0))
@@ -68,7 +70,7 @@ def _with_totals(points: DataFrame, totals: DataFrame, keys: Sequence[str]) -> D
 
 def roc_curve(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """ROC points by descending score: the origin, then every point that is not on a straight run."""
-    sums = _sums(label) | {"one": F.first(F.lit(1))}
+    sums = _sums(label, score) | {"one": F.first(F.lit(1))}
     points = running_totals(df.select(*keys, score, label), score, sums, keys, descending=True, following=True)
     bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     kept = points.where((F.col("cum_one") == 1) | F.col("next_one").isNull() | bend)
@@ -88,7 +90,7 @@ def pr_curve(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) ->
     `place` counts from the highest score; the closing point has place 0, so ordering by place
     descending gives ascending thresholds with the closing point last.
     """
-    sums = _sums(label) | {"one": F.first(F.lit(1))}
+    sums = _sums(label, score) | {"one": F.first(F.lit(1))}
     points = running_totals(df.select(*keys, score, label), score, sums, keys, descending=True)
     totals = _class_totals(df, label, keys)
     curve = _with_totals(points, totals, keys).select(

@@ -137,13 +137,26 @@ def numeric_coercion(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def require_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns as doubles; raises when a cell is not a number or is infinite."""
-    for row in numeric_coercion(df, columns).collect():
-        if row.non_numeric:
-            raise ValidationError(f"Feature {row.column_name} contains non-numeric values")
-        if row.infinite:
-            raise ValidationError(f"Feature {row.column_name} contains infinite values")
-    return df.withColumns({c: to_number(c) for c in columns})
+    """The columns as doubles; raises when a cell is not a number or is infinite.
+
+    Columns that already hold numbers keep their plain form, so later plans stay small.
+    """
+    types = _types(df)
+    text = [c for c in columns if types[c] == "string"]
+    numbers = [c for c in columns if c not in text]
+    problems = {r.column_name: r for r in numeric_coercion(df, text).collect()} if text else {}
+    for c in text:
+        if problems[c].non_numeric:
+            raise ValidationError(f"Feature {c} contains non-numeric values")
+        if problems[c].infinite:
+            raise ValidationError(f"Feature {c} contains infinite values")
+    if numbers:
+        row = df.agg(*[F.count_if(is_infinite(F.col(c).cast("double"))).alias(c) for c in numbers]).first()
+        for c in numbers:
+            if row[c]:
+                raise ValidationError(f"Feature {c} contains infinite values")
+    casts = {c: to_number(c) for c in text} | {c: F.col(c).cast("double") for c in numbers if types[c] != "double"}
+    return df.withColumns(casts) if casts else df
 
 
 def check_table(df: DataFrame, spec: TableSpec, *, duplicate_policy: str = "report",

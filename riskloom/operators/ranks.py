@@ -173,11 +173,12 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums over the distinct values of `order`, per key group.
 
+    Values of `order` must not be null: a null one gets no running sum. No filter is added here,
+    because filtering on a computed score makes the optimizer repeat that computation.
     Rows are first combined to one per (keys, value). Adds cum_<name> for each sum, and with
     `following` also next_<name>, the same sum at the next distinct value (null at the end).
     """
     keys = list(keys)
-    df = df.where(F.col(order).isNotNull())
     rows, groups = _size_up(df, keys)
     buckets = buckets or bucket_count(df)
     cuts = boundaries(df, [order], buckets, rows)
