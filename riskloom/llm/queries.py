@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import setsketch
+from riskloom.llm import bpe, repetition, setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,58 @@ reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root
 c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
+
+
+def op7_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts, the coverage they come with, and the verdict on every document."""
+    return repetition.judged(_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("covered_words_8").alias("n_repeat_words"), "base_failed", "kept",
+        "dup_line_chars", "covered_chars_5", "covered_chars_8", "covered_chars_12")
+
+
+QUERIES["op7_repetition"] = op7_repetition
+
+ORACLES["op7_repetition"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+grams AS (
+  SELECT doc_id, n, i, words[i : i + n - 1] AS gram FROM p, (VALUES (5), (8), (12)) AS lengths(n) WHERE i + n - 1 <= len(words)),
+twice AS (SELECT doc_id, n, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, n, gram) > 1),
+inside AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS i FROM twice),
+covered AS (
+  SELECT doc_id, count(*) FILTER (n = 8) AS n_repeat_words,
+    coalesce(sum(len(words[i])) FILTER (n = 5), 0) AS c5, coalesce(sum(len(words[i])) FILTER (n = 8), 0) AS c8, coalesce(sum(len(words[i])) FILTER (n = 12), 0) AS c12
+  FROM inside JOIN p USING (doc_id, i) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, line, count(*) AS times FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+by_line AS (
+  SELECT doc_id, sum(times) AS n_lines, sum(times - 1) AS n_dup_lines, sum(times * len(line)) AS line_chars,
+    coalesce(sum(times * len(line)) FILTER (times > 1), 0) AS dup_line_chars
+  FROM lines GROUP BY doc_id),
+counts AS (
+  SELECT w.doc_id, len(words) AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(line_chars, 0) AS line_chars, coalesce(dup_line_chars, 0) AS dup_line_chars, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(c5, 0) AS c5, coalesce(c8, 0) AS c8, coalesce(c12, 0) AS c12
+  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN by_line USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * c5 > 40 * word_chars OR 100 * c8 > 30 * word_chars OR 100 * c12 > 25 * word_chars
+       OR 100 * dup_line_chars > 40 * line_chars OR 100 * n_dup_lines > 50 * n_lines) AS kept,
+  CAST(dup_line_chars AS BIGINT) AS dup_line_chars, CAST(c5 AS BIGINT) AS covered_chars_5, CAST(c8 AS BIGINT) AS covered_chars_8, CAST(c12 AS BIGINT) AS covered_chars_12
+FROM counts"""
+
+
+def op10_bpe(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    """Token counts and digests of ids and decoded text for every document; `tokenizer` is the path of the vocabulary file."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(_table(spark, folder, "documents"), tokenizer, digests=True)
+
+
+QUERIES["op10_bpe"] = op10_bpe
