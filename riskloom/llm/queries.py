@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import bpe, repetition, setsketch
+from riskloom.llm import bpe, mixing, repetition, secrets, setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,48 @@ def op10_bpe(spark: SparkSession, folder: str, tokenizer: str | None = None) ->
 
 
 QUERIES["op10_bpe"] = op10_bpe
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights 5, 2, 1 over all sources, 150 % of all words, no source above twice its words."""
+    return mixing.mix_sources(_table(spark, folder, "documents"), percent=150, most=2, weights=(5, 2, 1)).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op4_mixing"] = op4_mixing
+
+# The level is the first, in order of cap by weight, that leaves the next source below its cap; documents in order of hash.
+ORACLES["op4_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS h
+  FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY source),
+r AS (SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM t),
+o AS (
+  SELECT source, s, w, 2.0::DOUBLE * s / w AS cap,
+    CAST(coalesce(sum(2 * s) OVER before, 0) AS DOUBLE) AS fixed, CAST(sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS DOUBLE) AS free,
+    CAST(sum(s) OVER () AS DOUBLE) * 150 / 100 AS budget
+  FROM r WINDOW before AS (ORDER BY 2.0::DOUBLE * s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min((budget - fixed) / free, cap) AS level FROM o WHERE (budget - fixed) / free <= cap),
+targets AS (SELECT source, s, least(level * w, CAST(2 * s AS DOUBLE)) AS target FROM o, level),
+plan AS (SELECT source, s, target, CASE WHEN s > 0 THEN CAST(floor(target / s) AS BIGINT) ELSE 0 END AS whole FROM targets),
+c AS (
+  SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY h) AS DOUBLE) AS cum, CAST(sum(size) OVER (PARTITION BY source, h) AS DOUBLE) AS tie
+  FROM d)
+SELECT doc_id, size, s AS source_size, target,
+  CAST(size * (whole + CAST(cum <= target - whole * s
+    OR (cum - tie <= target - whole * s AND 2 * (target - whole * s - (cum - tie)) >= tie) AS INTEGER)) AS BIGINT) AS taken
+FROM c JOIN plan ON c.source IS NOT DISTINCT FROM plan.source"""
+
+
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts, a digest of the base spans and all spans of every document."""
+    found = secrets.scan(_table(spark, folder, "documents"), keep=["doc_id"])
+    base = list(secrets.KINDS)
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined([*base, secrets.ADDED]).alias("spans"))
+
+
+QUERIES["op9_secrets"] = op9_secrets
