@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import bpe, mixing, repetition, secrets, setsketch
+from riskloom.llm import bpe, mixing, repetition, secrets, setsketch, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,14 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op9_secrets"] = op9_secrets
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a model learnt from the labelled rows that are not held out."""
+    docs, labels = _table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "exact", "misspelt")
+
+
+QUERIES["op5_toxicity"] = op5_toxicity
