@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import bpe, mixing, repetition, secrets, setsketch, toxicity
+from riskloom.llm import bpe, html, mixing, repetition, secrets, setsketch, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,29 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op5_toxicity"] = op5_toxicity
+
+
+def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Every twentieth vector against all others, 20 best each."""
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+QUERIES["op1_top_k"] = op1_top_k
+
+ORACLES["op1_top_k"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20"""
+
+
+def op2_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES["op2_html"] = op2_html
