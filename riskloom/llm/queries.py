@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import bpe, html, mixing, repetition, secrets, setsketch, topk, toxicity
+from riskloom.llm import bpe, html, mixing, pseudonyms, repetition, revisits, secrets, setsketch, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,52 @@ def op2_html(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op2_html"] = op2_html
+
+
+def op8_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every revisit of an archive made of all pages, with the response it stands for and the merged headers."""
+    found = revisits.resolve(revisits.archive_records(_table(spark, folder, "pages")))
+    listed = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])))
+    return found.select("record_id", F.col("key").alias("url"), F.col("at").alias("visited_at"), F.coalesce("target_id", F.lit(-1)).alias("target_id"), "state", F.array_join(listed, "|").alias("headers"), "digest")
+
+
+QUERIES["op8_revisits"] = op8_revisits
+
+ORACLES["op8_revisits"] = r"""
+WITH p AS (
+  SELECT page_id, url, html, md5(coalesce(html, '')) AS tag, 1700000000 + page_id * 60 AS first,
+    CASE WHEN page_id % 2 = 0 THEN CAST(1700000000 + page_id * 60 - 86400 AS VARCHAR) END AS day,
+    regexp_replace(url, '#.*$', '') AS bare FROM pages),
+u AS (
+  SELECT *, CASE WHEN contains(bare, '?') THEN split_part(bare, '?', 1) || '?' || array_to_string(list_sort(string_split(split_part(bare, '?', 2), '&')), '&') ELSE bare END AS key FROM p),
+responses AS (
+  SELECT page_id * 8 AS target_id, key, first AS ts, tag AS etag, day, tag, len(html) AS size FROM u
+  UNION ALL SELECT page_id * 8 + 4, key, first + 86400, '2' || tag, day, tag, len(html) FROM u WHERE page_id % 3 = 0),
+visits AS (
+  SELECT page_id * 8 + 1 AS record_id, key, first + 3600 * (1 + page_id % 40) AS ts, tag AS etag, NULL AS day, page_id % 7 AS age, 1 AS n FROM u
+  UNION ALL SELECT page_id * 8 + 2, key, first + 7200, NULL, day, NULL, 2 FROM u
+  UNION ALL SELECT page_id * 8 + 3, key, first - 3600, tag, NULL, page_id % 7, 3 FROM u),
+m AS (
+  SELECT v.*, r.target_id, r.etag AS stored_etag, r.day AS stored_day, r.tag, r.size FROM visits v LEFT JOIN responses r ON r.key = v.key AND r.ts < v.ts
+  QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.target_id DESC) = 1),
+s AS (
+  SELECT *, CASE WHEN target_id IS NULL THEN 'missing' WHEN coalesce(etag = stored_etag, day = stored_day) IS NULL THEN 'unverified'
+    WHEN coalesce(etag = stored_etag, day = stored_day) THEN 'resolved' ELSE 'conflict' END AS state FROM m)
+SELECT record_id, key AS url, ts AS visited_at, coalesce(target_id, -1) AS target_id, state,
+  CASE WHEN state IN ('resolved', 'unverified') THEN array_to_string(list_sort(list_filter([
+    'cache-control: max-age=' || CASE WHEN n = 2 THEN '60' ELSE CAST(age AS VARCHAR) END, 'content-length: ' || size, 'content-type: text/html',
+    'etag: ' || CASE WHEN n = 2 THEN '' ELSE 'W/' END || '"' || CASE WHEN n = 2 THEN stored_etag ELSE etag END || '"',
+    'last-modified: ' || CASE WHEN n = 2 THEN coalesce(day, stored_day) ELSE stored_day END, CASE WHEN n = 2 THEN 'vary: Accept' END],
+    lambda x: x IS NOT NULL)), '|') END AS headers,
+  CASE WHEN state IN ('resolved', 'unverified') THEN tag END AS digest
+FROM s"""
+
+
+def op6_pseudonyms(spark: SparkSession, folder: str, key: str = "a key that a deployment keeps secret") -> DataFrame:
+    """All documents with their personal data pseudonymised, and how many values of each kind they had."""
+    out = pseudonyms.pseudonymise(_table(spark, folder, "documents").select("doc_id", "text"), key)
+    count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", "text", *map(count, pseudonyms.KINDS))
+
+
+QUERIES["op6_pseudonyms"] = op6_pseudonyms
