@@ -78,18 +78,14 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return bounds.select("source", (F.col("low") + (2 * F.col("left") >= F.col("words")).cast("long")).alias("limit"))
 
 
-def mix_sources(docs: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for each row of docs(doc_id, text, source).
-
-    size is the number of words (null text: 0); copies is how often the mix takes the document, at most `most`; taken is
-    copies times size. A source's sum of taken differs from its target by at most half the words of the rows that share the
-    boundary hash. Rows equal in id and text are taken alike; a null source is a source; empty texts, and sources without
-    words, take no words; no rows give none. Other columns are ignored.
-    """
+def _sized(docs: DataFrame) -> dict[str, Column]:
     text = F.col("text").cast("string")
-    rows = checkpoint(docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        document_hash(F.col("doc_id"), text).alias("hash")))
+    return {"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "hash": document_hash(F.col("doc_id"), text)}
+
+
+def mixing_plan(docs: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, source, size, hash) and for each source (s, source_size, target, whole, limit)."""
+    rows = checkpoint(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), *[c.alias(k) for k, c in _sized(docs).items()]))
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = checkpoint(source_targets(totals, percent, most, weights).withColumn(
         "whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")))
@@ -97,6 +93,32 @@ def mix_sources(docs: DataFrame, percent: int = 150, most: int = 2, weights: tup
     limits = thresholds(rows, budgets)
     plan = targets.join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("limit", F.lit(0)).alias("limit"))
-    copies = F.col("whole") + (F.col("hash") < F.col("limit")).cast("long")
+    return rows, checkpoint(plan)
+
+
+def copies() -> Column:
+    """How often the mix takes a row that is joined with its source's plan."""
+    return F.col("whole") + (F.col("hash") < F.col("limit")).cast("long")
+
+
+def mix_sources(docs: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for each row of docs(doc_id, text, source).
+
+    size is the number of words (null text: 0); copies is how often the mix takes the document, at most `most`; taken is
+    copies times size. A source's sum of taken differs from its target by at most half the words of the rows that share the
+    boundary hash. Rows equal in id and text are taken alike; a null source is a source; empty texts, and sources without
+    words, take no words; no rows give none. Other columns are ignored.
+    """
+    rows, plan = mixing_plan(docs, percent, most, weights)
     return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", copies().alias("copies"), (copies() * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with docs' columns; texts travel only if the plan must be shuffled."""
+    _, plan = mixing_plan(docs, percent, most, weights)
+    kept = {c: f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(k) for c, k in kept.items()], *[c.alias(k) for k, c in _sized(docs).items()], F.col("source").cast("string").alias("_source"))
+    taken = rows.join(plan, F.col("_source").eqNullSafe(F.col("s"))).where(copies() > 0)
+    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies())))
+    return repeated.select(*[F.col(k).alias(c) for c, k in kept.items()])

@@ -143,11 +143,31 @@ def scan(docs: DataFrame, keep: list[str] | None = None, model: Model | None = N
     clash = {k: f"_kept_{i}" for i, k in enumerate(keep)}
     rows = docs.select(*[F.col(k).alias(v) for k, v in clash.items()], "text")
     found = checkpoint(base_spans(rows, list(clash.values())).drop("text"))
-    model = train(found, docs.select("text")) if model is None else model
+    model = train(found, docs.select(F.col("text").cast("string"))) if model is None else model
     added = F.filter("tokens", lambda t: is_secret(t["value"], model))
     return found.select(*[F.col(v).alias(k) for k, v in clash.items()], *KINDS, added.alias(ADDED))
 
 
+def redacted(docs: DataFrame, model: Model, mark: str = "[secret]") -> DataFrame:
+    """docs with every span of any kind in text replaced by `mark`; overlapping spans share one mark, null texts stay null."""
+    kept = {c: f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    rows = base_spans(docs.select(*[F.col(c).alias(k) for c, k in kept.items()], "text"), list(kept.values()))
+    added = F.filter("tokens", lambda t: is_secret(t["value"], model))
+    spans = F.array_sort(F.transform(F.concat(*KINDS, added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    gap = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
+
+    def step(done: Column, s: Column) -> Column:
+        inside = s["start"] < done["at"]
+        text = F.when(inside, done["out"]).otherwise(F.concat(done["out"], gap(done["at"], s["start"]), F.lit(mark)))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), text.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("_spans", start, step, lambda done: F.concat(done["out"], gap(done["at"], F.length("text"))))
+    rows = rows.withColumn("_spans", spans)
+    text = F.when(F.size("_spans") > 0, clean).otherwise(F.col(kept["text"]))
+    return rows.select(*[(text if c == "text" else F.col(k)).alias(c) for c, k in kept.items()])
+
+
 def _sortable(kind: str, order: int) -> Column:
     return F.transform(kind, lambda s: F.struct(
         s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))

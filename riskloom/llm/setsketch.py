@@ -3,8 +3,9 @@
 Each word shingle draws one point per register from an exponential distribution; a register keeps the smallest point of
 the set, truncated to an exponentially spaced scale of base b. Points come in stratified order and visit the registers in
 a pseudo-random order without repetition, so most shingles are done after a few draws. Registers merge by maximum.
-Runs of registers (bands) that agree propose links. A bucket never gives all its pairs: its members meet a pivot, other
-pivots follow where that leaves several components, and what is then still open meets only across components.
+Runs of registers (bands) that agree propose links. A bucket never gives all its pairs: its members meet one pivot, another
+in each band. Where that leaves several components in a bucket, documents outside the main one are compared with the rest in
+blocks that give out links alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from riskloom.llm import words
 from riskloom.llm.graph import components
 from riskloom.llm.storage import checkpoint
 
+ARENA = 256  # documents of a block that is compared on full sets
 LIKELY = 12.5  # log-likelihood a pair may lack at the threshold; below that it is dropped before the full sets (5 sigma)
 
 
@@ -191,6 +193,63 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _across(placed: DataFrame, docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket in placed(band, node, comp), at least one for each document and
+    component it links to.
+
+    Documents of a bucket meet in the arena of the component that most of them belong to. Those of other components (few)
+    are compared with all of the arena, on full sets, in blocks: a large arena is cut into blocks of about ARENA documents,
+    small ones are packed together. Only links leave a block.
+    """
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("arena"), F.count("*").alias("comps")).where("comps > 1")
+    inside = checkpoint(placed.join(main, "band").select("arena", "node", "comp").distinct())
+    outer = F.col("comp") != F.col("arena")
+    arenas = inside.groupBy("arena").agg(F.count("*").alias("every"), F.count_if(outer).alias("outside"))
+    sets = checkpoint(full_sets(docs, inside.select("node").distinct(), length))
+    rows = inside.join(arenas, "arena").join(sets, "node")
+    blocks = lambda n: F.ceil(F.col(n) / ARENA).cast("long")
+    of = lambda n: F.pmod(F.xxhash64("node"), blocks(n))
+    packs = max(1, (inside.count() + ARENA - 1) // ARENA)
+    small = rows.where(F.col("every") <= ARENA).select(
+        F.array(F.lit(-1).cast("long"), F.pmod(F.xxhash64("arena"), F.lit(packs)), F.lit(0).cast("long")).alias("pack"), "arena", outer.alias("left"), F.lit(True).alias("right"), "node", "comp", "shingles")
+    large = rows.where(F.col("every") > ARENA)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(blocks(n), F.lit(1)) - 1))
+    left = large.where(outer).withColumn("j", upto("every")).select(
+        F.array("arena", of("outside"), "j").alias("pack"), "arena", F.lit(True).alias("left"), F.lit(False).alias("right"), "node", "comp", "shingles")
+    right = large.where("outside > 0").withColumn("i", upto("outside")).select(
+        F.array(F.col("arena"), F.col("i"), of("every")).alias("pack"), "arena", F.lit(False).alias("left"), F.lit(True).alias("right"), "node", "comp", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        arena, node, comp = (table.column(c).to_numpy() for c in ("arena", "node", "comp"))
+        is_left, is_right = (table.column(c).to_numpy() for c in ("left", "right"))
+        lists = table.column("shingles").combine_chunks()
+        flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        links = [link for one in np.unique(arena[is_left]) for link in _block_links(
+            np.flatnonzero(is_left & (arena == one)), np.flatnonzero(is_right & (arena == one)), flat, at, node, comp, percent)]
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    return small.unionByName(left).unionByName(right).groupBy("pack").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _block_links(left: np.ndarray, right: np.ndarray, flat: np.ndarray, at: np.ndarray, node: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of each left row with one row of every other component on the right; set i is flat[at[i]:at[i + 1]]."""
+    sizes = np.diff(at)
+    every = np.concatenate([flat[at[r] : at[r + 1]] for r in right])
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    for x in left:
+        own = flat[at[x] : at[x + 1]]
+        low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        many = high - low
+        hits = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        shared = np.bincount(owner[hits], minlength=len(right))
+        met = np.flatnonzero((100 * shared >= percent * (sizes[x] + sizes[right] - shared)) & (comp[right] != comp[x]))
+        _, first = np.unique(comp[right[met]], return_index=True)
+        yield from ((int(node[x]), int(node[right[m]])) for m in met[first])
+
+
 def _ordered(a: str | Column, b: str | Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -218,10 +277,8 @@ def near_duplicates(docs: DataFrame, sketch: SetSketch = SetSketch(), length: in
     bands = _bands(nodes, sketch)
     masked = F.col("node").bitwiseXOR(F.col("band"))
     buckets = bands.groupBy("band").agg(F.min(masked).alias("low"), F.max(masked).alias("high")).where("low != high")
-    members = checkpoint(bands.join(buckets.select("band", F.col("low").bitwiseXOR(F.col("band")).alias("pivot"),
-                                                   F.col("high").bitwiseXOR(F.col("band")).alias("other")), "band"))
+    members = checkpoint(bands.join(buckets.select("band", F.col("low").bitwiseXOR(F.col("band")).alias("pivot")), "band"))
 
-    sized = nodes.select("node", "n_shingles")
     met = members.where("node != pivot").select(*_ordered("node", "pivot")).groupBy("a", "b").agg(F.count("*").alias("shared"))
     likely = checkpoint(_likely(met.select("a", "b"), nodes, sketch, at))
     ids = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
@@ -239,29 +296,11 @@ def near_duplicates(docs: DataFrame, sketch: SetSketch = SetSketch(), length: in
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links, "a", "b")
-    for pivot in ("other", None):
-        placed = rooted(members, roots, "node", "comp")
-        several = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
-        open_rows = placed.join(several, "band")
-        if pivot:
-            pairs = rooted(open_rows.where("node != other AND node != pivot AND other != pivot").select(
-                "node", "comp", F.col("other").alias("b")), roots, "b", "cb").where("comp != cb").select(*_ordered("node", "b"))
-        else:
-            sizes = open_rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-            sized_rows = open_rows.where("node != pivot AND node != other").join(sized, "node").select("band", "node", "comp", "n_shingles")
-            outer = sized_rows.join(main, "band").where("comp != main").select(
-                "band", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"))
-            pairs = outer.join(sized_rows, "band").where(
-                (F.col("cx") != F.col("comp")) & (100 * F.least("nx", "n_shingles") >= percent * F.greatest("nx", "n_shingles"))).select(*_ordered("x", "node"))
-        likely_rest = checkpoint(_likely(pairs.distinct(), nodes, sketch, at))
-        if likely_rest.isEmpty():
-            continue
-        ids = likely_rest.select(F.col("a").alias("node")).unionByName(likely_rest.select(F.col("b").alias("node"))).distinct()
-        found = checkpoint(_linked(likely_rest.select("a", "b"), full_sets(docs, ids, length), percent))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links, "a", "b")
+    placed = rooted(members, roots, "node", "comp")
+    last = checkpoint(_across(placed, docs, length, percent))
+    if not last.isEmpty():
+        links = links.unionByName(last)
+        roots = components(links, "a", "b")
 
     joined = components(links.unionByName(copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))), "a", "b") \
         if not repeated.isEmpty() else None
