@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from riskloom.llm.storage import checkpoint
 
-BLOCK, HEAD, SAMPLE = 2048, 2048, 4096
+BLOCK, RUN, HEAD, SAMPLE = 2048, 1024, 2048, 4096
 EXACT = 2.0**53  # products of norms below this make every sum of float64 whole numbers exact
 
 
@@ -55,20 +55,27 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def best_in_blocks(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, turn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, candidate, score) of each query's k best among c with a score of at least `least`, in runs of candidates."""
-    width = q.shape[1]
-    first = max(1, width // 4)
     rq, rc = q @ turn, c @ turn
+    width = q.shape[1]
+    cuts = sorted({max(1, width * part // 8) for part in (1, 2, 4, 6, 8)})
     q_norm, c_norm = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-    q_rest, c_rest = np.linalg.norm(rq[:, first:], axis=1), np.linalg.norm(rc[:, first:], axis=1)
+    rest = [(np.linalg.norm(rq[:, cut:], axis=1), np.linalg.norm(rc[:, cut:], axis=1)) for cut in cuts]
     least = least.copy()
-    for at in range(0, len(c), 512):
-        run = slice(at, at + 512)
+    for at in range(0, len(c), RUN):
+        run = slice(at, at + RUN)
         slack = 1e-9 * (q_norm * c_norm[run].max(initial=0.0)) + 1e-6
         going = np.flatnonzero(q_norm * c_norm[run].max(initial=0.0) >= least - slack)
         if not len(going):
             return  # norms descend: no later candidate can reach either
-        bound = rq[going, :first] @ rc[run, :first].T + np.outer(q_rest[going], c_rest[run])
-        i, j = np.nonzero(bound >= (least - slack)[going][:, None])
+        goal = (least - slack)[going][:, None]
+        sums, done = np.zeros((len(going), len(c[run]))), 0
+        for cut, (q_rest, c_rest) in zip(cuts, rest, strict=True):
+            sums += rq[going, done:cut] @ rc[run, done:cut].T
+            done = cut
+            open_pairs = np.flatnonzero(sums >= goal - np.outer(q_rest[going], c_rest[run]))
+            if len(open_pairs) <= sums.size // 200:
+                break
+        i, j = np.divmod(open_pairs, sums.shape[1])
         if not len(i):
             continue
         scores = []
