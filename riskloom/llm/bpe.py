@@ -42,7 +42,7 @@ class Automaton:
     """Compiled merges. targets: state behind each token; taken: for each state, token -> merge that took it away."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        self.ids, self.suffix, self.longest = vocabulary, suffix, max(map(len, vocabulary), default=0)
+        self.ids, self.suffix, self.longest = vocabulary, suffix, max(map(len, vocabulary), default=1)
         self.left: dict[str, str] = {}
         self.made: dict[str, int] = {}
         self.taken: list[dict[str, int]] = [{}]
@@ -88,58 +88,64 @@ class Encoder:
         self.specials = specials
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         self.symbols = byte_symbols()
-        self.arcs: dict[tuple[int, str], bool] = {}
-        self.known: dict[str, list[str]] = {}
-
-    def word(self, found: str) -> list[str]:
-        """Labels of one pre-split word."""
-        labels = self.known.get(found)
-        if labels is None:
+        self.decimal = {label: str(number) for label, number in (automaton.ids | specials).items()}
+        self.arcs: dict[int, dict[str, bool]] = {}
+        self.known: dict[str, tuple[str, str]] = {}
+
+    def word(self, found: str) -> tuple[str, str]:
+        """Decimal ids and labels of one pre-split word, both joined by one space."""
+        both = self.known.get(found)
+        if both is None:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            labels = self.known[found] = self.tokens("".join([self.symbols[b] for b in found.encode()]))
-        return labels
+                self.arcs.clear()
+            labels = self.tokens("".join([self.symbols[b] for b in found.encode()]))
+            both = self.known[found] = " ".join([self.decimal[label] for label in labels]), " ".join(labels)
+        return both
 
     def tokens(self, word: str) -> list[str]:
-        """The accepted path that spells the word, its last symbol marked as such."""
-        machine, arcs = self.automaton, self.arcs
-        n, ids, longest = len(word), machine.ids, machine.longest
-        states, tokens = [0] + [-1] * n, [""] * (n + 1)
-        if len(arcs) > 4 * CACHE:
-            arcs.clear()
-        for end in range(1, n + 1):
-            tail = machine.suffix if end == n else ""
-            for start in range(max(0, end - longest), end):
-                token = word[start:end] + tail
-                if token in ids and (state := states[start]) >= 0 and token in machine.targets:
-                    key = (state, token)
-                    has = arcs.get(key)
+        """The accepted path that spells the word, its last symbol marked as such: longest arcs first, back from dead ends.
+
+        A place has one state at most, whatever way leads there, so a place that failed once has failed for good.
+        """
+        machine, n = self.automaton, len(word)
+        targets, suffix, longest = machine.targets, machine.suffix, machine.longest
+        path: list[tuple[int, int, int, str]] = []
+        dead: set[int] = set()
+        at, state, end = 0, 0, min(n, longest)
+        while at < n:
+            arcs = self.arcs.setdefault(state, {})
+            while end > at:
+                token = word[at:end] if end < n else word[at:] + suffix
+                if token in targets and end not in dead:
+                    has = arcs.get(token)
                     if has is None:
-                        has = arcs[key] = machine.arc(state, token)
+                        has = arcs[token] = machine.arc(state, token)
                     if has:
-                        states[end], tokens[end] = machine.targets[token], token
                         break
-        path, end = [], n
-        while end:
-            path.append(tokens[end])
-            end -= len(tokens[end]) - (len(machine.suffix) if end == n else 0)
-        return path[::-1]
-
-    def piece(self, text: str) -> list[str]:
-        """Labels of a text without white space."""
-        out: list[str] = []
+                end -= 1
+            if end > at:
+                path.append((at, state, end, token))
+                at, state = end, targets[token]
+                end = min(n, at + longest)
+            else:
+                dead.add(at)
+                at, state, end, _ = path.pop()
+                end -= 1
+        return [step[3] for step in path]
+
+    def piece(self, text: str) -> tuple[str, str]:
+        """Decimal ids and labels of a text without white space."""
+        if text.isascii() and text.isalpha():
+            return self.word(text.lower())
+        found: list[tuple[str, str]] = []
         for part in self.special.split(text) if self.special and "<|" in text else (text,):
             if part in self.specials:
-                out.append(part)
+                found.append((self.decimal[part], part))
             elif part:
-                part = unicodedata.normalize("NFC", part).replace(*_SIGMA).lower()
-                for run in _WHITE.split(part):
-                    for found in self.split.findall(run):
-                        out += self.word(found)
-        return out
-
-    def id(self, label: str) -> int:
-        return self.specials[label] if label in self.specials else self.automaton.ids[label]
+                part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace(*_SIGMA).lower()
+                found += map(self.word, (part,) if part.isalpha() else self.split.findall(part))
+        return found[0] if len(found) == 1 else (" ".join([a for a, _ in found]), " ".join([b for _, b in found]))
 
 
 class _Known(dict):
@@ -149,8 +155,7 @@ class _Known(dict):
         self.encoder = encoder
 
     def __missing__(self, piece: str) -> tuple[str, str]:
-        labels = self.encoder.piece(piece)
-        found = " ".join(str(self.encoder.id(label)) for label in labels), " ".join(labels)
+        found = self.encoder.piece(piece)
         if len(self) >= CACHE:
             self.clear()
         self[piece] = found
