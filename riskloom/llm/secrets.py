@@ -103,15 +103,14 @@ def train(found: DataFrame, docs: DataFrame, sample_rows: int = 20_000, least: f
     counts = [dict(_pairs(values).collect()) for values in (labelled, ordinary)]
 
     def logs(table: dict[int, int], uniform: float) -> list[float]:
-        totals: dict[int, int] = {}
+        """Log-probabilities of the second character of each pair; rare first characters fall back on all characters."""
+        totals, singles = [0] * SIZE, [0.05] * SIZE
         for pair, n in table.items():
-            totals[pair // SIZE] = totals.get(pair // SIZE, 0) + n
-        out = []
-        for pair in range(SIZE * SIZE):
-            total = totals.get(pair // SIZE, 0)
-            fitted = (table.get(pair, 0) + 0.05) / (total + 0.05 * SYMBOLS)
-            out.append(math.log(uniform / SYMBOLS + (1 - uniform) * fitted))
-        return out
+            totals[pair // SIZE] += n
+            singles[pair % SIZE] += n
+        every = sum(totals) + 0.05 * SYMBOLS
+        fitted = [(table.get(pair, 0) + singles[pair % SIZE] / every) / (totals[pair // SIZE] + 1) for pair in range(SIZE * SIZE)]
+        return [math.log(uniform / SYMBOLS + (1 - uniform) * p) for p in fitted]
 
     random, plain_words = logs(counts[0], 0.5), logs(counts[1], 0.02)
     return Model([round(a - b, 4) for a, b in zip(random, plain_words, strict=True)], least, each, different)
