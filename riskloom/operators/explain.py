@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.errors import ValidationError
 from riskloom.operators.ranks import bottom_by_digest
-from riskloom.operators.scoring import LOOKUP_ROWS, Scorer, anomaly_percentile, percentile_lookup
+from riskloom.operators.scoring import Scorer, anomaly_percentile
 
 # Bounds of the explanation request and its tolerance.
 MAX_BACKGROUND_ROWS = 100
@@ -74,6 +74,12 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def require_unique(cases: DataFrame, key: str) -> None:
+    """Raises for repeated or missing case identifiers: attributions are gathered per identifier."""
+    if cases.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
+        raise ValidationError(f"Case identifiers in {key} must be present and unique")
+
+
 def shapley_values(cases: DataFrame, key: str, names: Sequence[str], background: Sequence[Sequence[float]],
                    score_rows: ScoreRows, *, max_evals: int = DEFAULT_EVALS, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """One row per case: key, score, baseline_score, shap (array in feature order), additive.
@@ -86,6 +92,7 @@ def shapley_values(cases: DataFrame, key: str, names: Sequence[str], background:
         raise ValidationError(f"max_evals must be an integer from {2 * m + 1} to {MAX_EVALS}")
     if not 1 <= len(background) <= MAX_BACKGROUND_ROWS:
         raise ValidationError(f"The background must hold 1 to {MAX_BACKGROUND_ROWS} rows")
+    require_unique(cases, key)
     weights = coalition_weights(m, max_evals, seed)
     empty, full = tuple([False] * m), tuple([True] * m)
     spark = cases.sparkSession
@@ -152,13 +159,8 @@ def scorer_rows(scorer: Scorer) -> ScoreRows:
                 "features", "rawPrediction", "probability", "prediction")
         return by_probability
 
-    small = scorer.reference_rows <= LOOKUP_ROWS
-    ordered = scorer.reference.toPandas()["raw_score"].to_numpy() if small else None  # size checked
-
     def by_percentile(df: DataFrame) -> DataFrame:
         raw = df.withColumn("raw_score", scorer.model.score([F.col("x")[i] for i in range(len(names))]))
-        if small:
-            return raw.withColumn("score", percentile_lookup(ordered, F.col("raw_score"))).drop("raw_score")
         return anomaly_percentile(raw, scorer.reference, "raw_score", out="score").drop("raw_score")
 
     return by_percentile

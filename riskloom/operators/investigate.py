@@ -17,15 +17,14 @@ AGREEMENT_RELATIVE, AGREEMENT_ABSOLUTE = 1e-6, 1e-4
 
 
 def investigate(df: DataFrame, case: str, scorer: Scorer, background: Sequence[Sequence[float]], *,
-                time: str = "Time", amount: str = "Amount", top: int = 5, max_evals: int = DEFAULT_EVALS, seed: int = 42,
-                check: bool = True) -> DataFrame:
+                time: str = "Time", amount: str = "Amount", top: int = 5, max_evals: int = DEFAULT_EVALS, seed: int = 42) -> DataFrame:
     """One record per case: id, time, amount, prediction, explanation, top_contributors, agrees.
 
-    Case identifiers must be unique: they join each prediction with its explanation.
+    Case identifiers join each prediction with its explanation; repeated ones are refused.
     """
     if not 1 <= top <= MAX_CONTRIBUTORS:
         raise ValidationError(f"top_contributors must be from 1 to {MAX_CONTRIBUTORS}")
-    cases = require_case_ids(df, case) if check else df.withColumn("case_id", F.trim(F.col(case).cast("string")))
+    cases = require_case_ids(df, case)
     predicted = score_batch(
         cases.withColumns({"__time": F.col(time).cast("double"), "__amount": F.col(amount).cast("double")}),
         scorer, ["case_id", "__time", "__amount"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -41,8 +43,11 @@ def training_rows(prepared: DataFrame, state: FeatureState, target: str) -> Trai
 
 
 def _balanced(training: Training) -> DataFrame:
-    each = {k: training.total / (2.0 * n) for k, n in training.counts.items()}
-    return training.rows.withColumn("weight", F.when(F.col("label") == 1, each[1]).otherwise(each[0]))
+    """Weights in the inverse ratio of the classes, as whole numbers: their sums do not depend on the order of addition."""
+    common = math.gcd(*training.counts.values())
+    each = {k: float(n // common) for k, n in training.counts.items()}
+    weighted = training.rows.withColumn("weight", F.when(F.col("label") == 1, each[0]).otherwise(each[1]))
+    return weighted.withColumn("order", F.xxhash64(vector_to_array("features"), "label")).sortWithinPartitions("order").drop("order")
 
 
 def fit_logistic(training: Training, c: float = 1.0, **settings):

@@ -52,7 +52,11 @@ def parse_payloads(df: DataFrame, payload: str, features: Sequence[str] = WIDE_F
     Keys must match the features exactly, and values must be JSON numbers: text and booleans that
     merely look like numbers are refused.
     """
-    parsed = df.withColumn("__v", F.when(F.rtrim(payload).endswith("}"), F.try_parse_json(payload)))
+    # The parser stops after the first value; inside an array and inside an object nothing can follow it unseen.
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(payload), F.lit("]")))
+    nested = F.try_parse_json(F.concat(F.lit('{"p":'), F.col(payload), F.lit("}")))
+    alone = nested.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    parsed = df.withColumn("__v", F.when(alone, F.try_variant_get(listed, "$[0]", "variant")))
     parsed = parsed.withColumn("__keys", F.when(F.schema_of_variant("__v").startswith("OBJECT<"), F.json_object_keys(payload)))
     expected = F.array(*[F.lit(f) for f in features])
     missing = F.array_sort(F.array_except(expected, F.col("__keys")))

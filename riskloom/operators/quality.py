@@ -123,14 +123,15 @@ def require_target(df: DataFrame, target: str, *, both_classes: bool = True) ->
 
 def numeric_coercion(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: cells, non-missing cells, cells that are not numbers, infinite cells."""
+    types = dict(df.dtypes)
     aggregates = []
     for c in columns:
-        number = to_number(c)
+        number = to_number(c) if types[c] == "string" else F.col(c).try_cast("double")
         aggregates.append(F.struct(
             F.lit(c).alias("column_name"),
             F.count(F.lit(1)).alias("cells"),
             F.count(F.col(c)).alias("non_null"),
-            F.count_if(F.col(c).isNotNull() & number.isNull()).alias("non_numeric"),
+            F.count_if(~is_missing(c, types[c]) & number.isNull()).alias("non_numeric"),
             F.count_if(is_infinite(number)).alias("infinite"),
         ))
     return df.agg(F.array(*aggregates).alias("r")).select(F.explode("r").alias("r")).select("r.*")

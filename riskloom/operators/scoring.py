@@ -6,8 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.errors import ValidationError
@@ -22,8 +20,6 @@ from riskloom.session import cut_lineage
 PROBABILITY_BASIS = "uncalibrated model probability × 100"
 ANOMALY_BASIS = "percentile of training-reference anomaly scores"
 ANOMALY_DECISION = "Isolation Forest native predict == -1"
-# References up to this many rows are looked up in each task; larger ones are ranked by a shuffle.
-LOOKUP_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -99,23 +95,15 @@ def anomaly_percentile(new: DataFrame, reference: DataFrame, score: str, *, out:
 
     Reference and new scores are ranked together once per distinct value, and the count is joined
     back on the score; that side has one row per score, so adaptive execution can split a hot score.
+    A null or NaN score has no percentile (null); such reference scores do not count.
     """
-    both = reference.select(F.col(score).cast("double").alias("s"), F.lit(1).alias("is_ref")).unionByName(
-        new.select(F.col(score).cast("double").alias("s"), F.lit(0).alias("is_ref")))
+    value = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    both = reference.select(value.alias("s"), F.lit(1).alias("is_ref")).unionByName(
+        new.select(value.alias("s"), F.lit(0).alias("is_ref"))).where(F.col("s").isNotNull())
     totals = running_totals(both, "s", {"refs": F.sum("is_ref")})
-    size = reference.count()
+    size = reference.where(value.isNotNull()).count()
     shares = totals.select(F.col("s").alias("__s"), (F.col("cum_refs") / F.lit(size) * 100.0).alias(out))
-    return new.withColumn("__s", F.col(score).cast("double")).join(shares, "__s", "left").drop("__s")
-
-
-def percentile_lookup(reference: np.ndarray, score: Column) -> Column:
-    """The same percentile by binary search in a sorted, size-checked reference; works on streams."""
-    ordered = np.sort(np.asarray(reference, dtype=np.float64))
-
-    def lookup(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(ordered, values.to_numpy(), side="right") / len(ordered) * 100.0)
-
-    return F.pandas_udf(lookup, "double")(score)
+    return new.withColumn("__s", value).join(shares, "__s", "left").drop("__s")
 
 
 def raw_scores(df: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
@@ -145,26 +133,7 @@ def score_batch(df: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame
     scored = raw_scores(df, scorer, keep)
     if scorer.score_kind == "probability":
         scored = scored.withColumn("score", as_percent("raw_score"))
-    elif scorer.reference_rows <= LOOKUP_ROWS:
-        ordered = scorer.reference.toPandas()["raw_score"].to_numpy()  # size checked above
-        scored = scored.withColumn("score", percentile_lookup(ordered, F.col("raw_score")))
     else:
         # Ranking reads the raw scores several times, so the model's output is stored once.
         scored = anomaly_percentile(cut_lineage(scored), scorer.reference, "raw_score", out="score")
     return _finish(scored, scorer, keep)
-
-
-def score_features(df: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
-    """Like score_batch, for rows that already hold prepared feature columns in fitted order."""
-    prepared = FeatureState(tuple(type(n)(n.name, None, 0.0, 1.0) for n in scorer.state.numeric))
-    if scorer.state.categorical:
-        raise ValidationError("Prepared categorical features cannot be re-scored by name")
-    plain = Scorer(scorer.model_name, scorer.model, prepared, scorer.score_kind, scorer.policy, scorer.threshold,
-                   scorer.reference, scorer.reference_rows)
-    return score_batch(df, plain, keep)
-
-
-__all__ = [
-    "ANOMALY_BASIS", "BandPolicy", "PROBABILITY_BASIS", "Scorer", "anomaly_percentile", "build_scorer",
-    "percentile_lookup", "raw_scores", "score_batch", "score_features", "training_reference",
-]

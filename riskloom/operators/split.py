@@ -174,8 +174,13 @@ def _digest_cuts(df: DataFrame, label: str, digest: str, ranks: dict[int, tuple[
 
 
 def stratified_split(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFrame:
-    """Adds `split`: seeded 70/15/15 within each class, ordered by the digest of a unique key."""
+    """Adds `split`: seeded 70/15/15 within each class, ordered by the digest of a unique key.
+
+    Rows that share a key could not be told apart by the cuts, so repeated and missing keys are refused.
+    """
     counts = require_target(df, target)
+    if df.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
+        raise ValidationError(f"Split key {key} must be present and unique")
     quotas = class_quotas(counts)
     if min(counts.values()) < 2 or any(not (t and v and counts[k] - t - v) for k, (t, v) in quotas.items()):
         raise ValidationError("Not enough examples of each class for stratified 70/15/15 splits")

@@ -29,7 +29,7 @@ FROM (SELECT event_id, least(floor(value / 5) / 100, 1.0) AS s FROM events)
 
 def anomaly_percentile(spark: SparkSession, folder: str) -> DataFrame:
     df = events(spark, folder)
-    new = df.where(F.col("event_type") == "error").select("event_id", "value")
+    new = df.where(F.coalesce(F.col("event_type") != "view", F.lit(True))).select("event_id", "value")
     reference = df.where(F.col("event_type") == "view").select("value")
     return scoring.anomaly_percentile(new, reference, "value").withColumn("percentile", F.round("percentile", 6))
 
@@ -38,7 +38,7 @@ ANOMALY_PERCENTILE_SQL = """
 SELECT event_id, value, round(refs / total * 100, 6) AS percentile FROM (
   SELECT event_id, event_type, value, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (ORDER BY value RANGE UNBOUNDED PRECEDING) AS refs,
          sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER () AS total
-  FROM events WHERE event_type IN ('view', 'error')) WHERE event_type = 'error'
+  FROM events) WHERE event_type IS DISTINCT FROM 'view'
 """
 
 

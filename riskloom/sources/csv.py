@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from riskloom.errors import ValidationError
@@ -92,16 +92,27 @@ def read_text_cells(spark: SparkSession, path: str, name: str) -> tuple[DataFram
     return frame, encoding, names
 
 
+def _number(field: T.StructField) -> Column:
+    """The cell in its declared type. Whole numbers are read from their text, so every digit counts, and a fraction other
+    than zeros is no whole number."""
+    number = to_number(field.name)
+    if not isinstance(field.dataType, T.IntegralType):
+        return number.try_cast(field.dataType)
+    text = F.regexp_replace(F.trim(field.name), r"\.0*$", "")
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(field.dataType)).otherwise(
+        F.when(number == F.floor(number), number.try_cast(field.dataType)))
+
+
 def _typed(frame: DataFrame, spec: TableSpec, *, coerce: bool) -> DataFrame:
     """Cells in their declared types; text that is no number raises, or becomes null with `coerce`."""
     numeric = [f for f in spec.columns if not isinstance(f.dataType, T.StringType)]
     cells = frame.withColumns({c: blank_to_null(c) for c in frame.columns})
-    values = {f.name: to_number(f.name) for f in numeric}
+    values = {f.name: _number(f) for f in numeric}
     if numeric and not coerce:
         bad = cells.agg(*[F.count_if(F.col(n).isNotNull() & v.isNull()).alias(n) for n, v in values.items()]).first()
         if failures := {n: bad[n] for n in values if bad[n]}:
             raise ValidationError(f"Non-numeric values in {spec.name}: {failures}")
-    return cells.withColumns({f.name: values[f.name].cast("double").try_cast(f.dataType) for f in numeric})
+    return cells.withColumns(values)
 
 
 def read_csv(spark: SparkSession, path: str, spec: TableSpec, *, duplicate_policy: str = "report",
@@ -114,10 +125,9 @@ def read_csv(spark: SparkSession, path: str, spec: TableSpec, *, duplicate_polic
         prefix = "" if problems[0].startswith("Missing target") else f"Column validation failed for {spec.name}: "
         raise ValidationError(prefix + "; ".join(problems))
     malformed = frame.select("*").where(F.col("_malformed").isNotNull())
-    broken = malformed.agg(F.count(F.lit(1)).alias("n"), *[F.count(c) for c in names], F.min("_malformed").alias("example")).first()
+    broken = malformed.agg(F.count(F.lit(1)).alias("n"), *[F.count(c) for c in names]).first()
     if broken.n:
-        raise ValidationError(f"Malformed CSV for {spec.name}: {broken.n} row(s) do not have {len(names)} fields, "
-                              f"for example {broken.example[:200]!r}")
+        raise ValidationError(f"Malformed CSV for {spec.name}: {broken.n} row(s) do not have {len(names)} fields")
     cells = frame.drop("_malformed")
     out = _typed(cells, spec, coerce=coerce) if typed else cells.withColumns({c: blank_to_null(c) for c in names})
     report = check_table(out, spec, duplicate_policy=duplicate_policy)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskloom.errors import ValidationError
 from riskloom.functions.columns import is_infinite, is_missing, to_number
 from riskloom.operators.payload import parse_payloads
-from riskloom.operators.scoring import LOOKUP_ROWS, Scorer, score_batch
+from riskloom.operators.scoring import Scorer, score_batch
 
 
 def read_payload_stream(spark: SparkSession, folder: str, id_column: str = "transaction_id", payload: str = "payload",
@@ -25,17 +25,34 @@ def read_payload_stream(spark: SparkSession, folder: str, id_column: str = "tran
 def score_stream(payloads: DataFrame, scorer: Scorer, id_column: str = "transaction_id", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(scored, quarantined) streams; scoring keeps no state, so any trigger and restart is safe.
 
-    An anomaly reference must be small enough for the in-task lookup: ranking against a larger one
-    needs a shuffle with the whole reference, which is a batch job.
+    Percentiles rank rows against the whole reference, which a plain stream cannot: for an anomaly scorer write the
+    accepted rows with `write_scored`.
     """
-    if scorer.score_kind == "anomaly" and scorer.reference_rows > LOOKUP_ROWS:
-        raise ValidationError(f"Streaming anomaly scores need a reference of at most {LOOKUP_ROWS} rows")
+    if scorer.score_kind == "anomaly":
+        raise ValidationError("Anomaly scores of a stream are ranked batch by batch: use write_scored")
     parsed = parse_payloads(payloads, payload, scorer.state.inputs)
     accepted = parsed.where(F.col("reject_reason").isNull())
     rejected = parsed.where(F.col("reject_reason").isNotNull()).select(id_column, "reject_reason")
     return score_batch(accepted, scorer, [id_column]), rejected
 
 
+def write_scored(payloads: DataFrame, scorer: Scorer, folder: str, checkpoint: str, id_column: str = "transaction_id",
+                 payload: str = "payload") -> StreamingQuery:
+    """Scores a payload stream of any score kind batch by batch, as `score_batch` does, into folder/scored and folder/rejected.
+
+    Each batch writes its own partition again if it is repeated, so a restart leaves no row twice. References may have any
+    size: a batch is ranked with them by a shuffle.
+    """
+    def score(batch: DataFrame, number: int) -> None:
+        parsed = parse_payloads(batch, payload, scorer.state.inputs)
+        parts = {"scored": score_batch(parsed.where(F.col("reject_reason").isNull()), scorer, [id_column]),
+                 "rejected": parsed.where(F.col("reject_reason").isNotNull()).select(id_column, "reject_reason")}
+        for name, rows in parts.items():
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    return payloads.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_stream(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream to parquet, processing what is available and then stopping."""
     return (

@@ -127,7 +127,7 @@ def test_average_path_values():
     assert iforest.average_path(256) == pytest.approx(2 * (math.log(255) + np.euler_gamma) - 2 * 255 / 256)
 
 
-def test_anomaly_percentiles_by_both_routes(spark, prepared, forest):
+def test_anomaly_percentiles_are_ranks_in_the_reference(spark, prepared, forest):
     out, state = prepared
     train = out.where("split = 'train'")
     reference = scoring.training_reference(forest, train, state)
@@ -138,7 +138,10 @@ def test_anomaly_percentiles_by_both_routes(spark, prepared, forest):
     np.testing.assert_allclose(rows.score, np.searchsorted(ordered, rows.raw_score, side="right") / 280 * 100)
     assert (rows.model_alert == (rows.raw_score > 0.5)).all()
     new = spark.createDataFrame([(i, float(v)) for i, v in enumerate([-1.0, *ordered[::40], 0.5, 2.0, ordered[3], ordered[3]])], "id int, raw_score double")
+    new = new.unionByName(spark.createDataFrame([(90, None), (91, float("nan"))], "id int, raw_score double"))
     by_rank = scoring.anomaly_percentile(new, reference, "raw_score").toPandas()
+    assert by_rank[by_rank.id >= 90].percentile.isna().all()
+    by_rank = by_rank[by_rank.id < 90]
     np.testing.assert_allclose(by_rank.percentile, np.searchsorted(ordered, by_rank.raw_score, side="right") / 280 * 100)
 
 
@@ -199,7 +202,7 @@ def test_bundles_round_trip_and_are_immutable(spark, tmp_path, prepared, logisti
         bundle.save_bundle(spark, path, scorer, **details)
     with pytest.raises(ValidationError, match="missing"):
         bundle.load_bundle(spark, str(tmp_path / "none"))
-    with pytest.raises(ValidationError, match="logical identifier"):
+    with pytest.raises(ValidationError, match="dataset_id"):
         bundle.save_bundle(spark, str(tmp_path / "x"), scorer, **(details | {"dataset_id": "/data/x"}))
     for field, value in (("score_basis", "other"), ("decision_threshold", 3.0 if kind == "probability" else 0.5), ("feature_names", [])):
         with pytest.raises(ValidationError):

@@ -68,7 +68,6 @@ def test_hot_key_audit(spark):
 
 def test_related_quality_checks(spark):
     status = {r.check_name: r.status for r in relations.related_quality_checks(related_tables(spark)).collect()}
-    assert status == {"Source table schemas": "passed", "Missing values": "passed", "Exact duplicate rows": "passed",
-                      "Transaction joins": "passed", "Label interpretation": "info"}
+    assert status == dict.fromkeys(("columns", "gaps", "repeated rows", "relations", "labels"), "passed")
     broken = related_tables(spark, amount_data=RELATED_ROWS["amount_data"] + [(4, 1.0)])
-    assert {r.check_name: r.status for r in relations.related_quality_checks(broken).collect()}["Transaction joins"] == "failed"
+    assert {r.check_name: r.status for r in relations.related_quality_checks(broken).collect()}["relations"] == "failed"
