@@ -206,8 +206,8 @@ def _across(placed: DataFrame, docs: DataFrame, length: int, percent: int) -> Da
     inside = checkpoint(placed.join(main, "band").select("arena", "node", "comp").distinct())
     outer = F.col("comp") != F.col("arena")
     arenas = inside.groupBy("arena").agg(F.count("*").alias("every"), F.count_if(outer).alias("outside"))
-    sets = checkpoint(full_sets(docs, inside.select("node").distinct(), length))
-    rows = inside.join(arenas, "arena").join(sets, "node")
+    sets = full_sets(docs, inside.select("node").distinct(), length)
+    rows = checkpoint(inside.join(arenas, "arena").join(sets, "node"))  # read three times below
     blocks = lambda n: F.ceil(F.col(n) / ARENA).cast("long")
     of = lambda n: F.pmod(F.xxhash64("node"), blocks(n))
     packs = max(1, (inside.count() + ARENA - 1) // ARENA)
