@@ -5,9 +5,10 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as registered
+from riskloom.plans import catalog
 from tools.check import TABLES, compare
 
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 # Full expected plans of these are Python-side or model fits; they are covered by their own tests too.
 ROWS_ONLY = {"logistic", "random_forest", "gbt", "isolation_forest", "investigation", "model_comparison"}
 
@@ -22,6 +23,7 @@ def duck():
 
 def test_every_query_has_sql_or_is_a_model():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY and set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(registered.queries()) and set(ORACLES) <= set(registered.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
