@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from riskloom.llm import mixing, queries, revisits, setsketch, topk, toxicity, words
 from riskloom.llm.graph import components
+from tools.check import compare
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -231,3 +233,12 @@ def test_stages_keep_their_promises(spark):
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    duck = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    verdict, _, _ = compare(queries.QUERIES[name](spark, SMALL), queries.ORACLES[name], duck)
+    assert verdict == "ok", verdict
