@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 Each element has its characters per tag, adjusted for the share of them in links. The sum of its children's densities picks
-the subtree that holds the article; the least density on its way up to the body is the threshold for further parts.
+the subtree that holds the article. Around it the outermost article or main is taken whole, and beside it all that is not links
+for the most part; of lists of links only paragraphs as dense as the least element on the way up to the body.
 Elements that their tag, class or role marks as menu, footer, advert, form, comment and the like are left out beforehand.
 """
 
@@ -21,7 +22,7 @@ RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe",
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
           "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav",
           "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-PARTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+PROSE = {"p", "blockquote", "pre"}
 #: Elements that end where one of the same group starts, up to the element that holds the group.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -139,11 +140,21 @@ def densities(tree: Tree, chars: np.ndarray) -> np.ndarray:
     return np.where(total > 0, total / tags * np.maximum(weight, 1e-6), 0.0)
 
 
-def chosen(tree: Tree, density: np.ndarray) -> np.ndarray:
-    """Which elements stand inside the subtrees picked by density sums."""
+def _below(tree: Tree, values: np.ndarray) -> np.ndarray:
+    """Sum over each element and all that stands in it."""
+    total = values.astype(float)
+    for node in range(len(tree.tag) - 1, 0, -1):
+        total[tree.parent[node]] += total[node]
+    return total
+
+
+def chosen(tree: Tree, density: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Which elements belong to the main text: the subtree of the best density sum, the outermost article or main around it,
+    and on the way from there to the root all that does not consist of links for the most part."""
     n = len(tree.tag)
     sums = np.zeros(n)
-    areas = np.where([tag in BLOCKS for tag in tree.tag], density, 0.0)  # inline elements are no areas of their own
+    block = np.array([tag in BLOCKS for tag in tree.tag])
+    areas = np.where(block, density, 0.0)  # inline elements are no areas of their own
     np.add.at(sums, np.array(tree.parent[1:], int), areas[1:])
     sums[np.array(tree.apart)] = -1
     best = list(range(n))
@@ -151,25 +162,34 @@ def chosen(tree: Tree, density: np.ndarray) -> np.ndarray:
         up = tree.parent[node]
         if sums[best[node]] >= sums[best[up]]:
             best[up] = best[node]
-    top = best[0]
-    path = {top}
-    while tree.parent[top] > 0 and tree.parent[top] not in path:
-        top = tree.parent[top]
-        path.add(top)
-    threshold = min(density[node] for node in path)
-    top = best[0]
-    picked = np.zeros(n, bool)
-    picked[top] = True
-    way = path | {0}
+    way = [best[0]]
+    while tree.parent[way[-1]] >= 0:
+        way.append(tree.parent[way[-1]])
+    threshold = min(density[node] for node in way if node or len(way) == 1)
+    top = next((node for node in reversed(way) if tree.tag[node] in ("article", "main")), way[0])
+    above = set(way[way.index(top) + 1 :])
+    links = np.where(tree.link, chars, 0)
+    heavy = 2 * _below(tree, links) > _below(tree, chars)
+    # Text that stands in an element of the way, or there in inline elements, is an area of its own.
+    around = {node: [0, 0] for node in above}
+    run = [-1] * n
+    for node in range(n):
+        run[node] = node if node in above else -1 if block[node] or node == top else run[tree.parent[node]]
+        if run[node] >= 0:
+            around[run[node]][0] += chars[node]
+            around[run[node]][1] += links[node]
+    picked, dropped = np.zeros(n, bool), np.zeros(n, bool)
     for node in range(n):
         up = tree.parent[node]
-        if up >= 0 and picked[up]:
+        if node == top or up >= 0 and picked[up] and up not in above:
+            picked[node] = True
+        elif run[node] >= 0:
+            picked[node] = 2 * around[run[node]][1] <= around[run[node]][0]
+        elif up in above and not heavy[node]:
             picked[node] = True
-        elif not tree.apart[node] and node not in way and density[node] >= threshold:
-            if tree.tag[node] in PARTS and up in way:
-                picked[node] = True
-            elif sums[best[node]] >= 0.2 * sums[top] > 0:
-                picked[best[node]] = True
+        else:  # longer paragraphs in lists of links
+            dropped[node] = up in above or dropped[up]
+            picked[node] = dropped[node] and not heavy[node] and tree.tag[node] in PROSE and density[node] >= threshold
     return picked & ~np.array(tree.apart)
 
 
@@ -182,7 +202,7 @@ def main_text(page: str | None) -> str:
     chars = np.zeros(len(tree.tag), int)
     for node, _, text in texts:
         chars[node] += len("".join(text.split()))
-    picked = chosen(tree, densities(tree, chars))
+    picked = chosen(tree, densities(tree, chars), chars)
     blocks: dict[int, list[str]] = {}
     for node, block, text in texts:
         if picked[node]:

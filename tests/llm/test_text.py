@@ -121,6 +121,21 @@ def test_main_text_without_semantic_elements():
     assert "Link" not in html.main_text(f"<body>{menu}<div>{parts}</div>{menu}</body>")
 
 
+def prose(word, times, n):
+    return f"<p>{f'{word} ' * times}</p>" * n
+
+
+def test_main_text_keeps_unequal_sections_lists_and_headings():
+    menu = "<ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(12)) + "</ul>"
+    article = f"<h1>A heading beside the sections</h1><section>{prose('word', 60, 10)}</section><section><h2>End</h2>{prose('tail', 40, 1)}</section>"
+    items = "<ul>" + "<li>item</li>" * 40 + "</ul>"
+    for page in (f"<body>{menu}<article>{article}{items}</article></body>", f"<body>{menu}<div>{article}{items}</div>{menu}</body>",
+                 f"<body><div>{menu}</div><article>{article}</article><article>{items}</article>{menu}</body>"):
+        text = html.main_text(page)
+        assert text.startswith("A heading beside the sections\n") and "\nEnd\n" in text and "Link" not in text
+        assert (text.count("word"), text.count("tail"), text.count("item")) == (600, 40, 40)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
