@@ -3,7 +3,8 @@
 Each element has its characters per tag, adjusted for the share of them in links. The sum of its children's densities picks
 the subtree that holds the article. Around it the outermost article or main is taken whole, and beside it all that is not links
 for the most part; of lists of links only paragraphs as dense as the least element on the way up to the body.
-Elements that their tag, class or role marks as menu, footer, advert, form, comment and the like are left out beforehand.
+Elements that their tag, class or role marks as menu, footer, advert, form, comment and the like are left out beforehand,
+unless a class, role or form holds a main, the longest article that is not marked itself, or more than half of the unlinked text.
 """
 
 from __future__ import annotations
@@ -28,37 +29,38 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 APART = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "fieldset", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
+#: A mark is a class or id, or starts it, or follows the name of what it belongs to; a state after it (share-enabled) names no such element.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|banners?|cookies?|consent|gdpr|notices?|alerts?|"
+    r"(?:^|\s)(?:(?:site|page|main|post|entry|article|blog|cookie|global)[_-])?(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|banners?|cookies?|consent|gdpr|notices?|alerts?|"
     r"comments?|commentlist|disqus|respond|replies|sidebars?|side-bar|menus?|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend(?:ed|ations)?|"
     r"newsletter|subscribe|subscription|signup|popup|modal|overlay|footer|foot|site-header|page-header|masthead|topbar|toolbar|pagination|pager|skip-link|widgets?|"
-    r"tags?|tagcloud|print-only|hidden|sr-only)(?=$|[\s_-])")
+    r"tags?|tagcloud|print-only|hidden|sr-only)(?=$|[\s_-])"
+    r"(?![_-](?:enabled|disabled|active|inactive|on|off|open|opened|closed|allowed|ready|visible|none|free|xs|sm|md|lg|xl|print|mobile|desktop)(?=$|[\s_-]))")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _apart(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is marked as something other than main text."""
-    if tag in APART or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
+def _apart(tag: str, attributes: str, in_article: bool) -> int:
+    """2 if an element is something other than main text, 1 if it is marked as such but may turn out to hold the article."""
+    marked = int(tag in ("form", "fieldset"))
+    if tag in APART and not marked or tag == "header" and not in_article:
+        return 2
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "") or name in ("class", "id") and MARKS.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            marked = 2
+        elif name == "role" and value in ROLES or name in ("class", "id") and MARKS.search(value):
+            marked = max(marked, 1)
+    return marked
 
 
 class Tree:
     """Elements of a page in document order; node 0 is the root. texts: (node, start of a new block, text)."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.apart, self.link = ["html"], [-1], [False], [False]
+        self.tag, self.parent, self.marked, self.link = ["html"], [-1], [0], [False]
         self.texts: list[tuple[int, int, str]] = []
         at, open_nodes, block, raw = 0, [0], 0, ""
         for found in _TOKEN.finditer(page):
@@ -87,13 +89,38 @@ class Tree:
             self._add(open_nodes, tag, found[3])
         if not raw and at < len(page):
             self.texts.append((open_nodes[-1], block, page[at:]))
+        self.apart = self._set_apart()
+
+    def _set_apart(self) -> list[bool]:
+        """Marked elements and what they hold, but for those that hold a main, the longest unmarked article or most of the unlinked text."""
+        n = len(self.tag)
+        never = [tag in ("html", "body", "article", "main") for tag in self.tag]
+        gone, plain = [False] * n, [0] * n
+        for node in range(1, n):
+            gone[node] = gone[self.parent[node]] or self.marked[node] == 2 and not never[node]
+        for node, _, text in self.texts:
+            if not (gone[node] or self.link[node]):
+                plain[node] += len("".join(text.split()))
+        for node in range(n - 1, 0, -1):
+            plain[self.parent[node]] += plain[node]
+        articles = [node for node in range(n) if self.tag[node] == "article" and not self.marked[node] and plain[node]]
+        longest = max(articles, key=lambda node: plain[node], default=0)
+        held = [False] * n
+        for node in range(n - 1, 0, -1):
+            held[node] = held[node] or node == longest or self.tag[node] == "main" and plain[node] > 0
+            held[self.parent[node]] = held[self.parent[node]] or held[node]
+        apart = [False] * n
+        for node in range(1, n):
+            kept = never[node] or self.marked[node] == 1 and (held[node] or 2 * plain[node] > plain[0])
+            apart[node] = apart[self.parent[node]] or self.marked[node] > 0 and not kept
+        return apart
 
     def _add(self, open_nodes: list[int], tag: str, attributes: str) -> None:
         above = open_nodes[-1]
         article = any(self.tag[n] in ("article", "main") for n in open_nodes)
         self.tag.append(tag)
         self.parent.append(above)
-        self.apart.append(self.apart[above] or _apart(tag, attributes, article))
+        self.marked.append(_apart(tag, attributes, article))
         self.link.append(self.link[above] or tag == "a")
         if tag not in VOID:
             open_nodes.append(len(self.tag) - 1)

@@ -136,6 +136,17 @@ def test_main_text_keeps_unequal_sections_lists_and_headings():
         assert (text.count("word"), text.count("tail"), text.count("item")) == (600, 40, 40)
 
 
+@pytest.mark.parametrize("name", ["overflow-hidden", "content no-sidebar", "elementor-widget elementor-widget-theme-post-content", "has-comments", "share-enabled", "widget", "hidden-xs"])
+def test_marks_never_set_the_article_apart(name):
+    beside = '<div class="related">Elsewhere</div><div class="main-nav">Elsewhere</div><div id="comments"><article class="comment">Elsewhere</article></div>'
+    for body in (prose("word", 60, 4), f"<article>{prose('word', 60, 4)}</article>", f"<main>{prose('word', 60, 4)}</main>"):
+        for page in (f'<body><div class="{name}">{body}</div>{beside}</body>', f'<body><form><section id="{name}">{body}{beside}</section></form></body>'):
+            text = html.main_text(page)
+            assert text.count("word") == 240 and "Elsewhere" not in text
+    half = f'<body><div class="{name}">{prose("word", 60, 2)}</div><div>{prose("other", 60, 3)}</div>{beside}</body>'
+    assert name == "widget" or html.main_text(half).count("word") == 120
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
