@@ -19,7 +19,14 @@ SOCIAL = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 KINDS = {"email": EMAIL, "address": ADDRESS, "date": DATE, "social": SOCIAL, "card": CARD, "phone": PHONE}
 _EDGES = r"(?<![A-Za-z0-9.+@-])(?:{})(?![A-Za-z0-9@-]|\.\d)"
-FOUND = _EDGES.format("|".join(f"(?:{p})" for p in KINDS.values()))
+#: Digit groups in a row that may hold a card beside other numbers; a group that belongs to something else ends it. Possessive: long runs need no stack.
+_GROUP = r"\d++(?![A-Za-z@]|[./]\d|[._%+-][A-Za-z0-9._%+-]{0,63}@)"
+RUN = rf"(?<![A-Za-z0-9.+@-])(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -]{_GROUP})*+"
+#: Groupings of cards, by their number of groups in the order tried: a security code after a card is not joined on.
+GROUPINGS = {1: r"\d{13,19}", 4: r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{3}[ -]\d{3}[ -]\d{3}", 3: r"\d{4}[ -]\d{6}[ -]\d{4,5}",
+             2: r"\d{8}[ -]\d{8}|\d{6}[ -]\d{13}", 5: r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,3}"}
+FOUND = "|".join([*(_EDGES.format(KINDS[k]) for k in ("email", "address", "date", "social")), RUN, _EDGES.format(PHONE)])
+INSIDE = _EDGES.format("|".join(f"(?:{KINDS[k]})" for k in ("date", "social", "phone")))
 HINT = r"\d[ ./-]?\d[ ./()-]{0,2}\d|@"
 #: Days of 1900 to 2099 as a product, so that both halves of the network have whole ranges.
 FIRST_DAY, DAYS = "1900-01-01", (229, 319)
@@ -77,10 +84,14 @@ def _check_digit(body: Column) -> Column:
     return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
+def _luhn(digits: Column) -> Column:
+    return _check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1))
+
+
 def _card(value: Column, key: str) -> Column:
     def of(digits: Column) -> Column:
         body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-        return F.when(_check_digit(body) == F.right(digits, F.lit(1)), _once(
+        return F.when(_luhn(digits), _once(
             _permuted(body, 10, key, "card"), lambda p: _refilled(value, F.concat(p, _check_digit(p)), r"\d")))
 
     return _once(_digits(value), of)
@@ -136,19 +147,70 @@ def pseudonym(value: Column, key: str) -> Column:
     return _once(chosen, lambda c: F.when(c["text"].isNotNull(), c).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text"))))
 
 
+def _with_gaps(text: Column, pattern: str, key: str) -> Column:
+    """Array of (kind, text): what `pattern` finds, and unchanged what lies between."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: pseudonym(m, key))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.lit(None).cast("string").alias("kind"), g.alias("text")))
+    return F.filter(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("new")), lambda z: F.array(z["gap"], z["new"]))), lambda x: x.isNotNull())
+
+
+def _around_cards(run: Column) -> Column:
+    """The run cut in pieces: what stands before a valid card in one of the GROUPINGS, the card, and so on from the left; the last is no card."""
+    def joined(groups: Column, at: Column, many: Column) -> Column:
+        return F.array_join(F.slice(groups, at, many), "")
+
+    def of(groups: Column) -> Column:
+        size, card = F.size(groups), lambda at, many: F.struct(at.alias("at"), many.alias("many"))
+
+        def valid(i: Column, k: Column) -> Column:
+            return _once(F.regexp_replace(joined(groups, i, k), "^[ -]", ""), lambda t: F.when(
+                F.coalesce(*(F.when(k == n, t.rlike(f"^(?:{g})$")) for n, g in GROUPINGS.items())), _luhn(_digits(t))).otherwise(False))
+
+        def step(state: Column, i: Column) -> Column:
+            many = F.when((i >= state["next"]) & (F.length(F.element_at(groups, i)) >= 4), F.get(F.filter(
+                F.array(*map(F.lit, GROUPINGS)), lambda k: (i + k - 1 <= size) & valid(i, k)), F.lit(0)))
+            return _once(many, lambda n: F.when(n.isNotNull(), F.struct((i + n).alias("next"), F.concat(state["cards"], F.array(card(i, n))).alias("cards"))).otherwise(state))
+
+        none = F.struct(F.lit(1).alias("next"), F.from_json(F.lit("[]"), "array<struct<at:int,many:int>>").alias("cards"))
+        found = F.concat(F.aggregate(F.sequence(F.lit(1), size), none, step)["cards"], F.array(card(size + 1, F.lit(0))))
+
+        def pieces(cards: Column) -> Column:
+            def two(c: Column, j: Column) -> Column:
+                start = F.when(j == 0, 1).otherwise(_once(F.get(cards, j - 1), lambda before: before["at"] + before["many"]))
+                between = F.concat(_once(start, lambda at: joined(groups, at, c["at"] - at)), F.regexp_extract(joined(groups, c["at"], F.lit(1)), "^[ -]?", 0))
+                return F.array(between, F.regexp_replace(joined(groups, c["at"], c["many"]), "^[ -]", ""))
+
+            return F.slice(F.flatten(F.transform(cards, two)), F.lit(1), 2 * F.size(cards) - 1)
+
+        return _once(found, pieces)
+
+    return _once(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), of)
+
+
+def pseudonyms(value: Column, key: str) -> Column:
+    """Array of (kind, text) that stands for a found value. A run of digit groups is searched for cards by grouping, then
+    between them for the other kinds; a run with neither is taken for one number."""
+    def of(parts: Column) -> Column:
+        inner = F.flatten(F.transform(parts, lambda part, i: F.when(i % 2 == 1, F.array(pseudonym(part, key))).otherwise(_with_gaps(part, INSIDE, key))))
+        return _once(inner, lambda x: F.when(F.exists(x, lambda y: y["kind"].isNotNull()), x).otherwise(F.array(pseudonym(value, key))))
+
+    return F.when(value.rlike("^[0-9 -]+$"), _once(_around_cards(value), of)).otherwise(F.array(pseudonym(value, key)))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with text pseudonymised, and found: an array of (kind, text) of the pseudonyms in order.
 
+    A card is found beside other numbers if it is unbroken or in one of the GROUPINGS; other groupings only by themselves.
     Validated are: addresses of four bytes, dates of 1900 to 2099, social security numbers, card numbers (Luhn), phone numbers
     by format, and the names of e-mail addresses. Null texts stay null, texts without such values unchanged, both with an
     empty array. Repeated rows repeat their result; no rows give none; other columns stay, but `found` is replaced.
     """
     text = F.col("text").cast("string")
     parts = F.split(text, FOUND, -1)
-    new = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda m: pseudonym(m, key))
-    none = F.from_json(F.lit("[]"), "array<struct<kind:string,text:string>>")
+    new = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda m: pseudonyms(m, key))
+    none = F.from_json(F.lit("[]"), "array<array<struct<kind:string,text:string>>>")
     rows = docs.drop("found").withColumn("_new", F.when(text.rlike(HINT), new).otherwise(none))
-    joined = F.array_join(F.transform(F.arrays_zip(parts.alias("gap"), F.transform("_new", lambda n: n["text"]).alias("new")),
+    joined = F.array_join(F.transform(F.arrays_zip(parts.alias("gap"), F.transform("_new", lambda n: F.array_join(F.transform(n, lambda x: x["text"]), "")).alias("new")),
                                       lambda z: F.concat(z["gap"], F.coalesce(z["new"], F.lit("")))), "")
     return rows.withColumn("text", F.when(F.size("_new") > 0, joined).otherwise(text)).withColumn(
-        "found", F.filter(F.coalesce("_new", none), lambda n: n["kind"].isNotNull())).drop("_new")
+        "found", F.filter(F.flatten(F.coalesce("_new", none)), lambda n: n["kind"].isNotNull())).drop("_new")

@@ -204,6 +204,22 @@ def test_pseudonyms_keep_formats_and_links(docs_of):
     assert (rows[3].text, rows[4].text, rows[5].text, rows[3].found) == (None, "plain 12 text", "", [])
 
 
+def test_numbers_beside_a_card_or_phone_are_not_joined_on(docs_of):
+    card, spaced, phone = "4111111111111111", "4111 1111 1111 1111", "555-123-4567"
+    alone = [f.text for f in pseudonyms.pseudonymise(docs_of((1, f"{card}, {phone}, 2024-02-29, 3782 822463 10005, 12/27/2024, a@example.com")), "k").first().found]
+    rows = [f"card {spaced} 12/27", f"{card} 123", f"2 {card}", f"1234 {spaced}", f"{spaced} 12/27/2024", f"{spaced} {phone}", f"123 {phone}", f"{phone} 4321",
+            "5 2024-02-29 12345", f"{spaced} 3782 822463 10005 7", f"{spaced} 12.a@example.com", f"{card} {card}", f"{spaced} 555-12x", "1 2 3 " * 20_000 + spaced]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(*enumerate(rows)), "k").collect()}
+    kinds = [[f.kind for f in got[i].found] for i in range(len(rows))]
+    assert kinds == [["card"]] * 4 + [["card", "date"], ["card", "phone"], ["phone"], ["phone"], ["date"], ["card", "card"], ["card", "email"], ["card"] * 2, ["card"], ["card"]]
+    bare = {re.sub(r"\D", "", x) for x in alone}
+    for i, row in enumerate(rows):
+        assert all(re.sub(r"\D", "", f.text) in bare for f in got[i].found if f.kind != "email")
+        assert card not in re.sub(r"\D", "", got[i].text) and phone not in got[i].text and "a@" not in got[i].text
+        assert re.sub("[a-z0-9]", "0", got[i].text) == re.sub("[a-z0-9]", "0", row)
+    assert got[0].text.endswith(" 12/27") and got[1].text == f"{alone[0]} 123" and got[2].text == f"2 {alone[0]}"
+
+
 def test_the_network_is_a_permutation(spark):
     pairs = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert pairs.select(pseudonyms._permuted(F.col("v"), 10, "k", "x").alias("p")).distinct().count() == 1000
