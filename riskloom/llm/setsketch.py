@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, sketch: SetSketch = SetSketch(), length: in
     classes = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
     copies = filled.join(classes.where("last > node"), ["f1", "f2", "n_shingles"]).select("node", "doc_id")
     repeated = filled.groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low != high").select("doc_id")
-    copies = checkpoint(copies.where("doc_id != node"))
+    copies = checkpoint(copies.where("doc_id != node").distinct())  # rows that repeat an id are one document
     nodes = filled.join(copies.join(repeated, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_anti").select(
         F.col("doc_id").alias("node"), "n_shingles", "registers")
 

@@ -83,6 +83,12 @@ def test_repeated_and_missing_ids(docs_of):
     assert setsketch.near_duplicates(docs_of((1, "a")).where("false")).count() == 0
 
 
+def test_rows_that_repeat_an_id_and_text_stay_as_many(docs_of):
+    for rows in ([(3, "a b c"), (9, "a b c"), (9, "a b c")], [(3, "a b c"), (3, "a b c"), (9, "a b c"), (9, "a b c"), (9, "a b c"), (12, "d e")]):
+        found = setsketch.near_duplicates(docs_of(*rows)).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(i, 12 if i == 12 else 3, i != 9) for i, _ in rows]
+
+
 def test_registers_merge_and_estimate():
     sketch, rng = setsketch.SetSketch(), np.random.default_rng(2)
     pool = words.mix(rng.integers(0, 2**63, 3_000).astype(np.uint64))
