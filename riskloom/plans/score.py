@@ -173,10 +173,10 @@ def _prepared_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, Featur
     return parts, fit_features(parts.where(F.col("split") == "train"), LINE_FEATURES)
 
 
-def _evaluated(spark: SparkSession, folder: str, name: str, **settings) -> DataFrame:
+def _evaluated(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Fit on the training part, score validation and test once, and report every metric."""
     parts, state = _prepared_lines(spark, folder)
-    model = models.FITTERS[name](models.training_rows(parts, state, "y"), **settings)
+    model = models.FITTERS[name](models.training_rows(parts, state, "y"))
     scorer = scoring.build_scorer(name, model, state, score_kind="probability")
     scored = scoring.score_batch(parts.where(F.col("split") != "train"), scorer, ["split", "y"])
     # Every metric reads the scores, so the model's output is stored once.
@@ -189,11 +189,11 @@ def logistic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def random_forest(spark: SparkSession, folder: str) -> DataFrame:
-    return _evaluated(spark, folder, "random_forest", numTrees=20, maxDepth=6)
+    return _evaluated(spark, folder, "random_forest")
 
 
 def gbt(spark: SparkSession, folder: str) -> DataFrame:
-    return _evaluated(spark, folder, "gradient_boosting", maxIter=10, maxDepth=3)
+    return _evaluated(spark, folder, "gradient_boosting")
 
 
 ORDER_FEATURES = ["price", "line_count", "line_amount"]
@@ -214,7 +214,7 @@ def _prepared_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, Featu
 def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
     parts, state = _prepared_orders(spark, folder)
     train = parts.where(F.col("split") == "train")
-    forest = iforest.fit_isolation_forest(transform_features(train, state, ["o_orderkey"]), "o_orderkey", state.names, trees=100, seed=SEED)
+    forest = iforest.fit_isolation_forest(transform_features(train, state, ["o_orderkey"]), "o_orderkey", state.names, seed=SEED)
     scorer = scoring.build_scorer("isolation_forest", forest, state, score_kind="anomaly",
                                   reference=scoring.training_reference(forest, train, state))
     return scoring.score_batch(parts, scorer, ["o_orderkey", "split"])
@@ -225,8 +225,8 @@ def investigation(spark: SparkSession, folder: str) -> DataFrame:
     model = models.fit_logistic(models.training_rows(parts, state, "y"))
     scorer = scoring.build_scorer("logistic_regression", model, state, score_kind="probability")
     train = transform_features(parts.where(F.col("split") == "train"), state, ["o_orderkey"])
-    background = explain.background_rows(bottom_by_digest(train, "o_orderkey", LINEAR_BACKGROUND, SEED), state.names)
-    return investigate.investigate(parts, "o_orderkey", scorer, background, time="order_time", amount="price", top=2, max_evals=21)
+    background = explain.background_rows(bottom_by_digest(train, "o_orderkey", explain.MAX_BACKGROUND_ROWS, SEED), state.names)
+    return investigate.investigate(parts, "o_orderkey", scorer, background, time="order_time", amount="price")
 
 
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,10 +234,10 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     parts, state = _prepared_orders(spark, folder)
     train = parts.where(F.col("split") == "train")
     rows = models.training_rows(parts, state, "y")
-    forest = iforest.fit_isolation_forest(transform_features(train, state, ["o_orderkey"]), "o_orderkey", state.names, trees=50, seed=SEED)
+    forest = iforest.fit_isolation_forest(transform_features(train, state, ["o_orderkey"]), "o_orderkey", state.names, seed=SEED)
     scorers = [
         scoring.build_scorer("logistic_regression", models.fit_logistic(rows), state, score_kind="probability"),
-        scoring.build_scorer("gradient_boosting", models.fit_boosting(rows, maxIter=5, maxDepth=3), state, score_kind="probability"),
+        scoring.build_scorer("gradient_boosting", models.fit_boosting(rows), state, score_kind="probability"),
         scoring.build_scorer("isolation_forest", forest, state, score_kind="anomaly",
                              reference=scoring.training_reference(forest, train, state)),
     ]

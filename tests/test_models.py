@@ -1,5 +1,7 @@
 import math
 
+from unittest.mock import MagicMock
+
 import numpy as np
 import pytest
 from conftest import NAMES, modular_toy, wide_frame
@@ -216,3 +218,28 @@ def test_modular_toy_chain(spark):
     scored = scoring.score_batch(out.where("split <> 'train'"), scorer, ["split", "Class"])
     rows = {r.split: r.row_count for r in metrics.evaluate_models(scored, "Class", "raw_score", "model_alert").collect()}
     assert rows == {"validation": 36, "test": 36}
+
+
+def test_registered_model_queries_use_the_defaults(monkeypatch):
+    from riskloom.plans import score
+
+    calls = []
+    note = lambda name: lambda *a, **k: calls.append((name, k))
+    for name in ("evaluate_models", ):
+        monkeypatch.setattr(score.metrics, name, note(name))
+    for name in ("_prepared_lines", "_prepared_orders"):
+        monkeypatch.setattr(score, name, lambda *_: (MagicMock(), MagicMock()))
+    for module, names in ((score, ["transform_features", "cut_lineage", "bottom_by_digest"]), (score.models, ["training_rows", "fit_logistic"]),
+                          (score.scoring, ["training_reference", "score_batch", "build_scorer"]), (score.evaluate, ["compare_scorers"]), (score.explain, ["background_rows"])):
+        for name in names:
+            monkeypatch.setattr(module, name, MagicMock())
+    monkeypatch.setattr(score.F, "col", MagicMock())
+    monkeypatch.setattr(score.iforest, "fit_isolation_forest", note("isolation"))
+    monkeypatch.setattr(score.models, "fit_boosting", note("boosting"))
+    monkeypatch.setattr(score.investigate, "investigate", note("investigate"))
+    monkeypatch.setattr(score.models, "FITTERS", {"random_forest": note("forest"), "gradient_boosting": note("boosting")})
+    for query in ("random_forest", "gbt", "isolation_forest", "model_comparison", "investigation"):
+        score.QUERIES[query](None, "")
+    given = [(name, sorted(k)) for name, k in calls if name != "evaluate_models"]
+    assert given == [("forest", []), ("boosting", []), ("isolation", ["seed"]), ("isolation", ["seed"]), ("boosting", []), ("investigate", ["amount", "time"])]
+    assert score.bottom_by_digest.call_args.args[2] == score.explain.MAX_BACKGROUND_ROWS
