@@ -127,32 +127,35 @@ def forest_from_nodes(nodes: pd.DataFrame, names: Sequence[str], sample: int) ->
     )
 
 
+def _draws(size: int, trees: int, drawn: int, seed: int) -> tuple[pd.DataFrame, int]:
+    """(tree, place) of `drawn` of `size` rows for each tree, and how many distinct rows they are; places number those from 0."""
+    random = np.random.default_rng(seed)
+    rows = np.concatenate([random.choice(size, drawn, replace=False) for _ in range(trees)])
+    distinct, place = np.unique(rows, return_inverse=True)
+    return pd.DataFrame({"tree": np.repeat(np.arange(trees, dtype="int32"), drawn), "place": place.astype("int32")}), len(distinct)
+
+
 def fit_isolation_forest(train: DataFrame, key: str, names: Sequence[str], *, trees: int = TREES,
                          sample: int = SAMPLE, seed: int = SEED) -> IsolationForest:
     """Grows the forest from numeric training columns; labels are not an input.
 
-    A seeded pool of at most trees x sample rows is taken by key digest, then each tree draws its
-    rows from the pool without replacement. Only the pool is ever joined or grouped.
+    Each tree draws its rows from the whole training part without replacement. The distinct rows drawn, at most
+    trees x sample, are those of the smallest key digests: only they are ever joined or grouped.
     """
     if trees < 1 or sample < 2:
         raise ValidationError("An isolation forest needs at least one tree and two rows per tree")
     spark = train.sparkSession
-    wanted = trees * sample
     source = train.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+    size = source.count()
+    if size < 2:
+        raise ValidationError("An isolation forest needs at least two training rows")
+    drawn = min(sample, size)
+    draws, wanted = _draws(size, trees, drawn, seed)
     pool = bottom_by_digest(source, "key", wanted, seed)
     # The pool holds at most trees x sample rows, whatever the table size, so one window may number it.
     pool = pool.withColumn("place", F.row_number().over(
         Window.partitionBy(F.lit(0)).orderBy(key_digest("key", seed), "key")) - 1).persist()
     try:
-        size = pool.count()
-        if size < 2:
-            raise ValidationError("An isolation forest needs at least two training rows")
-        drawn = min(sample, size)
-        random = np.random.default_rng(seed)
-        draws = pd.DataFrame({
-            "tree": np.repeat(np.arange(trees, dtype="int32"), drawn),
-            "place": np.concatenate([random.choice(size, drawn, replace=False) for _ in range(trees)]).astype("int32"),
-        })
         picks = spark.createDataFrame(draws, "tree int, place int")
         limit = int(np.ceil(np.log2(max(drawn, 2))))
         nodes = (

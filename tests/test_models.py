@@ -243,3 +243,10 @@ def test_registered_model_queries_use_the_defaults(monkeypatch):
     given = [(name, sorted(k)) for name, k in calls if name != "evaluate_models"]
     assert given == [("forest", []), ("boosting", []), ("isolation", ["seed"]), ("isolation", ["seed"]), ("boosting", []), ("investigate", ["amount", "time"])]
     assert score.bottom_by_digest.call_args.args[2] == score.explain.MAX_BACKGROUND_ROWS
+
+
+def test_trees_draw_from_the_whole_training_part():
+    draws, distinct = iforest._draws(10**9, 20, 64, 42)
+    assert distinct == 20 * 64 and sorted(draws["place"]) == list(range(20 * 64))  # so many rows of a large table are never shared
+    draws, distinct = iforest._draws(300, 20, 64, 42)
+    assert 64 < distinct <= 300 and draws["place"].max() == distinct - 1 and not draws.duplicated().any()
