@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import bpe, html, mixing, pseudonyms, repetition, revisits, secrets, setsketch, topk, toxicity
+from riskloom.llm import bpe, html, mixing, pseudonyms, repetition, revisits, secrets, setsketch, topk, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,3 +226,36 @@ def op6_pseudonyms(spark: SparkSession, folder: str, key: str = "a key that a de
 
 
 QUERIES["op6_pseudonyms"] = op6_pseudonyms
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
+QUERIES["op12_prefix_trie"] = op12_prefix_trie
+
+# The checksum of the decimal id is taken bit by bit; prefixes are compared as whole lists of (role, text).
+ORACLES["op12_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY r) AS turns,
+    xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT) % 4 AS h
+  FROM t GROUP BY conv_id),
+seqs AS (SELECT c.conv_id, coalesce(d.turns[1 : c.h], []) || c.turns[c.h + 1 :] AS s FROM c LEFT JOIN c d ON d.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, s, d, s[1 : d] AS node FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+n AS (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(node[d].text, '[^\x20\x09-\x0D]+')) END AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = len(s)), '')) AS ends_sha256
+  FROM p GROUP BY node, d),
+k AS (SELECT node[1 : depth - 1] AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, depth)),
+up AS (SELECT m.node[1 : a] AS node, a AS depth, saved, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM m) m),
+sub AS (SELECT node, depth, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY node, depth)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, sub.n_leaves,
+  CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN sub USING (node, depth) LEFT JOIN n q ON m.depth > 0 AND q.depth = m.depth - 1 AND q.node = m.node[1 : m.depth - 1]"""
