@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import bpe, html, mixing, pseudonyms, repetition, revisits, secrets, setsketch, topk, toxicity, trie
+from riskloom.llm import bpe, html, mixing, pieces, pseudonyms, records, repetition, revisits, secrets, setsketch, topk, toxicity, trie
+from riskloom.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -259,3 +261,18 @@ sub AS (SELECT node, depth, sum(saved) AS saved_tokens, count(*) FILTER (n_child
 SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, sub.n_leaves,
   CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
 FROM m JOIN sub USING (node, depth) LEFT JOIN n q ON m.depth > 0 AND q.depth = m.depth - 1 AND q.node = m.node[1 : m.depth - 1]"""
+
+
+def op13_records(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    """All documents as token records in ascending order of id, written and read back from the files."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    target = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    records.write_records(pieces.sequences(records.in_order(_table(spark, folder, "documents")), tokenizer, end=2), target)
+    found = records.read_records(spark, target)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES["op13_records"] = op13_records
