@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import bpe, html, mixing, pieces, pseudonyms, records, repetition, revisits, secrets, setsketch, topk, toxicity, trie
+from riskloom.llm import bpe, divergence, html, mixing, pieces, pseudonyms, records, repetition, revisits, secrets, setsketch, topk, toxicity, trie
 from riskloom.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,3 +276,36 @@ def op13_records(spark: SparkSession, folder: str, tokenizer: str | None = None)
 
 
 QUERIES["op13_records"] = op13_records
+
+
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """All sources of all languages against each other and, term by term, against their language."""
+    return divergence.divergence(_table(spark, folder, "documents"), least=3, best=200)
+
+
+QUERIES["op11_divergence"] = op11_divergence
+
+ORACLES["op11_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT i) AS docs FROM (SELECT i, lang, source, unnest(terms) AS term FROM d) GROUP BY lang, source, term),
+k AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+s AS (
+  SELECT g.lang, g.source, coalesce(m.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN (SELECT lang, source, sum(t.n) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source) m USING (lang, source)),
+p AS (
+  SELECT s.lang, s.source, k.term, coalesce(t.n, 0) AS c,
+    CAST(1 + (1000000000::HUGEINT * (coalesce(t.n, 0) + 1)) // (s.n + v.v) AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (k.n + 1)) // (v.n + v.v) AS BIGINT) AS q
+  FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN t ON t.lang = s.lang AND t.source = s.source AND t.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200"""
