@@ -11,9 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of text at a time; pieces and ids that a task remembers.
-_CHUNK, _PIECES, _IDS = 4 << 20, 400_000, 4_000_000
+_CHUNK, _PIECES, _IDS = 2 << 20, 300_000, 3_000_000
 #: Pieces encoded in one call, and the mark between them: a control that is a token of its own.
 _TOGETHER, _MARK = 256, "\x01"
+_BETWEEN = f" {_MARK} "
+#: Such texts encoded in one call.
+_CALLS = 64
 _LOADED: dict[int, Pieces] = {}
 
 
@@ -32,63 +35,82 @@ class Pieces:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool = np.empty(1 << 16, np.uint32)
-        self.starts, self.ends, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-
-    def _keep(self, piece: str, ids: np.ndarray) -> None:
-        number = self.known[piece] = len(self.known)
-        if number == len(self.starts):
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.ends = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Numbers pieces whose ids are ids[start:end]; ids become part of the pool."""
+        first = len(self.known)
+        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        while len(self.known) > len(self.starts):
             self.starts, self.ends = np.concatenate([self.starts] * 2), np.concatenate([self.ends] * 2)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool] * 2)
         self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[number], self.ends[number] = self.used, self.used + len(ids)
+        self.starts[first : len(self.known)], self.ends[first : len(self.known)] = starts + self.used, ends + self.used
         self.used += len(ids)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces; they stand together in one text where a mark that they do not hold can part them."""
+        """Encodes new pieces; they stand together in one text where a mark that they do not hold can part them."""
+        apart = [p for p in pieces if _MARK in p] if len(self.mark) == 1 else pieces
         together = [p for p in pieces if _MARK not in p] if len(self.mark) == 1 else []
         groups = [together[i : i + _TOGETHER] for i in range(0, len(together), _TOGETHER)]
-        alone = [p for p in pieces if _MARK in p] if len(self.mark) == 1 else list(pieces)
-        for group, ids in zip(groups, self._encode([f" {_MARK} ".join(g) for g in groups]), strict=True):
-            marks = np.flatnonzero(ids == self.mark[0])
-            if len(marks) != len(group) - 1:
-                alone += group
-                continue
-            edges = [-1, *marks.tolist(), len(ids)]
-            for piece, a, b in zip(group, edges, edges[1:]):
-                self._keep(piece, ids[a + 1 : b])
-        for piece, ids in zip(alone, self._encode(alone), strict=True):
-            self._keep(piece, ids)
+        for at in range(0, len(groups), _CALLS):
+            part = groups[at : at + _CALLS]
+            for group, ids in zip(part, self._encode([_BETWEEN.join(g) for g in part]), strict=True):
+                marks = np.flatnonzero(ids == self.mark[0])
+                if len(marks) == len(group) - 1:
+                    self._keep(group, ids, np.concatenate([[0], marks + 1]), np.append(marks, len(ids)))
+                else:
+                    apart = apart + group
+        for piece, ids in zip(apart, self._encode(apart), strict=True):
+            self._keep([piece], ids, np.array([0]), np.array([len(ids)]))
+
+    def numbers(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the two parts of each piece, its closing points apart: both have the ids that the whole piece has."""
+        heads, tails = zip(*map(_parted, distinct), strict=True) if distinct else ((), ())
+        wanted = {*heads, *tails}
+        if len(self.known) + len(wanted) > _PIECES or self.used > _IDS:
+            self.clear()
+        self.learn(list(wanted.difference(self.known)))
+        return tuple(np.fromiter(map(self.known.__getitem__, part), np.int64, len(distinct)) for part in (heads, tails))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, the end id after each; offset of each text in them)."""
         lists = pc.split_pattern_regex(texts, pattern=r"[\x20\x09-\x0D]+")
         found = lists.flatten().dictionary_encode()
-        distinct = found.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > _PIECES or self.used > _IDS:
-            self.clear()
-            new = distinct
-        self.learn(new)
-        places = np.array([self.known[p] for p in distinct], np.int64)
-        counts = np.asarray(pc.list_value_length(lists))
-        last = np.cumsum(counts)
-        runs = np.insert(places[np.asarray(found.indices)], last, -1)
+        parts = self.numbers(found.dictionary.to_pylist())
+        last = np.cumsum(np.asarray(pc.list_value_length(lists)))
+        at = np.asarray(found.indices)
+        runs = np.insert(np.stack([p[at] for p in parts], axis=1), last, -1, axis=0).ravel()
         starts, sizes = self.starts[runs], (self.ends - self.starts)[runs]
-        sizes[runs < 0] = 1
+        sizes[runs < 0] = 0
+        ends = 2 * (last + np.arange(1, len(last) + 1)) - 1  # the second half of each row of -1 is the end id
+        sizes[ends] = 1
         edges = np.concatenate([[0], np.cumsum(sizes)])
         take = np.repeat(starts - edges[:-1], sizes) + np.arange(edges[-1])
-        offsets = edges[np.concatenate([[0], last + np.arange(1, len(last) + 1)])]
+        offsets = np.concatenate([[0], edges[ends + 1]])
         take[offsets[1:] - 1] = 0
         ids = self.pool[take]
         ids[offsets[1:] - 1] = end
         return ids, offsets
 
 
+def _parted(piece: str) -> tuple[str, str]:
+    """A piece and the points at its end, if a common letter stands before them; capital letters A-Z do not matter to ids.
+
+    The library cuts between a letter and a point, and a point that ends a piece joins nothing behind it.
+    """
+    head = piece.rstrip(".,;:!?")
+    if not head or not (head[-1] <= "\u024f" and head[-1].isalpha()):
+        head = piece
+    tail = piece[len(head) :]
+    return head.lower() if head.isascii() and "<|" not in head else head, tail
+
+
 def sequences(docs: DataFrame, path: str, end: int) -> DataFrame:
     """(doc_id, ids) of every row of docs(doc_id, text), partitions and order kept; ids are 4-byte little-endian numbers.
 
