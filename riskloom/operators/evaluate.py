@@ -18,10 +18,10 @@ KEYS = ("model_name", "split")
 def check_scorers(scorers: Sequence[Scorer]) -> None:
     """At least one scorer, unique non-empty names, and one shared feature order."""
     if not scorers:
-        raise ValidationError("At least one fitted model specification is required")
+        raise ValidationError("Nothing to compare: no scorer given")
     names = [s.model_name.strip() for s in scorers]
-    if any(not n for n in names) or len(set(names)) != len(names):
-        raise ValidationError("Model names must be non-empty and unique")
+    if len(set(names)) != len(names):
+        raise ValidationError("Compared models need unique names")
     if any(s.state.names != scorers[0].state.names for s in scorers):
         raise ValidationError("Compared models must share their feature names and order")
 

@@ -10,12 +10,13 @@ import json
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.errors import ValidationError
+from riskloom.operators.models import positive_probability
 from riskloom.operators.ranks import bottom_by_digest
-from riskloom.operators.scoring import Scorer, anomaly_percentile
+from riskloom.operators.scoring import Scorer
 
 # Bounds of the explanation request and its tolerance.
 MAX_BACKGROUND_ROWS = 100
@@ -151,19 +152,13 @@ def explain_cases(cases: DataFrame, key: str, scorer: Scorer, background: Sequen
 
 def scorer_rows(scorer: Scorer) -> ScoreRows:
     """Scores an array column `x` of prepared features on the scorer's 0-100 scale."""
-    names = scorer.state.names
-    if scorer.score_kind == "probability":
-        def by_probability(df: DataFrame) -> DataFrame:
-            out = scorer.model.transform(df.withColumn("features", array_to_vector("x")))
-            return out.withColumn("score", vector_to_array("probability")[1] * 100.0).drop(
-                "features", "rawPrediction", "probability", "prediction")
-        return by_probability
-
-    def by_percentile(df: DataFrame) -> DataFrame:
-        raw = df.withColumn("raw_score", scorer.model.score([F.col("x")[i] for i in range(len(names))]))
-        return anomaly_percentile(raw, scorer.reference, "raw_score", out="score").drop("raw_score")
-
-    return by_percentile
+    direct = scorer.raw_of([F.col("x")[i] for i in range(len(scorer.state.names))])
+
+    def score(df: DataFrame) -> DataFrame:
+        raw = positive_probability(scorer.model, df.withColumn("features", array_to_vector("x"))).drop("features") if direct is None else df.withColumn("raw_score", direct)
+        return scorer.scaled(raw).drop("raw_score")
+
+    return score
 
 
 def require_additive(explained: DataFrame) -> DataFrame:

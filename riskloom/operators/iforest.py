@@ -42,10 +42,8 @@ class IsolationForest:
         depth_limit = int(np.ceil(np.log2(max(self.sample, 2))))
         expected = average_path(self.sample)
 
-        def anomaly(rows: pd.Series) -> pd.Series:
-            if not len(rows):
-                return pd.Series(dtype="float64")
-            x = np.stack(rows.to_numpy()).astype(np.float64)
+        def anomaly(*columns: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(np.float64) for c in columns])
             index = np.arange(len(x))
             total = np.zeros(len(x))
             for root in roots:
@@ -59,7 +57,7 @@ class IsolationForest:
             depth = total / len(roots)
             return pd.Series(2.0 ** (-depth / expected) if expected else np.ones(len(x)))
 
-        return F.pandas_udf(anomaly, "double")(F.array(*[f.cast("double") for f in features]))
+        return F.pandas_udf(anomaly, "double")(*[f.cast("double") for f in features])
 
     def node_frame(self, df: DataFrame) -> DataFrame:
         """The forest as a table, for storage."""

@@ -7,11 +7,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.errors import ValidationError
+from riskloom.operators import trees
 from riskloom.operators.features import FeatureState, assemble
 from riskloom.operators.quality import require_target
 
@@ -19,8 +20,10 @@ from riskloom.operators.quality import require_target
 DECISION_THRESHOLD = 0.5
 SEED = 42
 LOGISTIC = {"maxIter": 2000, "tol": 1e-8, "elasticNetParam": 0.0, "standardization": False}
-FOREST = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 2, "subsamplingRate": 0.8, "featureSubsetStrategy": "sqrt"}
-BOOSTING = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+FOREST = {"trees": 200, "depth": 20, "least": 2, "share": 0.8, "bins": 256}
+BOOSTING = {"rounds": 300, "depth": 4, "rate": 0.05, "share": 0.8, "columns": 0.8, "most": 1.0, "penalty": 1.0, "least": 1.0, "bins": 256}
+#: Labelled rows of each class that trees are grown on at most, about.
+ROWS_PER_CLASS = 20_000
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,7 @@ class Training:
 
     rows: DataFrame
     counts: dict[int, int]
+    names: tuple[str, ...] = ()
 
     @property
     def total(self) -> int:
@@ -39,7 +43,7 @@ def training_rows(prepared: DataFrame, state: FeatureState, target: str) -> Trai
     """The training partition only: holdout rows and labels never reach a fit."""
     train = prepared.where(F.col("split") == "train")
     counts = require_target(train, target)
-    return Training(assemble(train.withColumn("label", F.col(target).cast("double")), state, ["label"]), counts)
+    return Training(assemble(train.withColumn("label", F.col(target).cast("double")), state, ["label"]), counts, tuple(state.names))
 
 
 def _balanced(training: Training) -> DataFrame:
@@ -59,16 +63,18 @@ def fit_logistic(training: Training, c: float = 1.0, **settings):
     return model
 
 
-def fit_forest(training: Training, seed: int = SEED, **settings):
-    """Class-balanced random forest (weights over the whole training part, not per bootstrap)."""
-    return RandomForestClassifier(weightCol="weight", seed=seed, **(FOREST | settings)).fit(_balanced(training))
+def _labelled(training: Training) -> DataFrame:
+    return training.rows.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"))
 
 
-def fit_boosting(training: Training, seed: int = SEED, **settings):
-    """Gradient-boosted trees; positives weigh negatives / positives of the training part."""
-    positive = training.counts[0] / training.counts[1]
-    rows = training.rows.withColumn("weight", F.when(F.col("label") == 1, positive).otherwise(1.0))
-    return GBTClassifier(weightCol="weight", seed=seed, **(BOOSTING | settings)).fit(rows)
+def fit_forest(training: Training, seed: int = SEED, rows_per_class: int = ROWS_PER_CLASS, **settings) -> trees.TreeEnsemble:
+    """Random forest whose classes are balanced within each tree's bootstrap, on a bounded number of labelled rows."""
+    return trees.fit_forest(_labelled(training), training.counts, training.names, seed=seed, rows_per_class=rows_per_class, **(FOREST | settings))
+
+
+def fit_boosting(training: Training, seed: int = SEED, rows_per_class: int = ROWS_PER_CLASS, **settings) -> trees.TreeEnsemble:
+    """Second-order boosted trees on a bounded number of labelled rows; positives weigh negatives / positives of the training part."""
+    return trees.fit_boosting(_labelled(training), training.counts, training.names, seed=seed, rows_per_class=rows_per_class, **(BOOSTING | settings))
 
 
 FITTERS: dict[str, Callable] = {
@@ -77,6 +83,9 @@ FITTERS: dict[str, Callable] = {
 
 
 def positive_probability(model, df: DataFrame) -> DataFrame:
-    """Adds `raw_score`, the probability of class 1."""
+    """Adds `raw_score`, the probability of class 1, to rows with a `features` vector."""
+    if isinstance(model, trees.TreeEnsemble):
+        x = vector_to_array("features")
+        return df.withColumn("raw_score", model.probability([x[j] for j in range(model.numFeatures)]))
     out = model.transform(df).withColumn("raw_score", vector_to_array("probability")[1])
     return out.drop("rawPrediction", "probability", "prediction")

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.errors import ValidationError
-from riskloom.functions.columns import as_percent, check_bands, is_infinite, risk_level
+from riskloom.functions.columns import as_percent, check_bands, risk_level
 from riskloom.operators.features import FeatureState, assemble, feature_columns
 from riskloom.operators.iforest import ALERT_ABOVE, IsolationForest
 from riskloom.operators.models import DECISION_THRESHOLD, positive_probability
+from riskloom.operators.percentiles import PercentileIndex, build_index
 from riskloom.operators.ranks import running_totals
-from riskloom.session import cut_lineage
+from riskloom.operators.trees import TreeEnsemble
 
 # The wording attached to scores and alerts.
 PROBABILITY_BASIS = "uncalibrated model probability × 100"
@@ -33,61 +34,108 @@ class BandPolicy:
 
 @dataclass(frozen=True)
 class Scorer:
-    """A fitted model with the feature state and score scale it was built for."""
+    """A fitted model with the feature state it was built for and the bands of its 0-100 scale.
+
+    A kind of scorer states its contract as named conditions; constructing one that breaks some raises with their names.
+    """
 
     model_name: str
     model: Any
     state: FeatureState
-    score_kind: str
-    policy: BandPolicy = field(default_factory=BandPolicy)
-    threshold: float | None = DECISION_THRESHOLD
-    reference: DataFrame | None = None
-    reference_rows: int = 0
+    policy: BandPolicy = field(default_factory=BandPolicy, kw_only=True)
+    score_kind: ClassVar[str]
+    basis: ClassVar[str]
+    threshold: ClassVar[float | None] = None
+    reference_rows: ClassVar[int] = 0
+
+    def __post_init__(self):
+        broken = [name for name, holds in self.contract().items() if not holds]
+        if broken:
+            raise ValidationError(f"{type(self).__name__} refused: {', '.join(broken)}")
+
+    def contract(self) -> dict[str, bool]:
+        names = self.state.names
+        return {"a name": isinstance(self.model_name, str) and bool(self.model_name.strip()), "features": bool(names), "distinct features": len(set(names)) == len(names)}
+
+    def raw(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Kept columns plus `raw_score`; the model runs once per row."""
+        raise NotImplementedError
+
+    def raw_of(self, features: Sequence[Column]) -> Column | None:
+        """`raw_score` from feature columns, where the model is a column expression."""
+        return None
+
+    def scaled(self, scored: DataFrame) -> DataFrame:
+        """Adds `score`, 0 to 100, to rows with `raw_score`."""
+        raise NotImplementedError
+
+    def alert(self) -> Column:
+        raise NotImplementedError
 
-    @property
-    def basis(self) -> str:
-        return PROBABILITY_BASIS if self.score_kind == "probability" else ANOMALY_BASIS
+
+@dataclass(frozen=True)
+class ProbabilityScorer(Scorer):
+    """Class-1 probability of a two-class model, times 100; alerts from a threshold on."""
+
+    threshold: float = field(default=DECISION_THRESHOLD, kw_only=True)
+    score_kind = "probability"
+    basis = PROBABILITY_BASIS
+
+    def contract(self) -> dict[str, bool]:
+        share = isinstance(self.threshold, (int, float)) and 0 <= self.threshold <= 1
+        return super().contract() | {
+            "a model of two classes": getattr(self.model, "numClasses", None) == 2,
+            "a model of these features": getattr(self.model, "numFeatures", len(self.state.names)) == len(self.state.names), "a threshold from 0 to 1": share}
 
     @property
     def decision_method(self) -> str:
-        if self.score_kind == "probability":
-            return f"positive-class probability >= {self.threshold:g}"
-        return ANOMALY_DECISION
-
-
-def build_scorer(model_name: str, model: Any, state: FeatureState, *, score_kind: str, policy: BandPolicy | None = None,
-                 threshold: float | None = DECISION_THRESHOLD, reference: DataFrame | None = None) -> Scorer:
-    """Binds a fitted model to its scale; an anomaly scale needs the raw scores of training rows only."""
-    if not isinstance(model_name, str) or not model_name.strip():
-        raise ValidationError("model_name must be a non-empty string")
-    names = state.names
-    if not names or len(set(names)) != len(names):
-        raise ValidationError("feature names must be non-empty and unique")
-    if score_kind not in ("probability", "anomaly"):
-        raise ValidationError(f"Unsupported score kind: {score_kind}")
-    rows = 0
-    if score_kind == "probability":
-        if reference is not None:
-            raise ValidationError("A reference is only used for anomaly scores")
-        if getattr(model, "numClasses", None) != 2:
-            raise ValidationError("Probability scoring requires a fitted two-class model")
-        if getattr(model, "numFeatures", len(names)) != len(names):
-            raise ValidationError("Model feature count does not match the feature names")
-        if threshold is None or not 0 <= threshold <= 1:
-            raise ValidationError("Decision threshold must be between 0 and 1")
-    else:
-        if reference is None:
-            raise ValidationError("Anomaly scoring requires training-reference scores")
-        if not isinstance(model, IsolationForest) or list(model.names) != names:
-            raise ValidationError("Anomaly model feature names do not match")
-        threshold = None
-        value = F.col("raw_score")
-        row = reference.agg(F.count(F.lit(1)).alias("n"), F.count_if(
-            value.isNull() | F.isnan(value) | is_infinite(value)).alias("bad")).first()
-        if not row.n or row.bad:
-            raise ValidationError("Reference anomaly scores must be non-empty and finite")
-        rows = row.n
-    return Scorer(model_name.strip(), model, state, score_kind, policy or BandPolicy(), threshold, reference, rows)
+        return f"positive-class probability >= {self.threshold:g}"
+
+    def raw_of(self, features: Sequence[Column]) -> Column | None:
+        return self.model.probability(features) if isinstance(self.model, TreeEnsemble) else None
+
+    def raw(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        direct = self.raw_of(feature_columns(self.state))
+        if direct is not None:
+            return df.select(*keep, direct.alias("raw_score"))
+        return positive_probability(self.model, assemble(df, self.state, keep)).drop("features")
+
+    def scaled(self, scored: DataFrame) -> DataFrame:
+        return scored.withColumn("score", as_percent("raw_score"))
+
+    def alert(self) -> Column:
+        return F.col("raw_score") >= F.lit(self.threshold)
+
+
+@dataclass(frozen=True)
+class AnomalyScorer(Scorer):
+    """Percentile of an isolation forest's score among those of its training rows; alerts at the forest's own cut-off."""
+
+    reference: PercentileIndex
+    score_kind = "anomaly"
+    basis = ANOMALY_BASIS
+    decision_method = ANOMALY_DECISION
+
+    def contract(self) -> dict[str, bool]:
+        return super().contract() | {
+            "a forest of these features": isinstance(self.model, IsolationForest) and list(self.model.names) == self.state.names,
+            "reference scores": self.reference.rows > 0, "finite reference scores": not self.reference.unusable}
+
+    @property
+    def reference_rows(self) -> int:
+        return self.reference.rows
+
+    def raw_of(self, features: Sequence[Column]) -> Column | None:
+        return self.model.score(features)
+
+    def raw(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        return df.select(*keep, self.raw_of(feature_columns(self.state)).alias("raw_score"))
+
+    def scaled(self, scored: DataFrame) -> DataFrame:
+        return self.reference.percentiles(scored, "raw_score", out="score")
+
+    def alert(self) -> Column:
+        return F.col("raw_score") > ALERT_ABOVE
 
 
 def anomaly_percentile(new: DataFrame, reference: DataFrame, score: str, *, out: str = "percentile") -> DataFrame:
@@ -106,34 +154,17 @@ def anomaly_percentile(new: DataFrame, reference: DataFrame, score: str, *, out:
     return new.withColumn("__s", value).join(shares, "__s", "left").drop("__s")
 
 
-def raw_scores(df: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
-    """Kept columns plus `raw_score`: class-1 probability, or anomaly score."""
-    if scorer.score_kind == "probability":
-        return positive_probability(scorer.model, assemble(df, scorer.state, keep)).drop("features")
-    return df.select(*keep, scorer.model.score(feature_columns(scorer.state)).alias("raw_score"))
-
-
-def training_reference(model: IsolationForest, train: DataFrame, state: FeatureState) -> DataFrame:
-    """Raw anomaly scores of the training rows, the reference of the percentile scale, stored once."""
-    return cut_lineage(train.select(model.score(feature_columns(state)).alias("raw_score")))
+def training_reference(model: IsolationForest, train: DataFrame, state: FeatureState) -> PercentileIndex:
+    """Index of the raw anomaly scores of the training rows, the reference of the percentile scale, built once."""
+    return build_index(train.select(model.score(feature_columns(state)).alias("raw_score")), "raw_score")
 
 
-def _finish(scored: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
-    alert = F.col("raw_score") >= F.lit(scorer.threshold) if scorer.score_kind == "probability" else F.col("raw_score") > ALERT_ABOVE
+def score_batch(df: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
+    """Scores, bands and alerts for raw rows in one plan; the model runs once per row."""
+    scored = scorer.scaled(scorer.raw(df, keep))
     return scored.select(
-        *keep, F.lit(scorer.model_name).alias("model_name"), F.col("raw_score"), F.col("score"),
+        *keep, F.lit(scorer.model_name.strip()).alias("model_name"), F.col("raw_score"), F.col("score"),
         risk_level("score", scorer.policy.low_upper, scorer.policy.medium_upper).alias("risk_level"),
         F.lit(scorer.score_kind).alias("score_kind"), F.lit(scorer.basis).alias("score_basis"),
-        alert.alias("model_alert"), F.lit(scorer.decision_method).alias("decision_method"),
+        scorer.alert().alias("model_alert"), F.lit(scorer.decision_method).alias("decision_method"),
     )
-
-
-def score_batch(df: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
-    """Scores, bands and alerts for raw rows in one plan; the model runs once per row."""
-    scored = raw_scores(df, scorer, keep)
-    if scorer.score_kind == "probability":
-        scored = scored.withColumn("score", as_percent("raw_score"))
-    else:
-        # Ranking reads the raw scores several times, so the model's output is stored once.
-        scored = anomaly_percentile(cut_lineage(scored), scorer.reference, "raw_score", out="score")
-    return _finish(scored, scorer, keep)

@@ -177,7 +177,7 @@ def _evaluated(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Fit on the training part, score validation and test once, and report every metric."""
     parts, state = _prepared_lines(spark, folder)
     model = models.FITTERS[name](models.training_rows(parts, state, "y"))
-    scorer = scoring.build_scorer(name, model, state, score_kind="probability")
+    scorer = scoring.ProbabilityScorer(name, model, state)
     scored = scoring.score_batch(parts.where(F.col("split") != "train"), scorer, ["split", "y"])
     # Every metric reads the scores, so the model's output is stored once.
     scored = cut_lineage(scored.select("model_name", "split", "y", "raw_score", "model_alert"))
@@ -215,15 +215,14 @@ def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
     parts, state = _prepared_orders(spark, folder)
     train = parts.where(F.col("split") == "train")
     forest = iforest.fit_isolation_forest(transform_features(train, state, ["o_orderkey"]), "o_orderkey", state.names, seed=SEED)
-    scorer = scoring.build_scorer("isolation_forest", forest, state, score_kind="anomaly",
-                                  reference=scoring.training_reference(forest, train, state))
+    scorer = scoring.AnomalyScorer("isolation_forest", forest, state, scoring.training_reference(forest, train, state))
     return scoring.score_batch(parts, scorer, ["o_orderkey", "split"])
 
 
 def investigation(spark: SparkSession, folder: str) -> DataFrame:
     parts, state = _prepared_orders(spark, folder)
     model = models.fit_logistic(models.training_rows(parts, state, "y"))
-    scorer = scoring.build_scorer("logistic_regression", model, state, score_kind="probability")
+    scorer = scoring.ProbabilityScorer("logistic_regression", model, state)
     train = transform_features(parts.where(F.col("split") == "train"), state, ["o_orderkey"])
     background = explain.background_rows(bottom_by_digest(train, "o_orderkey", explain.MAX_BACKGROUND_ROWS, SEED), state.names)
     return investigate.investigate(parts, "o_orderkey", scorer, background, time="order_time", amount="price")
@@ -236,10 +235,9 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     rows = models.training_rows(parts, state, "y")
     forest = iforest.fit_isolation_forest(transform_features(train, state, ["o_orderkey"]), "o_orderkey", state.names, seed=SEED)
     scorers = [
-        scoring.build_scorer("logistic_regression", models.fit_logistic(rows), state, score_kind="probability"),
-        scoring.build_scorer("gradient_boosting", models.fit_boosting(rows), state, score_kind="probability"),
-        scoring.build_scorer("isolation_forest", forest, state, score_kind="anomaly",
-                             reference=scoring.training_reference(forest, train, state)),
+        scoring.ProbabilityScorer("logistic_regression", models.fit_logistic(rows), state),
+        scoring.ProbabilityScorer("gradient_boosting", models.fit_boosting(rows), state),
+        scoring.AnomalyScorer("isolation_forest", forest, state, scoring.training_reference(forest, train, state)),
     ]
     return evaluate.compare_scorers(parts, "y", scorers)[0]
 

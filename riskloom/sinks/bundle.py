@@ -10,20 +10,18 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import SparkSession, functions as F
 
 from riskloom.errors import ValidationError
-from riskloom.functions.columns import is_infinite
 from riskloom.operators.features import FeatureState
 from riskloom.operators.iforest import IsolationForest, forest_from_nodes
-from riskloom.operators.scoring import ANOMALY_BASIS, PROBABILITY_BASIS, BandPolicy, Scorer, build_scorer
+from riskloom.operators.percentiles import build_index
+from riskloom.operators.scoring import ANOMALY_BASIS, PROBABILITY_BASIS, AnomalyScorer, BandPolicy, ProbabilityScorer, Scorer
+from riskloom.operators.trees import TreeEnsemble, ensemble_from_nodes
 
 FORMAT_VERSION = 1
-PROBABILITY_MODELS = {
-    "LogisticRegressionModel": LogisticRegressionModel, "RandomForestClassificationModel": RandomForestClassificationModel,
-    "GBTClassificationModel": GBTClassificationModel,
-}
+PROBABILITY_MODELS = ("LogisticRegressionModel", "TreeEnsemble")
 #: Score kind and basis that belong to each kind of model.
 SCALES = dict.fromkeys(PROBABILITY_MODELS, ("probability", PROBABILITY_BASIS)) | {"IsolationForest": ("anomaly", ANOMALY_BASIS)}
 
@@ -70,6 +68,8 @@ def _read_manifest(spark: SparkSession, path: str) -> dict | None:
 def _settings(model: Any) -> dict[str, Any]:
     if isinstance(model, IsolationForest):
         return {"trees": len(model.roots), "sample": model.sample}
+    if isinstance(model, TreeEnsemble):
+        return {"trees": len(model.roots), "kind": model.kind}
     return {p.name: str(v) for p, v in model.extractParamMap().items()}
 
 
@@ -94,7 +94,9 @@ def save_bundle(spark: SparkSession, path: str, scorer: Scorer, *, dataset_id: s
     # Without its manifest a bundle does not count, so what an interrupted save left behind is written over.
     if anomaly:
         scorer.model.node_frame(spark.range(0)).write.mode("overwrite").parquet(f"{path}/model")
-        scorer.reference.select("raw_score").write.mode("overwrite").parquet(f"{path}/reference")
+        scorer.reference.table().write.mode("overwrite").parquet(f"{path}/reference")
+    elif isinstance(scorer.model, TreeEnsemble):
+        scorer.model.node_frame(spark.range(0)).write.mode("overwrite").parquet(f"{path}/model")
     else:
         scorer.model.write().overwrite().save(f"{path}/model")
     _write_text(spark, scorer.state.to_json(), f"{path}/state", "overwrite")
@@ -126,17 +128,17 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Scorer, dict]:
         raise ValidationError("The stored feature state has other features than the manifest")
     policy = BandPolicy(**manifest["risk_policy"])
     if manifest["score_kind"] == "probability":
-        model = PROBABILITY_MODELS[manifest["model_type"]].load(f"{path}/model")
-        return build_scorer(manifest["model_name"], model, state, score_kind="probability", policy=policy,
-                            threshold=manifest["decision_threshold"]), manifest
+        if manifest["model_type"] == "TreeEnsemble":
+            model = ensemble_from_nodes(spark.read.parquet(f"{path}/model").toPandas(), state.names, manifest["model_config"]["kind"])
+        else:
+            model = LogisticRegressionModel.load(f"{path}/model")
+        return ProbabilityScorer(manifest["model_name"], model, state, policy=policy, threshold=manifest["decision_threshold"]), manifest
     nodes = spark.read.parquet(f"{path}/model").toPandas()  # bounded by the forest settings
     start = nodes.groupby("tree")["node"].transform("min")
     for c in ("node", "below", "above"):
         nodes[c] = nodes[c].where(nodes[c] < 0, nodes[c] - start)
     forest = forest_from_nodes(nodes, state.names, manifest["sample"])
-    reference = spark.read.parquet(f"{path}/reference")
-    value = F.col("raw_score")
-    row = reference.agg(F.count(F.lit(1)).alias("n"), F.count_if(value.isNull() | F.isnan(value) | is_infinite(value)).alias("bad")).first()
-    if row.n != manifest["train_rows"] or row.bad:
-        raise ValidationError(f"The stored reference has {row.n} rows, {row.bad} of them unusable, where the manifest says {manifest['train_rows']}")
-    return build_scorer(manifest["model_name"], forest, state, score_kind="anomaly", policy=policy, reference=reference), manifest
+    reference = build_index(spark.read.parquet(f"{path}/reference"), "score", F.col("reference_rows"))
+    if reference.rows != manifest["train_rows"] or reference.unusable:
+        raise ValidationError(f"The stored reference has {reference.rows} rows and {reference.unusable} unusable ones where the manifest says {manifest['train_rows']}")
+    return AnomalyScorer(manifest["model_name"], forest, state, reference, policy=policy), manifest

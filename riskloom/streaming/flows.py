@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from riskloom.errors import ValidationError
 from riskloom.functions.columns import is_infinite, is_missing, to_number
 from riskloom.operators.payload import parse_payloads
 from riskloom.operators.scoring import Scorer, score_batch
@@ -25,11 +24,8 @@ def read_payload_stream(spark: SparkSession, folder: str, id_column: str = "tran
 def score_stream(payloads: DataFrame, scorer: Scorer, id_column: str = "transaction_id", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(scored, quarantined) streams; scoring keeps no state, so any trigger and restart is safe.
 
-    Percentiles rank rows against the whole reference, which a plain stream cannot: for an anomaly scorer write the
-    accepted rows with `write_scored`.
+    Anomaly scores are ranked in the scorer's stored index: batches never read or shuffle the reference itself.
     """
-    if scorer.score_kind == "anomaly":
-        raise ValidationError("Anomaly scores of a stream are ranked batch by batch: use write_scored")
     parsed = parse_payloads(payloads, payload, scorer.state.inputs)
     accepted = parsed.where(F.col("reject_reason").isNull())
     rejected = parsed.where(F.col("reject_reason").isNotNull()).select(id_column, "reject_reason")
@@ -40,8 +36,7 @@ def write_scored(payloads: DataFrame, scorer: Scorer, folder: str, checkpoint: s
                  payload: str = "payload") -> StreamingQuery:
     """Scores a payload stream of any score kind batch by batch, as `score_batch` does, into folder/scored and folder/rejected.
 
-    Each batch writes its own partition again if it is repeated, so a restart leaves no row twice. References may have any
-    size: a batch is ranked with them by a shuffle.
+    Each batch writes its own partition again if it is repeated, so a restart leaves no row twice.
     """
     def score(batch: DataFrame, number: int) -> None:
         parsed = parse_payloads(batch, payload, scorer.state.inputs)

@@ -110,11 +110,10 @@ def test_investigation_records(spark, kind):
         spark, 400, lambda r: (r // 4, r % 31, lambda i: math.cos(r / (i + 2)), r % 20 == 0)))
     train = features.transform_features(out.where("split = 'train'").withColumn("row", F.concat_ws("/", "Time", "Amount", "V1")), state, ["row"])
     if kind == "probability":
-        scorer = scoring.build_scorer("m", models.fit_logistic(models.training_rows(out, state, "Class")), state, score_kind=kind)
+        scorer = scoring.ProbabilityScorer("m", models.fit_logistic(models.training_rows(out, state, "Class")), state)
     else:
         forest = iforest.fit_isolation_forest(train, "row", state.names, trees=10, sample=32)
-        scorer = scoring.build_scorer("m", forest, state, score_kind=kind,
-                                      reference=scoring.training_reference(forest, out.where("split = 'train'"), state))
+        scorer = scoring.AnomalyScorer("m", forest, state, scoring.training_reference(forest, out.where("split = 'train'"), state))
     background = explain.background_rows(explain.background_sample(train, "row", 8), state.names)
     cases = out.where("split = 'test'").limit(5).withColumn("case", F.concat(F.lit(" case-"), F.monotonically_increasing_id())).cache()
     records = investigate.require_agreement(investigate.investigate(cases, "case", scorer, background, max_evals=61, top=3)).collect()

@@ -8,7 +8,7 @@ from conftest import NAMES, modular_toy, wide_frame
 from pyspark.sql import functions as F
 
 from riskloom.errors import ValidationError
-from riskloom.operators import evaluate, features, iforest, metrics, models, scoring
+from riskloom.operators import evaluate, features, iforest, metrics, models, percentiles, scoring
 from riskloom.sinks import bundle, tables as sink
 from riskloom.sources import stored
 
@@ -47,18 +47,17 @@ def test_holdout_changes_leave_the_fit_alone(prepared, logistic):
 def test_trees_are_deterministic_and_need_both_classes(prepared):
     out, state = prepared
     rows = models.training_rows(out, state, "Class")
-    small = {"numTrees": 5, "maxDepth": 4}
+    small = {"trees": 5, "depth": 4}
     a, b = models.fit_forest(rows, **small), models.fit_forest(rows, **small)
-    assert a.toDebugString.split("\n", 1)[1] == b.toDebugString.split("\n", 1)[1]
-    boosted = models.fit_boosting(rows, maxIter=3, maxDepth=2)
-    assert boosted.getNumTrees == 3
+    np.testing.assert_array_equal(a.threshold, b.threshold)
+    assert len(models.fit_boosting(rows, rounds=3, depth=2).roots) == 3
     with pytest.raises(ValidationError, match="both classes"):
         models.training_rows(out.withColumn("Class", F.lit(0)), state, "Class")
 
 
 def test_probability_scores_bands_and_alerts(prepared, logistic):
     out, state = prepared
-    scorer = scoring.build_scorer("logistic", logistic, state, score_kind="probability", policy=scoring.BandPolicy(25, 65))
+    scorer = scoring.ProbabilityScorer("logistic", logistic, state, policy=scoring.BandPolicy(25, 65))
     rows = scoring.score_batch(out, scorer, ["Time", "split", "Class"]).toPandas()
     assert len(rows) == 400 and rows.score.between(0, 100).all()
     np.testing.assert_allclose(rows.score, rows.raw_score * 100)
@@ -68,17 +67,22 @@ def test_probability_scores_bands_and_alerts(prepared, logistic):
     assert (rows.risk_level == np.where(rows.score < 25, "low", np.where(rows.score < 65, "medium", "high"))).all()
 
 
-def test_scorer_contract(spark, prepared, logistic):
+def test_scorer_contract(spark, prepared, logistic, forest):
     out, state = prepared
-    reference = spark.createDataFrame([(0.5,)], "raw_score double")
-    for kind, extra, message in (
-        ("other", {}, "Unsupported"), ("anomaly", {}, "training-reference"), ("probability", {"reference": reference}, "only used"),
-        ("probability", {"threshold": 1.5}, "threshold"),
+    empty = percentiles.build_index(spark.createDataFrame([], "raw_score double"), "raw_score")
+    broken = percentiles.build_index(spark.createDataFrame([(0.5,), (None,)], "raw_score double"), "raw_score")
+    for make, message in (
+        (lambda: scoring.ProbabilityScorer("m", logistic, state, threshold=1.5), "threshold"),
+        (lambda: scoring.ProbabilityScorer(" ", logistic, state), "a name"),
+        (lambda: scoring.ProbabilityScorer("m", object(), state), "two classes"),
+        (lambda: scoring.ProbabilityScorer("m", logistic, features.FeatureState(state.numeric[:2])), "these features"),
+        (lambda: scoring.ProbabilityScorer("m", logistic, features.FeatureState(state.numeric + state.numeric[:1])), "distinct features"),
+        (lambda: scoring.AnomalyScorer("m", forest, state, empty), "reference scores"),
+        (lambda: scoring.AnomalyScorer("m", forest, state, broken), "finite reference scores"),
+        (lambda: scoring.AnomalyScorer("m", logistic, state, broken), "a forest of these features"),
     ):
         with pytest.raises(ValidationError, match=message):
-            scoring.build_scorer("m", logistic, state, score_kind=kind, **extra)
-    with pytest.raises(ValidationError, match="non-empty"):
-        scoring.build_scorer(" ", logistic, state, score_kind="probability")
+            make()
     with pytest.raises(ValidationError, match="Risk bands"):
         scoring.BandPolicy(70, 30)
 
@@ -133,15 +137,16 @@ def test_anomaly_percentiles_are_ranks_in_the_reference(spark, prepared, forest)
     out, state = prepared
     train = out.where("split = 'train'")
     reference = scoring.training_reference(forest, train, state)
-    scorer = scoring.build_scorer("forest", forest, state, score_kind="anomaly", reference=reference)
+    scorer = scoring.AnomalyScorer("forest", forest, state, reference)
     assert scorer.reference_rows == 280 and scorer.threshold is None
     rows = scoring.score_batch(out, scorer, ["Time", "Amount"]).toPandas()
-    ordered = np.sort(reference.toPandas().raw_score)
+    table = reference.table().toPandas()
+    ordered = np.sort(np.repeat(table.score, table.reference_rows))
     np.testing.assert_allclose(rows.score, np.searchsorted(ordered, rows.raw_score, side="right") / 280 * 100)
     assert (rows.model_alert == (rows.raw_score > 0.5)).all()
     new = spark.createDataFrame([(i, float(v)) for i, v in enumerate([-1.0, *ordered[::40], 0.5, 2.0, ordered[3], ordered[3]])], "id int, raw_score double")
     new = new.unionByName(spark.createDataFrame([(90, None), (91, float("nan"))], "id int, raw_score double"))
-    by_rank = scoring.anomaly_percentile(new, reference, "raw_score").toPandas()
+    by_rank = reference.percentiles(new, "raw_score").toPandas()
     assert by_rank[by_rank.id >= 90].percentile.isna().all()
     by_rank = by_rank[by_rank.id < 90]
     np.testing.assert_allclose(by_rank.percentile, np.searchsorted(ordered, by_rank.raw_score, side="right") / 280 * 100)
@@ -156,15 +161,14 @@ def test_labels_never_reach_the_forest(prepared, forest):
 
 def test_evaluation_is_stored_and_read_back(spark, tmp_path, prepared, logistic, forest):
     out, state = prepared
-    first = scoring.build_scorer("logistic", logistic, state, score_kind="probability")
-    second = scoring.build_scorer("forest", forest, state, score_kind="anomaly",
-                                  reference=scoring.training_reference(forest, out.where("split = 'train'"), state))
+    first = scoring.ProbabilityScorer("logistic", logistic, state)
+    second = scoring.AnomalyScorer("forest", forest, state, scoring.training_reference(forest, out.where("split = 'train'"), state))
     report, curves = evaluate.compare_scorers(out, "Class", [first, second])
     assert {r.decision_rule for r in report.collect()} == {
         "probability >= 0.5 (fixed)", "Isolation Forest native predict cutoff (contamination=auto)"}
     with pytest.raises(ValidationError, match="unique"):
         evaluate.check_scorers([first, first])
-    with pytest.raises(ValidationError, match="At least one"):
+    with pytest.raises(ValidationError, match="no scorer"):
         evaluate.check_scorers([])
     report = report.drop("score_kind", "decision_rule")
     rules = {"logistic": ("probability", metrics.decision_rule("probability", 0.5)), "forest": ("anomaly", metrics.decision_rule("anomaly"))}
@@ -188,8 +192,8 @@ def test_evaluation_is_stored_and_read_back(spark, tmp_path, prepared, logistic,
 def test_bundles_round_trip_and_are_immutable(spark, tmp_path, prepared, logistic, forest, kind):
     out, state = prepared
     train = out.where("split = 'train'")
-    scorer = scoring.build_scorer("kept", logistic, state, score_kind=kind) if kind == "probability" else scoring.build_scorer(
-        "kept", forest, state, score_kind=kind, reference=scoring.training_reference(forest, train, state))
+    scorer = scoring.ProbabilityScorer("kept", logistic, state) if kind == "probability" else scoring.AnomalyScorer(
+        "kept", forest, state, scoring.training_reference(forest, train, state))
     path = str(tmp_path / kind)
     details = {"dataset_id": "wide", "split_strategy": "chronological 70/15/15", "train_rows": 280}
     bundle.save_bundle(spark, path, scorer, **details)
@@ -214,7 +218,7 @@ def test_bundles_round_trip_and_are_immutable(spark, tmp_path, prepared, logisti
 def test_modular_toy_chain(spark):
     out, state = features.prepare_wide(modular_toy(spark, 240, 4))
     model = models.fit_logistic(models.training_rows(out, state, "Class"))
-    scorer = scoring.build_scorer("toy", model, state, score_kind="probability")
+    scorer = scoring.ProbabilityScorer("toy", model, state)
     scored = scoring.score_batch(out.where("split <> 'train'"), scorer, ["split", "Class"])
     rows = {r.split: r.row_count for r in metrics.evaluate_models(scored, "Class", "raw_score", "model_alert").collect()}
     assert rows == {"validation": 36, "test": 36}
@@ -230,7 +234,7 @@ def test_registered_model_queries_use_the_defaults(monkeypatch):
     for name in ("_prepared_lines", "_prepared_orders"):
         monkeypatch.setattr(score, name, lambda *_: (MagicMock(), MagicMock()))
     for module, names in ((score, ["transform_features", "cut_lineage", "bottom_by_digest"]), (score.models, ["training_rows", "fit_logistic"]),
-                          (score.scoring, ["training_reference", "score_batch", "build_scorer"]), (score.evaluate, ["compare_scorers"]), (score.explain, ["background_rows"])):
+                          (score.scoring, ["training_reference", "score_batch", "ProbabilityScorer", "AnomalyScorer"]), (score.evaluate, ["compare_scorers"]), (score.explain, ["background_rows"])):
         for name in names:
             monkeypatch.setattr(module, name, MagicMock())
     monkeypatch.setattr(score.F, "col", MagicMock())

@@ -12,7 +12,7 @@ from riskloom.streaming import flows
 def test_scoring_stream_equals_batch_and_resumes(spark, tmp_path):
     data = wide_frame(spark, 400, lambda r: (r // 4, r % 31, lambda i: math.cos(r / (i + 2)), r % 20 == 0))
     out, state = features.prepare_wide(data)
-    scorer = scoring.build_scorer("m", models.fit_logistic(models.training_rows(out, state, "Class")), state, score_kind="probability")
+    scorer = scoring.ProbabilityScorer("m", models.fit_logistic(models.training_rows(out, state, "Class")), state)
     rows = [dict(r.asDict()) for r in out.select(*WIDE_FEATURES).limit(30).collect()]
     inbox = tmp_path / "in"
     inbox.mkdir()
