@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of text at a time; pieces and ids that a task remembers.
-_CHUNK, _PIECES, _IDS = 2 << 20, 300_000, 3_000_000
+_CHUNK, _PIECES, _IDS = 4 << 20, 300_000, 3_000_000
 #: Pieces encoded in one call, and the mark between them: a control that is a token of its own.
 _TOGETHER, _MARK = 256, "\x01"
 _BETWEEN = f" {_MARK} "
+#: A piece that is one word to the library; as no piece is less than one, the count of word ends shows if all of a text were.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Such texts encoded in one call.
 _CALLS = 64
 _LOADED: dict[int, Pieces] = {}
@@ -31,6 +35,10 @@ class Pieces:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.suffix = json.loads(spec)["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if self.suffix and t.endswith(self.suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -54,35 +62,49 @@ class Pieces:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces; they stand together in one text where a mark that they do not hold can part them."""
-        apart = [p for p in pieces if _MARK in p] if len(self.mark) == 1 else pieces
-        together = [p for p in pieces if _MARK not in p] if len(self.mark) == 1 else []
-        groups = [together[i : i + _TOGETHER] for i in range(0, len(together), _TOGETHER)]
+        """Encodes new pieces, many in one text: plain words part where a token ends a word, others at marks they do not hold."""
+        words: list[str] = []
+        others: list[str] = []
+        apart: list[str] = []
+        for piece in pieces:
+            kind = words if self.suffix and _WORD.fullmatch(piece) else others if len(self.mark) == 1 and _MARK not in piece else apart
+            kind.append(piece)
+        others += self._learn_joined(words, " ", lambda ids: (at := np.flatnonzero(self.closes[ids]) + 1, np.concatenate([[0], at[:-1]]), at)[1:])
+        apart += self._learn_joined(others, _BETWEEN, lambda ids: (at := np.flatnonzero(ids == self.mark[0]), np.concatenate([[0], at + 1]), np.append(at, len(ids)))[1:])
+        for piece, ids in zip(apart, self._encode(apart), strict=True):
+            self._keep([piece], ids, np.array([0]), np.array([len(ids)]))
+
+    def _learn_joined(self, pieces: list[str], between: str, parts: Callable) -> list[str]:
+        """Learns pieces by hundreds; those of texts that do not fall into as many parts come back."""
+        groups = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
+        left: list[str] = []
         for at in range(0, len(groups), _CALLS):
             part = groups[at : at + _CALLS]
-            for group, ids in zip(part, self._encode([_BETWEEN.join(g) for g in part]), strict=True):
-                marks = np.flatnonzero(ids == self.mark[0])
-                if len(marks) == len(group) - 1:
-                    self._keep(group, ids, np.concatenate([[0], marks + 1]), np.append(marks, len(ids)))
+            for group, ids in zip(part, self._encode([between.join(g) for g in part]), strict=True):
+                starts, ends = parts(ids)
+                if len(starts) == len(group) == len(ends):
+                    self._keep(group, ids, starts, ends)
                 else:
-                    apart = apart + group
-        for piece, ids in zip(apart, self._encode(apart), strict=True):
-            self._keep([piece], ids, np.array([0]), np.array([len(ids)]))
+                    left += group
+        return left
 
-    def numbers(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the two parts of each piece, its closing points apart: both have the ids that the whole piece has."""
-        heads, tails = zip(*map(_parted, distinct), strict=True) if distinct else ((), ())
-        wanted = {*heads, *tails}
-        if len(self.known) + len(wanted) > _PIECES or self.used > _IDS:
+        parts = [p.dictionary_encode() for p in _parted(distinct)]
+        names = [p.dictionary.to_pylist() for p in parts]
+        new = {*names[0], *names[1]}.difference(self.known)
+        if len(self.known) + len(new) > _PIECES or self.used > _IDS:
             self.clear()
-        self.learn(list(wanted.difference(self.known)))
-        return tuple(np.fromiter(map(self.known.__getitem__, part), np.int64, len(distinct)) for part in (heads, tails))
+            new = {*names[0], *names[1]}
+        self.learn(list(new))
+        places = [np.fromiter(map(self.known.__getitem__, n), np.int64, len(n)) for n in names]
+        return tuple(at[np.asarray(p.indices)] for at, p in zip(places, parts, strict=True))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, the end id after each; offset of each text in them)."""
         lists = pc.split_pattern_regex(texts, pattern=r"[\x20\x09-\x0D]+")
         found = lists.flatten().dictionary_encode()
-        parts = self.numbers(found.dictionary.to_pylist())
+        parts = self.numbers(found.dictionary)
         last = np.cumsum(np.asarray(pc.list_value_length(lists)))
         at = np.asarray(found.indices)
         runs = np.insert(np.stack([p[at] for p in parts], axis=1), last, -1, axis=0).ravel()
@@ -99,16 +121,21 @@ class Pieces:
         return ids, offsets
 
 
-def _parted(piece: str) -> tuple[str, str]:
-    """A piece and the points at its end, if a common letter stands before them; capital letters A-Z do not matter to ids.
+def _parted(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Pieces without and with only the points at their end, where a common letter stands before them; ASCII ones in lower case.
 
-    The library cuts between a letter and a point, and a point that ends a piece joins nothing behind it.
+    The library lowers letters, cuts between a letter and a point, and a point that ends a piece joins nothing behind it.
     """
-    head = piece.rstrip(".,;:!?")
-    if not head or not (head[-1] <= "\u024f" and head[-1].isalpha()):
-        head = piece
-    tail = piece[len(head) :]
-    return head.lower() if head.isascii() and "<|" not in head else head, tail
+    heads = pc.ascii_rtrim(pieces, ".,;:!?")
+    cut = pc.match_substring_regex(heads, "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$")
+    heads = pc.if_else(cut, heads, pieces)
+    sizes = np.asarray(pc.subtract(pc.binary_length(pieces), pc.binary_length(heads)))
+    with_tail = np.flatnonzero(sizes)
+    tails = np.full(len(pieces), "", object)
+    ends = pieces.take(pa.array(with_tail)).to_pylist()
+    tails[with_tail] = [p[-n:] for p, n in zip(ends, sizes[with_tail].tolist(), strict=True)]
+    plain = pc.and_(pc.string_is_ascii(heads), pc.invert(pc.match_substring(heads, "<|")))
+    return pc.if_else(plain, pc.ascii_lower(heads), heads), pa.array(tails, pa.string())
 
 
 def sequences(docs: DataFrame, path: str, end: int) -> DataFrame:
