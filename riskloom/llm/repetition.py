@@ -61,7 +61,7 @@ def measure(chunk: words.Words, lengths: tuple[int, ...]) -> dict[str, np.ndarra
     lines = np.searchsorted(breaks, chunk.texts)
     owner = np.repeat(np.arange(chunk.rows), np.diff(lines) + 1)[filled]
     starts, ends = starts[filled], ends[filled]
-    keys = _within(words.range_hashes(words._BYTE_VALUES[chunk.data], starts, ends), owner)
+    keys = _within(words.byte_hashes(chunk.data, starts, ends), owner)
     twice, lengths_of = _repeated(keys), chars[ends] - chars[starts]
     by_text = np.searchsorted(owner, np.arange(chunk.rows + 1))
     _, first = np.unique(keys, return_index=True)

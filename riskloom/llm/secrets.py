@@ -8,6 +8,7 @@ better than the second is a secret although no fixed pattern names it.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,6 +28,8 @@ FASTER = {"hex": r"[0-9a-f]{24,}", "access": r"AKIA[A-Z0-9]{16,}"}
 ADDED = "random"
 TOKEN, ORDINARY = r"[A-Za-z0-9+/_=-]{16,}", r"[A-Za-z0-9+/_=-]{4,}"
 SIZE, SYMBOLS = 128, 65
+#: Items folded together.
+PART = 48
 
 
 class Model(NamedTuple):
@@ -39,27 +42,74 @@ class Model(NamedTuple):
     different: int
 
 
+_SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a lambda variable stands for it, also where lambdas use it again and again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(items: Column, start: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Array of what `step(state, item)` gives beside the next state, for items in order; `out` is its type.
+
+    Items are folded by dozens, and dozens are put together once: appending to one growing array would copy it every time.
+    """
+    empty = F.from_json(F.lit("[]"), out)
+
+    def inside(done: Column, item: Column) -> Column:
+        state, found = step(done["state"], item)
+        return F.struct(state.alias("state"), F.array_append(done["out"], found).alias("out"))
+
+    def across(done: Column, part: Column) -> Column:
+        return F.array_append(done, F.aggregate(part, F.struct(F.element_at(done, -1)["state"].alias("state"), empty.alias("out")), inside))
+
+    def whole(given: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(given) - 1) / PART).cast("int")), lambda k: F.slice(given, k * PART + 1, PART))
+        folded = F.aggregate(parts, F.array(F.struct(start.alias("state"), empty.alias("out"))), across)
+        return F.when(F.size(given) > 0, F.flatten(F.transform(folded, lambda d: d["out"]))).otherwise(empty)
+
+    return _once(items, whole)
+
+
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """(start, end, value) of all matches in order, in code points; value is the group's text."""
-    parts = F.split(text, pattern, -1)
     found = F.arrays_zip(
-        F.transform(parts, F.length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+        F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-    empty = F.from_json(F.lit('{"at":0,"spans":[]}'), "at int, spans array<struct<start:int,end:int,value:string>>")
-    def step(done: Column, m: Column) -> Column:
-        start = done["at"] + m["gap"]
+
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start = at + m["gap"]
         end = start + F.coalesce(F.length(m["whole"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(m["whole"].isNull(), done["spans"]).otherwise(F.array_append(done["spans"], span)).alias("spans"))
+        return end, F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"))
+
+    return F.filter(_scan(found, F.lit(0), _SPANS, step), lambda s: s["value"].isNotNull())  # after the last match there is only a gap
+
 
-    return F.aggregate(found, empty, step, lambda done: done["spans"])
+def _apart(tokens: Column, known: Column) -> Column:
+    """Tokens (in order, disjoint) that overlap no known span: none before ends behind a token's start, none after starts before its end."""
+    event = lambda is_token: lambda s: F.struct(s["start"].alias("start"), F.lit(is_token).alias("token"), s["end"].alias("end"), s["value"].alias("value"))
+    events = F.sort_array(F.concat(F.transform(known, event(0)), F.transform(tokens, event(1))))
+    kind = "array<struct<start:int,token:int,end:int,value:string>>"
 
+    def forward(reach: Column, e: Column) -> tuple[Column, Column]:
+        hit = (e["token"] == 1) & (reach > e["start"])
+        return F.when(e["token"] == 0, F.greatest(reach, e["end"])).otherwise(reach), _event(e, F.when(hit, 2).otherwise(e["token"]))
 
-_NONE = "array<struct<start:int,end:int,value:string>>"
+    def backward(follows: Column, e: Column) -> tuple[Column, Column]:
+        hit = (e["token"] == 1) & (follows < e["end"])
+        return F.when(e["token"] == 0, F.least(follows, e["start"])).otherwise(follows), _event(e, F.when(hit, 2).otherwise(e["token"]))
+
+    left = F.reverse(_scan(F.reverse(_scan(events, F.lit(0), kind, forward)), F.lit(2**31 - 1), kind, backward))
+    return F.transform(F.filter(left, lambda e: e["token"] == 1), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value")))
+
+
+def _event(e: Column, token: Column) -> Column:
+    return F.struct(e["start"].alias("start"), token.cast("int").alias("token"), e["end"].alias("end"), e["value"].alias("value"))
 
 
 def _guarded(text: Column, hint: str, pattern: str, group: int) -> Column:
-    return F.when(text.rlike(hint), _matches(text, pattern, group)).otherwise(F.from_json(F.lit("[]"), _NONE))
+    return F.when(text.rlike(hint), _matches(text, pattern, group)).otherwise(F.from_json(F.lit("[]"), _SPANS))
 
 
 def _long_enough(found: Column, least: int) -> Column:
@@ -75,8 +125,7 @@ def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
         rows = rows.withColumn(kind, _long_enough(found, least))
     rows = rows.withColumn("tokens", _guarded(F.col("text"), TOKEN, TOKEN, 0))
     known = F.concat(*KINDS)
-    outside = F.filter("tokens", lambda t: ~F.exists(known, lambda k: (t["start"] < k["end"]) & (k["start"] < t["end"])))
-    return rows.withColumn("tokens", outside)
+    return rows.withColumn("tokens", F.when((F.size(known) > 0) & (F.size("tokens") > 0), _apart(F.col("tokens"), known)).otherwise(F.col("tokens")))
 
 
 def _pairs(values: DataFrame) -> DataFrame:
@@ -153,15 +202,18 @@ def redacted(docs: DataFrame, model: Model, mark: str = "[secret]") -> DataFrame
     rows = base_spans(docs.select(*[F.col(c).alias(k) for c, k in kept.items()], "text"), list(kept.values()))
     added = F.filter("tokens", lambda t: is_secret(t["value"], model))
     spans = F.array_sort(F.transform(F.concat(*KINDS, added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    gap = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
 
-    def step(done: Column, s: Column) -> Column:
-        inside = s["start"] < done["at"]
-        text = F.when(inside, done["out"]).otherwise(F.concat(done["out"], gap(done["at"], s["start"]), F.lit(mark)))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), text.alias("out"))
+    def marked(chars: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            # A span that starts inside the one before adds nothing; else the text between both and a mark.
+            between = F.concat(F.array_join(F.slice(chars, at + 1, F.greatest(s["start"] - at, F.lit(0))), ""), F.lit(mark))
+            return F.greatest(at, s["end"]), F.when(s["start"] < at, F.lit("")).otherwise(between)
+
+        reach = F.array_max(F.transform("_spans", lambda s: s["end"]))
+        rest = F.array_join(F.slice(chars, reach + 1, F.greatest(F.size(chars) - reach, F.lit(0))), "")
+        return F.concat(F.array_join(_scan(F.col("_spans"), F.lit(0), "array<string>", step), ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda done: F.concat(done["out"], gap(done["at"], F.length("text"))))
+    clean = _once(F.split("text", ""), marked)
     rows = rows.withColumn("_spans", spans)
     text = F.when(F.size("_spans") > 0, clean).otherwise(F.col(kept["text"]))
     return rows.select(*[(text if c == "text" else F.col(k)).alias(c) for c, k in kept.items()])

@@ -1,11 +1,12 @@
 """Words of whole Arrow batches as byte ranges and 64-bit hashes, computed in numpy without a loop over words.
 
 A word is a maximal run of characters other than U+0020 and U+0009 to U+000D; these are single bytes in UTF-8, so words
-are found on bytes. Hashes are polynomials over random byte values, finished by a bijective mixer.
+are found on bytes. Hashes of short ranges are polynomials over random byte values, finished by a bijective mixer.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,8 @@ _LOWER_VALUES = _BYTE_VALUES[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Longest range hashed as a polynomial, which modulo 2**64 is safe for short ranges only, and places computed at a time.
+LONG, _SEGMENT = 256, 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,27 +33,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    size = 1 << max(16, n.bit_length())
-    if size not in _POWERS:
-        if len(_POWERS) > 8:
-            _POWERS.clear()
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        _POWERS[size] = tables[0], tables[1]
-    return _POWERS[size]
+def _powers(base: int) -> np.ndarray:
+    """Powers of the base modulo 2**64 for the places of a segment."""
+    steps = np.full(_SEGMENT + LONG + 1, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each range; equal contents hash equally wherever they stand."""
-    up, down = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Hash of values[start:end], or of table[values[start:end]], for ranges of at most LONG places with ascending starts.
+
+    Equal contents hash equally wherever they stand.
+    """
+    out = np.empty(len(starts), np.uint64)
+    firsts = np.searchsorted(starts, np.arange(0, len(values) + _SEGMENT + 1, _SEGMENT))
+    for k in range(len(firsts) - 1):
+        part = slice(firsts[k], firsts[k + 1])
+        if part.start == part.stop:
+            continue
+        base = k * _SEGMENT
+        here = values[base : base + _SEGMENT + LONG]
+        here = here if table is None else table[here]
+        sums = np.zeros(len(here) + 1, np.uint64)
+        np.cumsum(here * _UP[: len(here)], out=sums[1:])
+        a, b = starts[part] - base, ends[part] - base
+        out[part] = mix((sums[b] - sums[a]) * _DOWN[a] + (b - a).astype(np.uint64))
+    return out
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hash of the bytes of each range, starts ascending; A-Z count as a-z with `lower`.
+
+    Ranges longer than LONG are hashed by BLAKE2b: no two texts made for the purpose share a polynomial's value there.
+    """
+    out = np.empty(len(starts), np.uint64)
+    short = ends - starts <= LONG
+    out[short] = range_hashes(data, starts[short], ends[short], _LOWER_VALUES if lower else _BYTE_VALUES)
+    for i in np.flatnonzero(~short).tolist():
+        content = data[starts[i] : ends[i]]
+        content = _LOWER[content].astype(np.uint8) if lower else content
+        out[i] = int.from_bytes(hashlib.blake2b(content.tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 class Words(NamedTuple):
@@ -69,7 +94,7 @@ class Words(NamedTuple):
         return len(self.texts) - 1
 
     def hashes(self, lower: bool) -> np.ndarray:
-        return range_hashes((_LOWER_VALUES if lower else _BYTE_VALUES)[self.data], self.starts, self.ends)
+        return byte_hashes(self.data, self.starts, self.ends, lower)
 
     def owners(self) -> np.ndarray:
         """Text of each word."""
