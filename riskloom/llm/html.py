@@ -1,17 +1,19 @@
 """Main text of web pages by composite text density.
 
-Each element has its characters per tag, adjusted for the share of them in links. The sum of its children's densities picks
-the subtree that holds the article. Around it the outermost article or main is taken whole, and beside it all that is not links
-for the most part; of lists of links only paragraphs as dense as the least element on the way up to the body.
-Elements that their tag, class or role marks as menu, footer, advert, form, comment and the like are left out beforehand,
-unless a class, role or form holds a main, the longest article that is not marked itself, or more than half of the unlinked text.
+Each element has its characters per tag, adjusted for the share of them in links; where its tag, class or role names it as
+menu, advert, comment and the like, a tenth of that. The sum of its children's densities picks the subtree that holds the
+article, and the outermost article or main around it is taken whole. Beside it an area is kept that is not links for the
+most part and whose characters stand in blocks about half as long, at least, as those of every element on the way up to the
+body: that length does not grow with an area's size. Headings before it, lists and other articles need no such length. What is named as something else is then left out of what was picked,
+unless it holds a main, the longest article that is not named itself, or more than half of the unlinked text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,9 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
           "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav",
           "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 PROSE = {"p", "blockquote", "pre"}
+HEADINGS = {"h1", "h2", "h3"}
+#: Areas beside the best one that need no long blocks: other articles, and lists unless of links.
+OWN = {"article", "main", "ul", "ol", "dl"}
 #: Elements that end where one of the same group starts, up to the element that holds the group.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -37,7 +42,9 @@ MARKS = re.compile(
     r"tags?|tagcloud|print-only|hidden|sr-only)(?=$|[\s_-])"
     r"(?![_-](?:enabled|disabled|active|inactive|on|off|open|opened|closed|allowed|ready|visible|none|free|xs|sm|md|lg|xl|print|mobile|desktop)(?=$|[\s_-]))")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: Density of elements named as something else, and the share of the body path's block length that an area beside it needs.
+PRIOR, NEAR = 0.1, 0.5
+_OPEN, _NAME, _STOP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])"), re.compile(r"[^\s/>]+"), re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -56,39 +63,82 @@ def _apart(tag: str, attributes: str, in_article: bool) -> int:
     return marked
 
 
+class _Markup:
+    """Tags of a page in order. Each character is looked at a bounded number of times, whatever never closes."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends the tag; quotes count after = only, and only if they close before another tag."""
+        while at <= self.last[">"]:
+            stop = _STOP.search(self.page, at)
+            if stop is None:
+                return -1
+            at = stop.end()
+            if stop[0] == ">":
+                return at - 1
+            if at <= self.last[stop[0]] and self.page[: at - 1][-8:].rstrip().endswith("="):
+                close = self.page.find(stop[0], at)
+                inside = self.page[at:close]
+                if ">" not in inside or "<" not in inside[inside.index(">") :]:
+                    at = close + 1
+        return -1
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, tag, closing, attributes); comments, declarations and all of raw elements have no tag."""
+        page, at = self.page, 0
+        while (found := _OPEN.search(page, at)) is not None:
+            start = found.start()
+            if found[0] == "<!--":
+                end = page.find("-->", found.end())
+                at = len(page) if end < 0 else end + 3
+                yield start, at, "", False, ""
+                continue
+            end = self.tag_end(found.end())
+            if end < 0:
+                yield start, len(page), "", False, ""
+                return
+            at = end + 1
+            if found[0] in ("<!", "<?"):
+                yield start, at, "", False, ""
+                continue
+            name = _NAME.match(page, found.end() - 1)
+            tag, attributes, closing = name[0].lower(), page[name.end() : end], found[0] == "</" or page[start + 1] == "/"
+            if not closing and tag in RAW and not attributes.rstrip().endswith("/"):
+                raw = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+                at = len(page) if raw is None else raw.end()
+            yield start, at, tag, closing, attributes
+
+
 class Tree:
     """Elements of a page in document order; node 0 is the root. texts: (node, start of a new block, text)."""
 
     def __init__(self, page: str):
         self.tag, self.parent, self.marked, self.link = ["html"], [-1], [0], [False]
         self.texts: list[tuple[int, int, str]] = []
-        at, open_nodes, block, raw = 0, [0], 0, ""
-        for found in _TOKEN.finditer(page):
-            closing, tag = found[1], (found[2] or "").lower()
-            if raw:
-                if closing and tag == raw:
-                    raw, at = "", found.end()
-                continue
-            if found.start() > at:
-                self.texts.append((open_nodes[-1], block, page[at : found.start()]))
-            at = found.end()
+        self.open_nodes, self.places, self.open_blocks = [0], {}, [0]
+        at, block = 0, 0
+        for start, end, tag, closing, attributes in _Markup(page).tags():
+            if start > at:
+                self.texts.append((self.open_nodes[-1], block, page[at:start]))
+            at = end
             if not tag:
                 continue
             block += tag in BLOCKS
             if closing:
-                self._close(open_nodes, tag)
+                self._close(tag)
                 continue
-            self._imply(open_nodes, tag)
-            if tag in ("html", "body") and tag in (self.tag[n] for n in open_nodes):
+            self._imply(tag)
+            if tag == "html" or tag == "body" and self.places.get("body"):
                 continue
             if tag == "br":
-                self.texts.append((open_nodes[-1], block, " "))
-            if tag in RAW:
-                raw = "" if found[3].rstrip().endswith("/") else tag
-                continue
-            self._add(open_nodes, tag, found[3])
-        if not raw and at < len(page):
-            self.texts.append((open_nodes[-1], block, page[at:]))
+                self.texts.append((self.open_nodes[-1], block, " "))
+            if tag not in RAW:
+                self._add(tag, attributes)
+        if at < len(page):
+            self.texts.append((self.open_nodes[-1], block, page[at:]))
         self.apart = self._set_apart()
 
     def _set_apart(self) -> list[bool]:
@@ -115,44 +165,50 @@ class Tree:
             apart[node] = apart[self.parent[node]] or self.marked[node] > 0 and not kept
         return apart
 
-    def _add(self, open_nodes: list[int], tag: str, attributes: str) -> None:
-        above = open_nodes[-1]
-        article = any(self.tag[n] in ("article", "main") for n in open_nodes)
+    def _add(self, tag: str, attributes: str) -> None:
+        above = self.open_nodes[-1]
         self.tag.append(tag)
         self.parent.append(above)
-        self.marked.append(_apart(tag, attributes, article))
+        self.marked.append(_apart(tag, attributes, bool(self.places.get("article") or self.places.get("main"))))
         self.link.append(self.link[above] or tag == "a")
         if tag not in VOID:
-            open_nodes.append(len(self.tag) - 1)
+            self.places.setdefault(tag, []).append(len(self.open_nodes))
+            if tag in BLOCKS:
+                self.open_blocks.append(len(self.open_nodes))
+            self.open_nodes.append(len(self.tag) - 1)
 
-    def _close(self, open_nodes: list[int], tag: str) -> None:
-        for i in range(len(open_nodes) - 1, 0, -1):
-            if self.tag[open_nodes[i]] == tag:
-                del open_nodes[i:]
-                return
-            if tag not in BLOCKS and self.tag[open_nodes[i]] in BLOCKS:
-                return  # a stray end of an inline element does not end blocks
+    def _innermost(self, tags: Iterable[str]) -> int:
+        """Place of the last open element of some tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, place: int) -> None:
+        """Ends the open elements from a place on."""
+        while len(self.open_nodes) > place:
+            self.places[self.tag[self.open_nodes.pop()]].pop()
+        while self.open_blocks[-1] >= place:
+            self.open_blocks.pop()
 
-    def _imply(self, open_nodes: list[int], tag: str) -> None:
+    def _close(self, tag: str) -> None:
+        place = self._innermost((tag,))
+        # A stray end of an inline element does not end blocks.
+        if place and (tag in BLOCKS or place > self.open_blocks[-1]):
+            self._cut(place)
+
+    def _imply(self, tag: str) -> None:
         """Ends the elements that the start of this one ends."""
-        if tag in BLOCKS and "p" in (self.tag[n] for n in open_nodes):
-            self._close(open_nodes, "p")
+        if tag in BLOCKS and self.places.get("p"):
+            self._cut(self.places["p"][-1])
         group, holders = SIBLINGS.get(tag, ((), ()))
-        for i in range(len(open_nodes) - 1, 0, -1) if group else ():
-            if self.tag[open_nodes[i]] in holders:
-                return
-            if self.tag[open_nodes[i]] in group:
-                del open_nodes[i:]
-                return
+        place = self._innermost(group)
+        if place > self._innermost(holders):
+            self._cut(place)
 
 
 def densities(tree: Tree, chars: np.ndarray) -> np.ndarray:
-    """Composite density of each element from the characters that stand directly in it; elements set apart have none."""
+    """Composite density of each element from the characters that stand directly in it."""
     n = len(tree.tag)
     total, linked = chars.astype(float), np.where(tree.link, chars, 0).astype(float)
     tags, link_tags = np.ones(n), np.array([float(x) for x in tree.link])
-    tags[np.array(tree.apart)] = 0
-    link_tags[np.array(tree.apart)] = 0
     own = tags.copy(), link_tags.copy()
     for node in range(n - 1, 0, -1):
         up = tree.parent[node]
@@ -175,15 +231,19 @@ def _below(tree: Tree, values: np.ndarray) -> np.ndarray:
     return total
 
 
-def chosen(tree: Tree, density: np.ndarray, chars: np.ndarray) -> np.ndarray:
+def chosen(tree: Tree, density: np.ndarray, chars: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """Which elements belong to the main text: the subtree of the best density sum, the outermost article or main around it,
-    and on the way from there to the root all that does not consist of links for the most part."""
+    and on the way from there to the root the areas with blocks about as long, and headings. No density: nothing.
+
+    blocks: for each element, the squares of the lengths of the blocks that stand in it, taken at each block's first element.
+    """
     n = len(tree.tag)
     sums = np.zeros(n)
     block = np.array([tag in BLOCKS for tag in tree.tag])
-    areas = np.where(block, density, 0.0)  # inline elements are no areas of their own
+    areas = np.where(block, density, 0.0) * np.where(tree.apart, PRIOR, 1.0)  # inline elements are no areas of their own
     np.add.at(sums, np.array(tree.parent[1:], int), areas[1:])
-    sums[np.array(tree.apart)] = -1
+    if not sums.max() > 0:
+        return np.zeros(n, bool) if density.max() <= 0 else ~np.array(tree.apart)
     best = list(range(n))
     for node in range(n - 1, 0, -1):
         up = tree.parent[node]
@@ -192,32 +252,36 @@ def chosen(tree: Tree, density: np.ndarray, chars: np.ndarray) -> np.ndarray:
     way = [best[0]]
     while tree.parent[way[-1]] >= 0:
         way.append(tree.parent[way[-1]])
-    threshold = min(density[node] for node in way if node or len(way) == 1)
     top = next((node for node in reversed(way) if tree.tag[node] in ("article", "main")), way[0])
     above = set(way[way.index(top) + 1 :])
+    named = np.array(tree.apart)
     links = np.where(tree.link, chars, 0)
-    heavy = 2 * _below(tree, links) > _below(tree, chars)
+    held = _below(tree, chars)
+    heavy = 2 * _below(tree, links) > held
+    length = _below(tree, blocks) / np.maximum(held, 1)  # of the block that a character stands in, on average
+    threshold = NEAR * min(length[node] for node in way[way.index(top) :])
     # Text that stands in an element of the way, or there in inline elements, is an area of its own.
-    around = {node: [0, 0] for node in above}
+    around = {node: [0, 0, 0.0] for node in above}
     run = [-1] * n
     for node in range(n):
         run[node] = node if node in above else -1 if block[node] or node == top else run[tree.parent[node]]
         if run[node] >= 0:
-            around[run[node]][0] += chars[node]
-            around[run[node]][1] += links[node]
+            for i, value in enumerate((chars[node], links[node], blocks[node])):
+                around[run[node]][i] += value
     picked, dropped = np.zeros(n, bool), np.zeros(n, bool)
     for node in range(n):
         up = tree.parent[node]
         if node == top or up >= 0 and picked[up] and up not in above:
             picked[node] = True
         elif run[node] >= 0:
-            picked[node] = 2 * around[run[node]][1] <= around[run[node]][0]
-        elif up in above and not heavy[node]:
+            text, linked, squares = around[run[node]]
+            picked[node] = 2 * linked <= text and squares >= threshold * text
+        elif up in above and not heavy[node] and (length[node] >= threshold or tree.tag[node] in OWN or tree.tag[node] in HEADINGS and node < top):
             picked[node] = True
-        else:  # longer paragraphs in lists of links
+        else:  # parts of an area of links or of short blocks
             dropped[node] = up in above or dropped[up]
-            picked[node] = dropped[node] and not heavy[node] and tree.tag[node] in PROSE and density[node] >= threshold
-    return picked & ~np.array(tree.apart)
+            picked[node] = dropped[node] and not heavy[node] and tree.tag[node] in PROSE and length[node] >= threshold
+    return picked & ~named
 
 
 def main_text(page: str | None) -> str:
@@ -225,11 +289,17 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = Tree(page)
-    texts = [(node, block, html.unescape(text)) for node, block, text in tree.texts if not tree.apart[node]]
-    chars = np.zeros(len(tree.tag), int)
-    for node, _, text in texts:
-        chars[node] += len("".join(text.split()))
-    picked = chosen(tree, densities(tree, chars), chars)
+    texts = [(node, block, html.unescape(text)) for node, block, text in tree.texts]
+    chars, lengths, first = np.zeros(len(tree.tag), int), Counter(), {}
+    for node, block, text in texts:
+        size = len("".join(text.split()))
+        chars[node] += size
+        lengths[block] += size
+        first.setdefault(block, node)
+    squares = np.zeros(len(tree.tag))
+    for block, size in lengths.items():
+        squares[first[block]] += size * size
+    picked = chosen(tree, densities(tree, chars), chars, squares)
     blocks: dict[int, list[str]] = {}
     for node, block, text in texts:
         if picked[node]:
