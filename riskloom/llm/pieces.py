@@ -12,8 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Bytes of text at a time; pieces and ids that a task remembers.
-_CHUNK, _PIECES, _IDS = 4 << 20, 300_000, 3_000_000
+from riskloom.llm.words import byte_hashes
+
+#: Bytes of text at a time; pieces that a worker remembers, some 50 bytes each.
+_CHUNK, _PIECES = 4 << 20, 1_500_000
 #: Pieces encoded in one call, and the mark between them: a control that is a token of its own.
 _TOGETHER, _MARK = 256, "\x01"
 _BETWEEN = f" {_MARK} "
@@ -25,7 +27,7 @@ _LOADED: dict[int, Pieces] = {}
 
 
 class Pieces:
-    """Distinct pieces and their ids. ids: pool of ids; a piece's are between its start and its end."""
+    """Distinct pieces and their ids: those of a piece lie in the pool between its start and its end."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -42,69 +44,85 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        """Forgets all pieces. keys: first hashes, ascending; checks, numbers: second hash and number of each."""
+        self.keys, self.checks, self.numbers = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.pool, self.used, self.count = np.empty(1 << 16, np.uint32), 0, 0
         self.starts, self.ends = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _keep(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Numbers pieces whose ids are ids[start:end]; ids become part of the pool."""
-        first = len(self.known)
-        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-        while len(self.known) > len(self.starts):
+    def _keep(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Numbers the next pieces, whose ids are ids[start:end]; ids become part of the pool."""
+        first, self.count = self.count, self.count + len(starts)
+        while self.count > len(self.starts):
             self.starts, self.ends = np.concatenate([self.starts] * 2), np.concatenate([self.ends] * 2)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool] * 2)
         self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[first : len(self.known)], self.ends[first : len(self.known)] = starts + self.used, ends + self.used
+        self.starts[first : self.count], self.ends[first : self.count] = starts + self.used, ends + self.used
         self.used += len(ids)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces, many in one text: plain words part where a token ends a word, others at marks they do not hold."""
-        words: list[str] = []
-        others: list[str] = []
-        apart: list[str] = []
-        for piece in pieces:
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of new pieces, many encoded in one text: words part where a token ends a word, others at marks they lack."""
+        words: list[int] = []
+        others: list[int] = []
+        apart: list[int] = []
+        for i, piece in enumerate(pieces):
             kind = words if self.suffix and _WORD.fullmatch(piece) else others if len(self.mark) == 1 and _MARK not in piece else apart
-            kind.append(piece)
-        others += self._learn_joined(words, " ", lambda ids: (at := np.flatnonzero(self.closes[ids]) + 1, np.concatenate([[0], at[:-1]]), at)[1:])
-        apart += self._learn_joined(others, _BETWEEN, lambda ids: (at := np.flatnonzero(ids == self.mark[0]), np.concatenate([[0], at + 1]), np.append(at, len(ids)))[1:])
-        for piece, ids in zip(apart, self._encode(apart), strict=True):
-            self._keep([piece], ids, np.array([0]), np.array([len(ids)]))
-
-    def _learn_joined(self, pieces: list[str], between: str, parts: Callable) -> list[str]:
-        """Learns pieces by hundreds; those of texts that do not fall into as many parts come back."""
-        groups = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
-        left: list[str] = []
+            kind.append(i)
+        out = np.zeros(len(pieces), np.int64)
+        others += self._learn_joined(pieces, words, out, " ", lambda ids: (at := np.flatnonzero(self.closes[ids]) + 1, np.concatenate([[0], at[:-1]]), at)[1:])
+        apart += self._learn_joined(pieces, others, out, _BETWEEN, lambda ids: (at := np.flatnonzero(ids == self.mark[0]), np.concatenate([[0], at + 1]), np.append(at, len(ids)))[1:])
+        for i, ids in zip(apart, self._encode([pieces[i] for i in apart]), strict=True):
+            out[i] = self.count
+            self._keep(ids, np.array([0]), np.array([len(ids)]))
+        return out
+
+    def _learn_joined(self, pieces: list[str], chosen: list[int], out: np.ndarray, between: str, parts: Callable) -> list[int]:
+        """Learns chosen pieces by hundreds; those of texts that do not fall into as many parts come back."""
+        groups = [chosen[i : i + _TOGETHER] for i in range(0, len(chosen), _TOGETHER)]
+        left: list[int] = []
         for at in range(0, len(groups), _CALLS):
             part = groups[at : at + _CALLS]
-            for group, ids in zip(part, self._encode([between.join(g) for g in part]), strict=True):
+            for group, ids in zip(part, self._encode([between.join([pieces[i] for i in g]) for g in part]), strict=True):
                 starts, ends = parts(ids)
                 if len(starts) == len(group) == len(ends):
-                    self._keep(group, ids, starts, ends)
+                    out[group] = np.arange(self.count, self.count + len(group))
+                    self._keep(ids, starts, ends)
                 else:
                     left += group
         return left
 
-    def numbers(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the two parts of each piece, its closing points apart: both have the ids that the whole piece has."""
-        parts = [p.dictionary_encode() for p in _parted(distinct)]
-        names = [p.dictionary.to_pylist() for p in parts]
-        new = {*names[0], *names[1]}.difference(self.known)
-        if len(self.known) + len(new) > _PIECES or self.used > _IDS:
+    def find(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the two parts of each piece, its closing points apart: both have the ids that the whole piece has.
+
+        Known pieces are found by two 64-bit hashes of their bytes, so only new ones become Python strings.
+        """
+        both = pa.concat_arrays(_parted(distinct)).dictionary_encode()
+        names = both.dictionary
+        if self.count + len(names) > _PIECES:
             self.clear()
-            new = {*names[0], *names[1]}
-        self.learn(list(new))
-        places = [np.fromiter(map(self.known.__getitem__, n), np.int64, len(n)) for n in names]
-        return tuple(at[np.asarray(p.indices)] for at, p in zip(places, parts, strict=True))
+        bounds = np.frombuffer(names.buffers()[1], np.int32, len(names) + 1, names.offset * 4).astype(np.int64)
+        data = np.frombuffer(names.buffers()[2] or b"", np.uint8)
+        key, check = (byte_hashes(data, bounds[:-1], bounds[1:], lower) ^ np.uint64(salt) for lower, salt in ((False, 0), (True, 1)))
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        hit = (self.keys[at] == key) & (self.checks[at] == check) if len(self.keys) else np.zeros(len(names), bool)
+        places = np.zeros(len(names), np.int64)
+        places[hit] = self.numbers[at[hit]]
+        new = np.flatnonzero(~hit)
+        places[new] = self.learn(names.take(pa.array(new)).to_pylist())
+        order = new[np.argsort(key[new], kind="stable")]
+        into = np.searchsorted(self.keys, key[order])
+        self.keys, self.checks, self.numbers = (np.insert(old, into, more[order]) for old, more in ((self.keys, key), (self.checks, check), (self.numbers, places)))
+        found = places[np.asarray(both.indices)]
+        return found[: len(distinct)], found[len(distinct) :]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, the end id after each; offset of each text in them)."""
         lists = pc.split_pattern_regex(texts, pattern=r"[\x20\x09-\x0D]+")
         found = lists.flatten().dictionary_encode()
-        parts = self.numbers(found.dictionary)
+        parts = self.find(found.dictionary)
         last = np.cumsum(np.asarray(pc.list_value_length(lists)))
         at = np.asarray(found.indices)
         runs = np.insert(np.stack([p[at] for p in parts], axis=1), last, -1, axis=0).ravel()
