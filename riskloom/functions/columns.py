@@ -74,11 +74,6 @@ def elapsed_label(bucket: Column) -> Column:
     return F.format_string("%02d–%02d h", bucket * 2, bucket * 2 + 2)
 
 
-def log_scale(value: Column, lowest: float) -> Column:
-    """log1p when no value of the column is negative, else the raw scale."""
-    return F.log1p(value) if lowest >= 0 else value
-
-
 def clip_upper(value: Column, upper: float | Column) -> Column:
     return F.least(value, upper if isinstance(upper, Column) else F.lit(float(upper)))
 

@@ -10,10 +10,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.errors import ValidationError
-from riskloom.functions.columns import calendar_parts, is_infinite, to_number
-from riskloom.operators.quality import require_columns, require_numeric, require_target
+from riskloom.functions.columns import calendar_parts, is_infinite
+from riskloom.operators.quality import require_columns, require_numeric
 from riskloom.operators.ranks import exact_quantiles
-from riskloom.operators.split import chronological_split, require_ordered, stratified_split
+from riskloom.operators.split import SPLITS, chronological_split, require_ordered, stratified_split
 from riskloom.schema import RELATED_CATEGORICAL, RELATED_NUMERIC, RELATED_TARGET, WIDE_FEATURES, WIDE_TARGET
 
 MAX_CATEGORIES = 10_000
@@ -144,31 +144,26 @@ def assemble(df: DataFrame, state: FeatureState, keep: Sequence[str] = ()) -> Da
     return df.select(*keep, array_to_vector(F.array(*feature_columns(state))).alias("features"))
 
 
-def state_frame(df: DataFrame, state: FeatureState) -> DataFrame:
-    """The fitted numeric state as a table."""
-    rows = [(n.name, n.median, n.mean, n.scale) for n in state.numeric]
-    return df.sparkSession.createDataFrame(rows, "feature string, median double, mean double, scale double")
+def split_problems(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """One row for each expected part: rows, bad_cells (missing or not finite), and rows by label."""
+    require_columns(df, [*features, target, "split"], "splits")
+    bad = sum((F.coalesce(F.isnan(x) | is_infinite(x), F.lit(True)).cast("long") for x in (F.col(c).cast("double") for c in features)), F.lit(0).cast("long"))
+    counted = df.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(bad).alias("bad_cells"), F.count_if(F.col(target) == 0).alias("zeros"), F.count_if(F.col(target) == 1).alias("ones"))
+    parts = df.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
+    return parts.join(counted, "split", "left").fillna(0)
 
 
 def validate_splits(df: DataFrame, features: Sequence[str], target: str, *, training_target: bool = True) -> None:
-    """Each partition is non-empty, finite and holds both classes."""
-    require_columns(df, [*features, target, "split"], "splits")
-    bad = F.lit(False)
-    for c in features:
-        x = F.col(c).cast("double")
-        bad = bad | x.isNull() | F.isnan(x) | is_infinite(x)
-    rows = {r.split: r for r in df.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"),
-        F.count_if(~F.coalesce(F.col(target).isin(0, 1), F.lit(False))).alias("foreign"),
-        F.count_if(F.col(target) == 0).alias("neg"), F.count_if(F.col(target) == 1).alias("pos")).collect()}
-    for name in ("train", "validation", "test"):
-        if name not in rows:
-            raise ValidationError(f"The {name} partition is empty")
-        r = rows[name]
-        if r.bad:
-            raise ValidationError(f"The {name} features contain NaN or infinite values")
-        if (training_target or name != "train") and (r.foreign or not (r.neg and r.pos)):
-            raise ValidationError(f"The {name} target must contain both non-null classes 0 and 1")
+    """Each part must have rows, finite features and both labels; training labels only count with `training_target`."""
+    told = []
+    for r in split_problems(df, features, target).collect():
+        judged = training_target or r.split != "train"
+        faults = {"no rows": not r.rows, f"{r.bad_cells} missing or infinite cells": r.bad_cells, "labels other than 0 and 1": judged and r.zeros + r.ones < r.rows,
+                  "one class only": judged and r.rows and not (r.zeros and r.ones)}
+        told += [f"{r.split}: {fault}" for fault, holds in faults.items() if holds]
+    if told:
+        raise ValidationError("; ".join(sorted(told)))
 
 
 def prepare_wide(df: DataFrame, order: str | None = None) -> tuple[DataFrame, FeatureState]:
@@ -202,8 +197,3 @@ def prepare_related(df: DataFrame, key: str = "TransactionID", seed: int = 42) -
     out = stratified_split(related_features(df), key, RELATED_TARGET, seed)
     return out, fit_features(out.where(F.col("split") == "train"), RELATED_NUMERIC, RELATED_CATEGORICAL)
 
-
-__all__ = [
-    "CategoryState", "FeatureState", "NumericState", "assemble", "feature_columns", "fit_features", "prepare_related",
-    "prepare_wide", "require_target", "state_frame", "to_number", "transform_features", "validate_splits",
-]

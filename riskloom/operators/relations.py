@@ -50,9 +50,9 @@ def require_key(df: DataFrame, key: str, name: str, *, unique: bool) -> int:
     require_columns(df, [key], name)
     row = key_audit(df, [key], name).first()
     if row.null_keys:
-        raise ValidationError(f"Table {name} has {row.null_keys} null values in key {key}")
+        raise ValidationError(f"{name}: {row.null_keys} rows without {key}")
     if unique and row.duplicate_keys:
-        raise ValidationError(f"Table {name} key {key} has {row.duplicate_keys} duplicate values")
+        raise ValidationError(f"{name}: {row.duplicate_keys} rows repeat {key}")
     return row.row_count
 
 
@@ -110,30 +110,28 @@ def unmatched_examples(source: DataFrame, target: DataFrame, key: str, target_ke
     )
 
 
-def _problem(row, relation: Relation, tables: Mapping[str, DataFrame]) -> str | None:
-    source, target = tables[relation.source], tables[relation.target]
-    key, target_key = relation.key, relation.target_key or relation.key
-    if row.source_nulls:
-        return f"Table {relation.source} has {row.source_nulls} null values in key {key}"
-    if relation.one_to_one and row.source_duplicates:
-        return f"Table {relation.source} key {key} has {row.source_duplicates} duplicate values"
-    if row.target_nulls:
-        return f"Table {relation.target} has {row.target_nulls} null values in key {target_key}"
-    if row.target_duplicates:
-        return f"Table {relation.target} key {target_key} has {row.target_duplicates} duplicate values"
-    if row.unmatched:
-        shown = [r.key for r in unmatched_examples(source, target, key, target_key).collect()]
-        return (f"Foreign-key integrity failed: {relation.source}.{key} has {row.unmatched} unmatched value(s) "
-                f"in {relation.target}; examples={shown}")
-    if relation.one_to_one and row.unreferenced:
-        shown = [r.key for r in unmatched_examples(target, source, target_key, key).collect()]
-        return (f"Unexpected orphan key(s): {relation.target} has {row.unreferenced} value(s) absent from "
-                f"{relation.source}; examples={shown}")
-    return None
+def breaches(row, relation: Relation) -> dict[str, int]:
+    """Rows or keys that break a relation, by kind; kinds without any are left out."""
+    counts = {
+        f"{relation.source} without {relation.key}": row.source_nulls,
+        f"{relation.target} without {relation.target_key or relation.key}": row.target_nulls,
+        f"{relation.target} repeating {relation.target_key or relation.key}": row.target_duplicates,
+        f"{relation.source} repeating {relation.key}": row.source_duplicates if relation.one_to_one else 0,
+        f"{relation.key} of {relation.source} not in {relation.target}": row.unmatched,
+        f"{relation.target_key or relation.key} of {relation.target} not in {relation.source}": row.unreferenced if relation.one_to_one else 0,
+    }
+    return {kind: n for kind, n in counts.items() if n}
+
+
+def _keys_shown(row, relation: Relation, tables: Mapping[str, DataFrame]) -> list:
+    """A few of the keys that one side lacks."""
+    source, target, keys = tables[relation.source], tables[relation.target], (relation.key, relation.target_key or relation.key)
+    lacking = unmatched_examples(source, target, *keys) if row.unmatched else unmatched_examples(target, source, *reversed(keys))
+    return [r.key for r in lacking.collect()] if row.unmatched or relation.one_to_one and row.unreferenced else []
 
 
 def require_relations(tables: Mapping[str, DataFrame], relations: Sequence[Relation]) -> DataFrame:
-    """Audits all relations in one job; raises for the first breach in the given order.
+    """Audits all relations in one job; raises with all breaches of the first broken relation in the given order.
 
     Nulls, duplicates on the unique side, unmatched keys and orphans of 1:1 tables are breaches.
     """
@@ -141,8 +139,8 @@ def require_relations(tables: Mapping[str, DataFrame], relations: Sequence[Relat
     facts = stack([relation_facts(tables[r.source], tables[r.target], r).withColumn("place", F.lit(i)) for i, r in enumerate(relations)])
     ordered = sorted(facts.collect(), key=lambda r: r.place)
     for relation, row in zip(relations, ordered, strict=True):
-        if problem := _problem(row, relation, tables):
-            raise ValidationError(problem)
+        if found := breaches(row, relation):
+            raise ValidationError(f"{relation.source} -> {relation.target}: {found}, keys such as {_keys_shown(row, relation, tables)}")
     audit = facts.sparkSession.createDataFrame([tuple(r) for r in ordered], facts.schema)
     return _with_status(audit)
 
@@ -163,8 +161,7 @@ def attach(left: DataFrame, right: DataFrame, on: str, columns: Sequence[str], r
 def require_grain(df: DataFrame, key: str, expected_rows: int) -> None:
     row = key_audit(df, [key], "joined").first()
     if row.row_count != expected_rows or row.duplicate_keys or row.null_keys:
-        raise ValidationError(f"Join changed transaction grain: expected {expected_rows} unique transactions, "
-                              f"got {row.row_count} rows with {row.duplicate_keys} duplicates")
+        raise ValidationError(f"the join has {row.row_count} rows, {row.duplicate_keys} repeated, for {expected_rows} transactions")
 
 
 def changed_targets(joined: DataFrame, source: DataFrame, key: str, target: str) -> DataFrame:
@@ -220,7 +217,7 @@ def transaction_table(tables: Mapping[str, DataFrame], *, verify_grain: bool = T
     if verify_grain:
         require_grain(out, TRANSACTION_KEY, rows)
         if changed_targets(out, tables["fraud_indicators"], TRANSACTION_KEY, RELATED_TARGET).limit(1).count():
-            raise ValidationError(f"{RELATED_TARGET} changed during join")
+            raise ValidationError(f"{RELATED_TARGET} differs after the join")
     return out, audits
 
 

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from riskloom.errors import ValidationError
 from riskloom.functions.columns import blank_to_null, to_number
-from riskloom.operators.quality import check_table, column_problems, stack
+from riskloom.operators.quality import check_table, column_problems
 from riskloom.operators.relations import transaction_table
-from riskloom.schema import TableSpec, related_specs, wide_spec
+from riskloom.schema import Contract, related_specs, wide_spec
+from riskloom.sources.rows import csv_records, raw_lines
 
 # Windows-1252 characters that ISO-8859-1 decodes to C1 controls, and the five undefined bytes.
 WINDOWS_CODES = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
@@ -42,12 +43,12 @@ def discover_csv(spark: SparkSession, root: str, names: Sequence[str]) -> dict[s
             .agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("path")), 1, 5).alias("paths")).collect()
         )
     except AnalysisException as error:
-        raise ValidationError(f"Dataset directory does not exist: {root}") from error
+        raise ValidationError(f"no folder to search at {root}") from error
     by_name = {r["name"]: r for r in found}
     if missing := sorted(set(names) - set(by_name)):
-        raise ValidationError(f"Missing expected CSV files below {root}: {', '.join(missing)}")
+        raise ValidationError(f"absent below {root}: {missing}")
     if repeated := {n: r.paths for n, r in by_name.items() if r.n > 1}:
-        raise ValidationError(f"Ambiguous CSV discovery below {root}: {repeated}")
+        raise ValidationError(f"found more than once below {root}: {repeated}")
     return {n: by_name[n].paths[0] for n in names}
 
 
@@ -59,35 +60,34 @@ def _encoding(lines: DataFrame, name: str) -> str:
     """utf-8 when every line is valid UTF-8, else cp1252 when every byte is defined there."""
     row = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("broken")).first()
     if not row.n:
-        raise ValidationError(f"CSV is empty or has no header for {name}")
+        raise ValidationError(f"{name}: the CSV is empty or has no header")
     return "utf-8" if not row.broken else "cp1252"
 
 
 def read_text_cells(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, str, list[str]]:
-    """All cells as text in header order, plus `_malformed` holding rows with too few or many fields."""
-    try:
-        lines = spark.read.text(path)
-    except AnalysisException as error:
-        raise ValidationError(f"CSV file does not exist for {name}: {path}") from error
+    """All cells as text in header order, plus `_malformed` holding rows with too few or many fields.
+
+    Quoted cells may hold line breaks; they are read in parallel all the same.
+    """
+    lines = raw_lines(spark, path, name)
     encoding = _encoding(lines, name)
-    charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
-    first = spark.read.csv(path, encoding=charset, sep="\x00", quote="").first()
-    names = _header(first[0]) if first is not None and first[0] else []
+    records = csv_records(lines, name, "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
+    first = records.where("header").select("record").first()
+    names = _header(first[0]) if first is not None else []
     if not names:
-        raise ValidationError(f"CSV is empty or has no header for {name}: {path}")
+        raise ValidationError(f"{name}: the CSV is empty or has no header")
     if len(set(names)) != len(names):
-        raise ValidationError(f"Column validation failed for {name}: repeated column names")
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in names), T.StructField("_malformed", T.StringType())])
-    frame = (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("encoding", charset)
-        .option("enforceSchema", True).option("columnNameOfCorruptRecord", "_malformed").option("escape", '"').csv(path)
-    )
+        raise ValidationError(f"{name}: the header repeats a column")
+    schema = ", ".join(f"`{c}` STRING" for c in [*(f"_cell_{i}" for i in range(len(names))), "_malformed"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "escape": '"'}
+    parsed = records.where("NOT header").select(F.from_csv("record", schema, options).alias("row"))
+    frame = parsed.select(*[F.col(f"row._cell_{i}").alias(c) for i, c in enumerate(names)], "row._malformed")
     if encoding == "cp1252":
         undefined = F.lit(False)
         for c in names:
             undefined = undefined | F.coalesce(F.col(c).rlike(WINDOWS_UNDEFINED), F.lit(False))
         if frame.where(undefined).limit(1).count():
-            raise ValidationError(f"Could not decode CSV as UTF-8 or Windows-1252 for {name}: {path}")
+            raise ValidationError(f"{name}: neither UTF-8 nor Windows-1252")
         frame = frame.withColumns({c: F.translate(c, WINDOWS_CODES, WINDOWS_CHARACTERS) for c in names})
     return frame, encoding, names
 
@@ -103,31 +103,30 @@ def _number(field: T.StructField) -> Column:
         F.when(number == F.floor(number), number.try_cast(field.dataType)))
 
 
-def _typed(frame: DataFrame, spec: TableSpec, *, coerce: bool) -> DataFrame:
+def _typed(frame: DataFrame, spec: Contract, *, coerce: bool) -> DataFrame:
     """Cells in their declared types; text that is no number raises, or becomes null with `coerce`."""
-    numeric = [f for f in spec.columns if not isinstance(f.dataType, T.StringType)]
+    numeric = [f for f in spec.schema if not isinstance(f.dataType, T.StringType)]
     cells = frame.withColumns({c: blank_to_null(c) for c in frame.columns})
     values = {f.name: _number(f) for f in numeric}
     if numeric and not coerce:
         bad = cells.agg(*[F.count_if(F.col(n).isNotNull() & v.isNull()).alias(n) for n, v in values.items()]).first()
         if failures := {n: bad[n] for n in values if bad[n]}:
-            raise ValidationError(f"Non-numeric values in {spec.name}: {failures}")
+            raise ValidationError(f"{spec.name}: cells that are no numbers {failures}")
     return cells.withColumns(values)
 
 
-def read_csv(spark: SparkSession, path: str, spec: TableSpec, *, duplicate_policy: str = "report",
+def read_csv(spark: SparkSession, path: str, spec: Contract, *, duplicate_policy: str = "report",
              coerce: bool = False, typed: bool = True) -> LoadedTable:
     """Reads and validates one CSV; duplicates are reported and never removed."""
     if duplicate_policy not in ("report", "error"):
         raise ValueError("duplicate_policy must be 'report' or 'error'")
     frame, encoding, names = read_text_cells(spark, path, spec.name)
     if problems := column_problems(names, spec):
-        prefix = "" if problems[0].startswith("Missing target") else f"Column validation failed for {spec.name}: "
-        raise ValidationError(prefix + "; ".join(problems))
+        raise ValidationError(f"{spec.name} {', '.join(problems)}")
     malformed = frame.select("*").where(F.col("_malformed").isNotNull())
     broken = malformed.agg(F.count(F.lit(1)).alias("n"), *[F.count(c) for c in names]).first()
     if broken.n:
-        raise ValidationError(f"Malformed CSV for {spec.name}: {broken.n} row(s) do not have {len(names)} fields")
+        raise ValidationError(f"{spec.name}: {broken.n} row(s) with other than {len(names)} fields")
     cells = frame.drop("_malformed")
     out = _typed(cells, spec, coerce=coerce) if typed else cells.withColumns({c: blank_to_null(c) for c in names})
     report = check_table(out, spec, duplicate_policy=duplicate_policy)
@@ -147,17 +146,17 @@ def read_transaction_table(spark: SparkSession, root: str) -> tuple[DataFrame, D
 
 
 def check_wide_header(spark: SparkSession, path: str) -> None:
-    """Exact header and at least one data row, without scanning the table."""
+    """Exact header and at least one data row; no cell is typed or counted."""
     frame, _, names = read_text_cells(spark, path, "wide_transactions")
     if names != wide_spec().names:
-        raise ValidationError("Column validation failed for wide_transactions: columns are not in the required order")
+        raise ValidationError(f"wide_transactions {', '.join(column_problems(names, wide_spec()))}")
     if not frame.limit(1).count():
         raise ValidationError("wide_transactions has no data rows")
 
 
 def read_wide_table(spark: SparkSession, path: str, *, duplicate_policy: str = "report", allow_missing: bool = False) -> LoadedTable:
     """The wide, time-ordered numeric table."""
-    return read_csv(spark, path, wide_spec(allow_missing=allow_missing), duplicate_policy=duplicate_policy)
+    return read_csv(spark, path, wide_spec(*(["gaps"] if allow_missing else [])), duplicate_policy=duplicate_policy)
 
 
 def load_reports(spark: SparkSession, tables: dict[str, LoadedTable]) -> DataFrame:
@@ -167,6 +166,3 @@ def load_reports(spark: SparkSession, tables: dict[str, LoadedTable]) -> DataFra
     return spark.createDataFrame(rows, "table_name string, row_count long, column_count long, missing_cells long, "
                                        "duplicate_rows long, encoding string")
 
-
-__all__ = ["LoadedTable", "check_wide_header", "discover_csv", "load_reports", "read_csv", "read_related_tables",
-           "read_transaction_table", "read_wide_table", "stack"]

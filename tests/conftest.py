@@ -36,7 +36,7 @@ RELATED_ROWS = {
 def related_tables(spark, **changes):
     specs = related_specs()
     rows = RELATED_ROWS | changes
-    return {name: spark.createDataFrame(rows[name], specs[name].columns) for name in specs}
+    return {name: spark.createDataFrame(rows[name], specs[name].schema) for name in specs}
 
 
 def write_related_csv(folder):
@@ -54,7 +54,7 @@ def wide_frame(spark, n, row):
     for r in range(n):
         time, amount, component, label = row(r)
         rows.append((float(time), *[float(component(i)) for i in range(1, 29)], None if amount is None else float(amount), int(label)))
-    return spark.createDataFrame(rows, wide_spec().columns)
+    return spark.createDataFrame(rows, wide_spec().schema)
 
 
 def modular_toy(spark, n=400, k=4):

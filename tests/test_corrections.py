@@ -61,9 +61,9 @@ def test_an_evaluation_keeps_its_models(spark, tmp_path):
 def test_malformed_rows_are_counted_and_not_shown(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("a,b\n1,2\nsecret name,3,4\n")
-    from riskloom.schema import TableSpec
+    from riskloom.schema import Contract
 
-    spec = TableSpec("t", T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.LongType())]))
+    spec = Contract("t", T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.LongType())]))
     with pytest.raises(ValidationError) as caught:
         csv.read_csv(spark, str(path), spec)
     assert "1 row(s)" in str(caught.value) and "secret" not in str(caught.value)

@@ -1,91 +1,95 @@
+import random
+
 import pytest
 from conftest import write_related_csv
+from pyspark.sql import functions as F
 
 from riskloom.errors import ValidationError
-from riskloom.schema import TableSpec, WIDE_FEATURES, struct_of
+from riskloom.schema import Contract, WIDE_FEATURES, struct_of
 from riskloom.sources import csv as source
+from riskloom.sources import rows
 
-SPEC = TableSpec("toy", struct_of("id long, amount double, target int"), target="target", domain=(0, 1))
+LEDGER = Contract("ledger", struct_of("account long, balance double, closed int", "closed"))
+NOTES = Contract("notes", struct_of("account long, note string"))
 
 
-def put(tmp_path, text, name="toy.csv", encoding="utf-8"):
-    path = tmp_path / name
+def put(folder, text, name="ledger.csv", encoding="utf-8"):
+    path = folder / name
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_bytes(text.encode(encoding))
     return str(path)
 
 
-def test_valid_file_and_reordered_header(spark, tmp_path):
-    loaded = source.read_csv(spark, put(tmp_path, "target,id,amount\n0,1,8.5\n1,2,3.1\n"), SPEC)
-    assert loaded.report["row_count"] == 2 and loaded.report["target_distribution"] == {0: 1, 1: 1}
+def test_columns_may_come_in_any_order(spark, tmp_path):
+    loaded = source.read_csv(spark, put(tmp_path, "closed,account,balance\n0,70,-3.25\n1,71,12\n1,72,0\n"), LEDGER)
+    assert loaded.report["row_count"] == 3 and loaded.report["target_distribution"] == {0: 1, 1: 2}
     assert loaded.report["encoding"] == "utf-8" and loaded.report["missing_values"] == {}
-    assert [tuple(r) for r in loaded.frame.select("id", "amount", "target").orderBy("id").collect()] == [(1, 8.5, 0), (2, 3.1, 1)]
+    assert [tuple(r) for r in loaded.frame.select("account", "balance", "closed").orderBy("account").collect()] == [(70, -3.25, 0), (71, 12.0, 1), (72, 0.0, 1)]
 
 
 def test_byte_order_mark_quotes_and_blank_lines(spark, tmp_path):
-    spec = TableSpec("named", struct_of("id long, label string"))
-    loaded = source.read_csv(spark, put(tmp_path, '﻿id,label\n1,"a, ""b"""\n\n2,c\n'), spec)
-    assert [r.label for r in loaded.frame.orderBy("id").collect()] == ['a, "b"', "c"]
+    loaded = source.read_csv(spark, put(tmp_path, '﻿account,note\r\n5,"x; ""y"", z"\r\n\r\n6,w\r\n'), NOTES)
+    assert [r.note for r in loaded.frame.orderBy("account").collect()] == ['x; "y", z', "w"]
 
 
 def test_windows_encoding(spark, tmp_path):
-    spec = TableSpec("named", struct_of("id long, label string"))
-    loaded = source.read_csv(spark, put(tmp_path, "id,label\n1,café “€”\n", encoding="cp1252"), spec)
-    assert loaded.report["encoding"] == "cp1252" and loaded.frame.first().label == "café “€”"
+    loaded = source.read_csv(spark, put(tmp_path, "account,note\n9,naïve – 5 €\n", encoding="cp1252"), NOTES)
+    assert loaded.report["encoding"] == "cp1252" and loaded.frame.first().note == "naïve – 5 €"
     bad = tmp_path / "bad.csv"
-    bad.write_bytes(b"id,label\n1,caf\xe9 \x81\n")
-    with pytest.raises(ValidationError, match="Could not decode"):
-        source.read_csv(spark, str(bad), spec)
-
-
-@pytest.mark.parametrize("text, message", [
-    ("", "empty or has no header"),
-    ("id,amount,target\n", "at least 1"),
-    ("id,amount,target\n1,4,0\n2,8\n", "Malformed CSV"),
-    ("id,amount,target\n1,4,0\n2,8,1,9\n", "Malformed CSV"),
-    ("id,amount,target,extra\n1,4,0,2\n", "unexpected columns"),
-    ("id,target\n1,0\n", "missing columns"),
-    ("id,amount\n1,4\n", "Missing target column"),
-    ("id,amount,target\n1,4,2\n", "Invalid values in target"),
-    ("id,amount,target\n1,,0\n2,3,1\n", "Missing values"),
-    ("id,amount,target\n1,NA,0\n2,3,1\n", "Missing values"),
-    ("id,amount,target\n1,abc,0\n2,3,1\n", "Non-numeric"),
+    bad.write_bytes(b"account,note\n9,na\xefve \x90\n")
+    with pytest.raises(ValidationError, match="neither"):
+        source.read_csv(spark, str(bad), NOTES)
+
+
+@pytest.mark.parametrize("text, told", [
+    ("", "no header"),
+    ("account,balance,closed\n", "0 rows where 1 to any number"),
+    ("account,balance,closed\n70,1,0\n71,1\n", "1 row.s. with other than 3 fields"),
+    ("account,balance,closed\n70,1,0\n71,1,0,0,0\n72,5\n", "2 row.s. with other than 3 fields"),
+    ("account,balance,closed,owner,city\n70,1,0,a,b\n", "has undeclared 'owner', has undeclared 'city'"),
+    ("account,closed\n70,0\n", "lacks 'balance'"),
+    ("balance,owner\n70,0\n", "lacks 'account', lacks 'closed', has undeclared 'owner'"),
+    ("account,balance,closed\n70,1,0\n71,1,5\n72,1,\n", "cells without value {'closed': 1}; 2 labels other than"),
+    ("account,balance,closed\n70,n/a,0\n71,,1\n", "cells without value {'balance': 2}"),
+    ("account,balance,closed\n70,ten,0\n", "no numbers {'balance': 1}"),
+    ('account,balance,closed\n70,"1,0\n71,2,1\n', "never ends"),
+    ("account,account,closed\n70,1,0\n", "repeats a column"),
 ])
-def test_rejections(spark, tmp_path, text, message):
-    with pytest.raises(ValidationError, match=message):
-        source.read_csv(spark, put(tmp_path, text), SPEC)
+def test_rejections_name_every_breach(spark, tmp_path, text, told):
+    with pytest.raises(ValidationError, match=told):
+        source.read_csv(spark, put(tmp_path, text), LEDGER)
 
 
 def test_missing_path(spark, tmp_path):
-    with pytest.raises(ValidationError, match="does not exist"):
-        source.read_csv(spark, str(tmp_path / "none.csv"), SPEC)
+    with pytest.raises(ValidationError, match="nothing to read"):
+        source.read_csv(spark, str(tmp_path / "none.csv"), LEDGER)
 
 
-def test_duplicates_are_reported_not_removed(spark, tmp_path):
-    path = put(tmp_path, "id,amount,target\n1,2.0,0\n1,2.0,0\n2,3.0,1\n")
-    loaded = source.read_csv(spark, path, SPEC)
-    assert loaded.report["duplicate_rows"] == 1 and loaded.frame.count() == 3
-    with pytest.raises(ValidationError, match="duplicate"):
-        source.read_csv(spark, path, SPEC, duplicate_policy="error")
+def test_repeated_rows_are_reported_not_removed(spark, tmp_path):
+    path = put(tmp_path, "account,balance,closed\n" + "70,4.5,0\n" * 4 + "71,4.5,1\n")
+    loaded = source.read_csv(spark, path, LEDGER)
+    assert loaded.report["duplicate_rows"] == 3 and loaded.frame.count() == 5
+    with pytest.raises(ValidationError, match="3 repeated rows"):
+        source.read_csv(spark, path, LEDGER, duplicate_policy="error")
 
 
-def test_expected_rows(spark, tmp_path):
-    spec = TableSpec("toy", SPEC.columns, target="target", domain=(0, 1), expected_rows=2)
-    with pytest.raises(ValidationError, match="expected 2, got 1"):
-        source.read_csv(spark, put(tmp_path, "id,amount,target\n1,2.0,0\n"), spec)
+def test_bounds_of_rows(spark, tmp_path):
+    path = put(tmp_path, "account,balance,closed\n70,1,0\n71,2,1\n")
+    for bounds, told in (((3, 3), "2 rows where 3 to 3"), ((0, 1), "2 rows where 0 to 1")):
+        with pytest.raises(ValidationError, match=told):
+            source.read_csv(spark, path, Contract("ledger", LEDGER.schema, rows=bounds))
+    assert source.read_csv(spark, path, Contract("ledger", LEDGER.schema, rows=(2, 2))).report["row_count"] == 2
 
 
 def test_discovery(spark, tmp_path):
-    put(tmp_path, "a\n1\n", "x/one.csv")
-    put(tmp_path, "a\n1\n", "y/one.csv")
-    put(tmp_path, "a\n1\n", "y/two.csv")
-    assert source.discover_csv(spark, str(tmp_path), ["two.csv"])["two.csv"].endswith("y/two.csv")
-    with pytest.raises(ValidationError, match="Ambiguous"):
-        source.discover_csv(spark, str(tmp_path), ["one.csv"])
-    with pytest.raises(ValidationError, match="Missing expected CSV"):
-        source.discover_csv(spark, str(tmp_path), ["three.csv"])
-    with pytest.raises(ValidationError, match="does not exist"):
-        source.discover_csv(spark, str(tmp_path / "nowhere"), ["one.csv"])
+    for place in ("p/q/open.csv", "p/shut.csv", "r/shut.csv"):
+        put(tmp_path, "k\n7\n", place)
+    assert source.discover_csv(spark, str(tmp_path), ["open.csv"])["open.csv"].endswith("p/q/open.csv")
+    for names, told in ((["shut.csv"], "more than once"), (["open.csv", "void.csv"], r"absent below .*void.csv")):
+        with pytest.raises(ValidationError, match=told):
+            source.discover_csv(spark, str(tmp_path), names)
+    with pytest.raises(ValidationError, match="no folder"):
+        source.discover_csv(spark, str(tmp_path / "elsewhere"), ["open.csv"])
 
 
 def test_related_tables_and_join(spark, tmp_path):
@@ -98,20 +102,40 @@ def test_related_tables_and_join(spark, tmp_path):
     assert joined.count() == 3 and len(joined.columns) == 12 and audits.count() == 9
 
 
-def wide_line(value):
-    return ",".join([str(value)] * 31)
-
-
 def test_wide_table(spark, tmp_path):
+    line = lambda value: ",".join([str(value)] * 31)
     header = ",".join([*WIDE_FEATURES, "Class"])
-    path = put(tmp_path, "\n".join([header, wide_line(0), wide_line(0), wide_line(1)]) + "\n")
+    path = put(tmp_path, "\n".join([header, *map(line, (1, 0, 1, 0, 0))]) + "\n")
     loaded = source.read_wide_table(spark, path)
-    assert loaded.report["row_count"] == 3 and loaded.report["duplicate_rows"] == 1
-    assert loaded.report["target_distribution"] == {0: 2, 1: 1}
+    assert loaded.report["row_count"] == 5 and loaded.report["duplicate_rows"] == 3
+    assert loaded.report["target_distribution"] == {0: 3, 1: 2}
     source.check_wide_header(spark, path)
-    swapped = ",".join([WIDE_FEATURES[1], WIDE_FEATURES[0], *WIDE_FEATURES[2:], "Class"])
-    with pytest.raises(ValidationError, match="order"):
-        source.read_wide_table(spark, put(tmp_path, f"{swapped}\n{wide_line(0)}\n", "swapped.csv"))
-    for text in ("Time,Class\n0,1\n", f"{header}\n", ""):
+    with pytest.raises(ValidationError, match="another order"):
+        source.read_wide_table(spark, put(tmp_path, ",".join(["Class", *WIDE_FEATURES]) + f"\n{line(0)}\n", "swapped.csv"))
+    for text in ("Amount\n4\n", f"{header}\n", ""):
         with pytest.raises(ValidationError):
             source.check_wide_header(spark, put(tmp_path, text, "bad.csv"))
+
+
+def quoted(cell):
+    return '"' + cell.replace('"', '""') + '"' if any(c in cell for c in ',"\n\r') or cell == "" else cell
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_line_breaks_inside_quotes_however_files_are_cut(spark, tmp_path, block):
+    rng = random.Random(block)
+    parts = ["a", "b c", ",", '"', "\n", "\n\n", "é", '5" pipe', "x\r\ny", "end", ""]
+    cells = [(str(i), "".join(rng.choices(parts, k=rng.randint(1, 9))).strip("\r") or "z") for i in range(300)] + [("300", 'long "' + "line\n" * 200)]
+    text = "id,note\n" + "".join(f"{quoted(i)},{quoted(c)}\n" for i, c in cells)
+    path = put(tmp_path, text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        blocks = rows.numbered_lines(rows.raw_lines(spark, path, "notes")).select("block").distinct().count()
+        frame, _, names = source.read_text_cells(spark, path, "notes")
+        got = sorted(((r.id, r.note) for r in frame.collect()), key=lambda r: int(r[0]))
+        assert frame.where(F.col("_malformed").isNotNull()).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert names == ["id", "note"] and (blocks > 20) == (block == 64)
+    assert got == [(i, c.replace("\r\n", "\n")) for i, c in cells] or got == cells

@@ -40,8 +40,16 @@ def test_target_rules(spark):
 def test_failed_quality_checks(spark):
     df = spark.createDataFrame([("0", "10", 0), ("-1", "not-a-number", 1)], "Time string, Amount string, Class int")
     status = {r.check_name: r.status for r in quality.quality_checks(df, "Class", "Time", "Amount").collect()}
-    assert status["Finite numeric values"] == "failed" and status["Time and Amount ranges"] == "failed"
-    assert status["Missing values"] == "passed" and status["Exact duplicate rows"] == "passed"
+    assert status["numbers"] == "failed" and status["ranges"] == "failed"
+    assert status["gaps"] == status["repeated rows"] == status["columns"] == status["labels"] == "passed"
+
+
+def test_checks_of_columns_and_labels_can_fail(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 0), (1.0, 3.0, 7)], "Time double, Amount double, Class int")
+    rows = {r.check_name: (r.status, r.detail) for r in quality.quality_checks(df, "Class", "Time", "Amount", columns=["Time", "Amount", "V1", "Class"]).collect()}
+    assert rows["columns"] == ("failed", "absent or undeclared: 1") and rows["labels"] == ("failed", "zero: 1, one: 0, other: 1")
+    one = quality.quality_checks(df.where("Class = 0"), "Class", "Time", "Amount").where("check_name = 'labels'").first()
+    assert one.status == "warning"
 
 
 def test_missing_counts_nan(spark):
