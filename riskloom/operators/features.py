@@ -112,9 +112,9 @@ def _fit_category(train: DataFrame, name: str) -> CategoryState:
     )
     found = counts.orderBy(F.desc("n"), F.asc("value")).limit(MAX_CATEGORIES + 1).collect()
     if not found:
-        raise ValidationError(f"Category {name} has no known value in the training partition")
+        raise ValidationError(f"{name} has no known value in training")
     if len(found) > MAX_CATEGORIES:
-        raise ValidationError(f"Category {name} has more than {MAX_CATEGORIES} values; one-hot encoding is not usable")
+        raise ValidationError(f"{name} has more than {MAX_CATEGORIES} values: one column each is too wide, encode it with categories.fit_categories")
     return CategoryState(name, found[0].value, tuple(sorted(r.value for r in found)))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.functions.columns import calendar_parts
 from riskloom.operators import profile, quality, relations
 from riskloom.operators.relations import Relation, attach
 from riskloom.plans.tables import embedding_components, events, orders, read, timed_events
+from riskloom.session import shared_folder
+from riskloom.sources import csv
 
 LONG_TEXT = {"documents": ("text",)}
 
@@ -133,6 +137,18 @@ UNION ALL SELECT 'labels', CASE WHEN n > pos + neg THEN 'failed' WHEN pos > 0 AN
 """
 
 
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, whose texts hold commas, quotes and line breaks, written as CSV and read back by quote parity."""
+    target = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    source = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    source.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(target)
+    cells, _, _ = csv.read_text_cells(spark, target, "documents")
+    return cells.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "lang", "source")
+
+
+CSV_ROUND_TRIP_SQL = "SELECT doc_id, sha256(text) AS text_sha256, lang, source FROM documents"
+
+
 def value_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return quality.value_ranges(timed_events(spark, folder), ["seconds", "value"])
 
@@ -379,7 +395,7 @@ SELECT o_orderkey, CAST(hour(o_orderdate) AS DOUBLE) AS hour, CAST(isodow(o_orde
 QUERIES = {
     "transaction_table": transaction_table, "quality_report": quality_report, "duplicate_rows": duplicate_rows,
     "target_domain": target_domain, "numeric_coercion": numeric_coercion, "missing_by_column": missing_by_column,
-    "quality_checks": quality_checks, "value_ranges": value_ranges, "key_audit": key_audit,
+    "quality_checks": quality_checks, "csv_round_trip": csv_round_trip, "value_ranges": value_ranges, "key_audit": key_audit,
     "relationship_audit": relationship_audit, "fk_examples": fk_examples, "kpi_overview": kpi_overview,
     "daily_trend": daily_trend, "elapsed_trend": elapsed_trend, "category_summary": category_summary,
     "amount_by_class": amount_by_class, "component_stats": component_stats, "amount_distribution": amount_distribution,
@@ -388,7 +404,7 @@ QUERIES = {
 ORACLES = {
     "transaction_table": TRANSACTION_TABLE_SQL, "quality_report": QUALITY_REPORT_SQL, "duplicate_rows": DUPLICATE_ROWS_SQL,
     "target_domain": TARGET_DOMAIN_SQL, "numeric_coercion": NUMERIC_COERCION_SQL, "missing_by_column": MISSING_BY_COLUMN_SQL,
-    "quality_checks": QUALITY_CHECKS_SQL, "value_ranges": VALUE_RANGES_SQL, "key_audit": KEY_AUDIT_SQL,
+    "quality_checks": QUALITY_CHECKS_SQL, "csv_round_trip": CSV_ROUND_TRIP_SQL, "value_ranges": VALUE_RANGES_SQL, "key_audit": KEY_AUDIT_SQL,
     "relationship_audit": RELATIONSHIP_AUDIT_SQL, "fk_examples": FK_EXAMPLES_SQL, "kpi_overview": KPI_OVERVIEW_SQL,
     "daily_trend": DAILY_TREND_SQL, "elapsed_trend": ELAPSED_TREND_SQL, "category_summary": CATEGORY_SUMMARY_SQL,
     "amount_by_class": AMOUNT_BY_CLASS_SQL, "component_stats": COMPONENT_STATS_SQL, "amount_distribution": AMOUNT_DISTRIBUTION_SQL,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.functions.columns import calendar_parts, epoch_seconds
-from riskloom.operators import features, metrics, split
+from riskloom.operators import categories, features, metrics, split
 from riskloom.plans.tables import events, orders
 
 SEED = 42
@@ -122,6 +122,23 @@ SELECT o_orderkey, split, round((price - pm) / ps, 5) AS price, round((weekday -
 """
 
 
+def open_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers of all orders as a sparse category fitted on the training part; later customers have no cell."""
+    parts, _ = split.chronological_split(_dated_orders(spark, folder), "order_time", "y")
+    table = categories.fit_categories(parts.where(F.col("split") == "train"), "o_custkey")
+    out = table.encode(parts, "customer")
+    return out.select("o_orderkey", F.col("customer.size").cast("long").alias("size"), F.get("customer.indices", F.lit(0)).cast("long").alias("position"),
+                      F.aggregate("customer.values", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+OPEN_CATEGORIES_SQL = f"""WITH {_CUTS_SQL},
+v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS position, count(*) OVER () AS size
+      FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS value FROM chrono WHERE split = 'train'))
+SELECT o_orderkey, (SELECT max(size) FROM v) AS size, position, CASE WHEN position IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS total
+FROM chrono LEFT JOIN v ON v.value = CAST(o_custkey AS VARCHAR)
+"""
+
+
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).select(
         F.date_format("ts", "EEE").alias("weekday"), "y", "score", (F.col("score") >= 0.5).cast("int").alias("alert"))
@@ -247,12 +264,12 @@ QUERIES = {
     "chrono_split": chrono_split, "split_report": split_report, "class_weight": class_weight, "monotone_check": monotone_check,
     "stratified_split": stratified_split, "impute_scale_onehot": impute_scale_onehot, "confusion_metrics": confusion_metrics,
     "roc_auc": roc_auc, "average_precision": average_precision, "roc_curve": roc_curve, "pr_curve": pr_curve,
-    "evaluation": evaluation,
+    "evaluation": evaluation, "open_categories": open_categories,
 }
 ORACLES = {
     "chrono_split": CHRONO_SPLIT_SQL, "split_report": SPLIT_REPORT_SQL, "class_weight": CLASS_WEIGHT_SQL,
     "monotone_check": MONOTONE_CHECK_SQL, "stratified_split": STRATIFIED_SPLIT_SQL,
     "impute_scale_onehot": IMPUTE_SCALE_ONEHOT_SQL, "confusion_metrics": CONFUSION_METRICS_SQL,
     "roc_auc": _ranking_sql(_AUC), "average_precision": _ranking_sql(_AP), "roc_curve": ROC_CURVE_SQL, "pr_curve": PR_CURVE_SQL,
-    "evaluation": EVALUATION_SQL,
+    "evaluation": EVALUATION_SQL, "open_categories": OPEN_CATEGORIES_SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.functions.columns import calendar_parts, epoch_seconds, is_alert, risk_level
-from riskloom.operators import evaluate, explain, iforest, investigate, metrics, models, payload, scoring, split
+from riskloom.operators import evaluate, explain, iforest, investigate, metrics, models, payload, percentiles, scoring, split
 from riskloom.operators.features import FeatureState, fit_features, transform_features
 from riskloom.operators.ranks import bottom_by_digest
 from riskloom.plans.tables import events, lines, orders, read, spread
@@ -42,6 +42,14 @@ SELECT event_id, value, round(refs / total * 100, 6) AS percentile FROM (
 """
 
 
+def percentile_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same ranks from a stored index of the reference, as streams and explanations use it."""
+    df = events(spark, folder)
+    index = percentiles.build_index(df.where(F.col("event_type") == "view").select("value"), "value")
+    new = df.where(F.coalesce(F.col("event_type") != "view", F.lit(True))).select("event_id", "value")
+    return index.percentiles(new, "value").withColumn("percentile", F.round("percentile", 6))
+
+
 def background_sample(spark: SparkSession, folder: str) -> DataFrame:
     return explain.background_sample(read(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100, SEED)
 
@@ -246,10 +254,10 @@ QUERIES = {
     "risk_bands": risk_bands, "anomaly_percentile": anomaly_percentile, "background_sample": background_sample,
     "top_contributors": top_contributors, "shapley_linear": shapley_linear, "strict_payload": strict_payload, "case_ids": case_ids,
     "logistic": logistic, "random_forest": random_forest, "gbt": gbt, "isolation_forest": isolation_forest,
-    "investigation": investigation, "typed_payload": typed_payload, "model_comparison": model_comparison,
+    "investigation": investigation, "typed_payload": typed_payload, "model_comparison": model_comparison, "percentile_index": percentile_index,
 }
 ORACLES = {
     "risk_bands": RISK_BANDS_SQL, "anomaly_percentile": ANOMALY_PERCENTILE_SQL, "background_sample": BACKGROUND_SAMPLE_SQL,
     "top_contributors": TOP_CONTRIBUTORS_SQL, "shapley_linear": SHAPLEY_LINEAR_SQL, "strict_payload": STRICT_PAYLOAD_SQL,
-    "case_ids": CASE_IDS_SQL, "typed_payload": TYPED_PAYLOAD_SQL,
+    "case_ids": CASE_IDS_SQL, "typed_payload": TYPED_PAYLOAD_SQL, "percentile_index": ANOMALY_PERCENTILE_SQL,
 }

@@ -32,6 +32,16 @@ def build_session(app: str = "riskloom", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session without it (tests) gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder named by spark.checkpoint.dir.
 
@@ -40,11 +50,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
