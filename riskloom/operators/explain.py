@@ -7,9 +7,10 @@ Cases are expanded by a bounded literal (the coalitions of the drawn feature ord
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +24,8 @@ MAX_BACKGROUND_ROWS = 100
 MAX_EVALS = 10_000
 DEFAULT_EVALS = 500
 RELATIVE_TOLERANCE, ABSOLUTE_TOLERANCE = 1e-5, 1e-4
+#: Cases that a task expands at a time, by up to 100 background rows.
+BLOCK_CASES = 256
 OUTPUT_SCALE = "risk score on the 0–100 scale"
 
 ScoreRows = Callable[[DataFrame], DataFrame]
@@ -81,6 +84,50 @@ def require_unique(cases: DataFrame, key: str) -> None:
         raise ValidationError(f"Case identifiers in {key} must be present and unique")
 
 
+def _plan(cases: DataFrame, key: str, m: int, background: Sequence, max_evals: int, seed: int) -> dict[tuple[bool, ...], np.ndarray]:
+    """Coalition weights of a request within its bounds."""
+    if not 2 * m + 1 <= max_evals <= MAX_EVALS:
+        raise ValidationError(f"max_evals must be an integer from {2 * m + 1} to {MAX_EVALS}")
+    if not 1 <= len(background) <= MAX_BACKGROUND_ROWS:
+        raise ValidationError(f"The background must hold 1 to {MAX_BACKGROUND_ROWS} rows")
+    require_unique(cases, key)
+    return coalition_weights(m, max_evals, seed)
+
+
+def shapley_blocks(cases: DataFrame, key: str, names: Sequence[str], background: Sequence[Sequence[float]], evaluate: Callable[[np.ndarray], np.ndarray], *,
+                   max_evals: int = DEFAULT_EVALS, seed: int = 42) -> DataFrame:
+    """`shapley_values` for a score that is a function of rows of numbers, 0 to 100.
+
+    Cases stay where they are: a block of them meets every coalition and background row inside its task, and means over the
+    background are all that leaves it. Nothing is shuffled.
+    """
+    m = len(names)
+    weights = _plan(cases, key, m, background, max_evals, seed)
+    rows = np.array(background, np.float64)
+    baseline = float(np.mean(evaluate(rows)))
+    plan = [(np.array(on), w) for on, w in weights.items() if any(on)]
+    start = weights[tuple([False] * m)] * baseline
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_CASES):
+                part = batch.slice(at, BLOCK_CASES)
+                x = np.column_stack([part.column(n).to_numpy(zero_copy_only=False) for n in names])
+                score, phi = evaluate(x), np.tile(start, (len(x), 1))
+                for on, w in plan:
+                    value = score if on.all() else evaluate(np.where(on, x[:, None, :], rows[None]).reshape(-1, m)).reshape(len(x), -1).mean(axis=1)
+                    phi += value[:, None] * w
+                additive = np.abs(baseline + phi.sum(axis=1) - score) <= ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE * np.abs(score)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), m).cast(pa.list_(pa.float64())) for v in (x, phi)]
+                yield pa.RecordBatch.from_arrays([part.column("__key"), lists[0], pa.array(score), pa.array(np.full(len(x), baseline)), lists[1], pa.array(additive)],
+                                                 ["__key", "own", "score", "baseline_score", "shap", "additive"])
+
+    kind = cases.schema[key].dataType.simpleString()
+    given = cases.select(F.col(key).alias("__key"), *[F.col(n).cast("double").alias(n) for n in names])
+    out = given.mapInArrow(run, f"__key {kind}, own array<double>, score double, baseline_score double, shap array<double>, additive boolean")
+    return out.withColumnRenamed("__key", key)
+
+
 def shapley_values(cases: DataFrame, key: str, names: Sequence[str], background: Sequence[Sequence[float]],
                    score_rows: ScoreRows, *, max_evals: int = DEFAULT_EVALS, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """One row per case: key, score, baseline_score, shap (array in feature order), additive.
@@ -89,12 +136,7 @@ def shapley_values(cases: DataFrame, key: str, names: Sequence[str], background:
     an array column `x`. `additive` tells whether baseline plus attributions reproduce the score.
     """
     m = len(names)
-    if not 2 * m + 1 <= max_evals <= MAX_EVALS:
-        raise ValidationError(f"max_evals must be an integer from {2 * m + 1} to {MAX_EVALS}")
-    if not 1 <= len(background) <= MAX_BACKGROUND_ROWS:
-        raise ValidationError(f"The background must hold 1 to {MAX_BACKGROUND_ROWS} rows")
-    require_unique(cases, key)
-    weights = coalition_weights(m, max_evals, seed)
+    weights = _plan(cases, key, m, background, max_evals, seed)
     empty, full = tuple([False] * m), tuple([True] * m)
     spark = cases.sparkSession
     alone = spark.createDataFrame([([float(v) for v in row],) for row in background], "x array<double>")
@@ -142,7 +184,11 @@ def explain_cases(cases: DataFrame, key: str, scorer: Scorer, background: Sequen
                   max_evals: int = DEFAULT_EVALS, seed: int = 42) -> DataFrame:
     """Local explanations of prepared feature rows, one row per case."""
     names = scorer.state.names
-    out = shapley_values(cases, key, names, background, scorer_rows(scorer), max_evals=max_evals, seed=seed)
+    evaluate = scorer.evaluator()
+    if evaluate is None:
+        out = shapley_values(cases, key, names, background, scorer_rows(scorer), max_evals=max_evals, seed=seed)
+    else:
+        out = shapley_blocks(cases, key, names, background, evaluate, max_evals=max_evals, seed=seed)
     return out.select(
         key, F.lit(scorer.model_name).alias("model_name"), F.lit(scorer.score_kind).alias("score_kind"),
         F.lit(scorer.basis).alias("score_basis"), "score", "baseline_score", F.lit(OUTPUT_SCALE).alias("output_scale"),

@@ -11,6 +11,7 @@ from riskloom.errors import ValidationError
 from riskloom.functions.columns import display_name
 from riskloom.operators.quality import require_columns, require_target, stack, tables_report
 from riskloom.schema import PERSONAL_COLUMNS, RELATED_TARGET, TRANSACTION_KEY, related_specs
+from riskloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -180,11 +181,46 @@ RELATED_RELATIONS = (
 )
 
 
-def transaction_table(tables: Mapping[str, DataFrame], *, verify_grain: bool = True) -> tuple[DataFrame, DataFrame]:
+def tagged_rows(tables: Mapping[str, DataFrame], key: str, columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row for each key found in any table: rows of it in each table (n0, n1, ...), and the named columns.
+
+    All tables meet in one aggregate: one shuffle, in which hot and missing keys are combined first. A column's value is
+    its greatest one, which is its only one wherever the count of its table is 1.
+    """
+    parts = [tables[name].select(F.col(key), F.lit(i).alias("tag"), *columns.get(name, ())) for i, name in enumerate(tables)]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part, allowMissingColumns=True)
+    named = [c for name in tables for c in columns.get(name, ())]
+    return union.groupBy(key).agg(*[F.count_if(F.col("tag") == i).alias(f"n{i}") for i in range(len(parts))], *[F.max(c).alias(c) for c in named])
+
+
+def tagged_facts(rows: DataFrame, key: str, relations: Sequence[Relation]) -> DataFrame:
+    """The facts of relations from the first table of `tagged_rows` to each of the others, in one aggregate."""
+    known, here = F.col(key).isNotNull(), F.col("n0")
+
+    def total(amount, test):
+        return F.coalesce(F.sum(F.when(test, amount)), F.lit(0))
+
+    counted = []
+    for i, relation in enumerate(relations, 1):
+        there = F.col(f"n{i}")
+        counted.append(F.struct(
+            F.lit(relation.source).alias("source_table"), F.lit(relation.target).alias("target_table"), F.lit(relation.key).alias("key_column"),
+            F.lit(relation.cardinality).alias("cardinality"), F.coalesce(F.sum(here), F.lit(0)).alias("source_count"),
+            total(here, ~known).alias("source_nulls"), total(there, ~known).alias("target_nulls"),
+            total(here - 1, known & (here > 0)).alias("source_duplicates"), total(there - 1, known & (there > 0)).alias("target_duplicates"),
+            F.count_if(known & (here > 0) & (there > 0)).alias("matched"), F.count_if(known & (here > 0) & (there == 0)).alias("unmatched"),
+            F.count_if(known & (here == 0) & (there > 0)).alias("unreferenced")))
+    return rows.agg(F.array(*counted).alias("facts")).select(F.explode("facts").alias("f")).select("f.*")
+
+
+def transaction_table(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Transaction-grain star join of the related tables, and its relationship audit.
 
-    Customer profile and account columns take part in the key audit only. The five one-to-one joins
-    share their key, so their output partitioning carries from one to the next.
+    The six tables of one row per transaction are assembled by one aggregate on their key, and those about customers by one
+    on theirs; both also give the audits. Where these find no breach every count is 1, so grain and labels are those of
+    the tables, and only two joins to unique keys follow. Customer profile and account columns take part in audits only.
     """
     specs = related_specs()
     if missing := sorted(set(specs) - set(tables)):
@@ -192,33 +228,31 @@ def transaction_table(tables: Mapping[str, DataFrame], *, verify_grain: bool = T
     for name in specs:
         needed = [c for c in specs[name].names if c not in PERSONAL_COLUMNS]
         require_columns(tables[name], needed, name)
-    records = tables["transaction_records"]
-    rows = require_key(records, TRANSACTION_KEY, "transaction_records", unique=True)
-    if not rows:
+    by_key = {key: [r for r in RELATED_RELATIONS if r.key == key and r.source == "transaction_records"] for key in (TRANSACTION_KEY, "CustomerID")}
+    columns = {name: [c for c in specs[name].names if c != TRANSACTION_KEY] for name in ("transaction_records", *(r.target for r in by_key[TRANSACTION_KEY]))}
+    wide = cut_lineage(tagged_rows({name: tables[name] for name in columns}, TRANSACTION_KEY, columns))
+    customers = tagged_rows({name: tables[name] for name in ("transaction_records", *(r.target for r in by_key["CustomerID"]))}, "CustomerID", {"suspicious_activity": ["SuspiciousFlag"]})
+    customers = cut_lineage(customers)
+    merchant = next(r for r in RELATED_RELATIONS if r.key == "MerchantID")
+    facts = stack([tagged_facts(wide, TRANSACTION_KEY, by_key[TRANSACTION_KEY]), tagged_facts(customers, "CustomerID", by_key["CustomerID"]),
+                   relation_facts(tables[merchant.source], tables[merchant.target], merchant)])
+    found = {(r.target_table, r.key_column): r for r in facts.collect()}
+    ordered = [found[r.target, r.key] for r in RELATED_RELATIONS]
+    if not ordered[0].source_count:
         raise ValidationError("transaction_records is empty")
-    audits = require_relations(tables, RELATED_RELATIONS)
-    require_target(tables["fraud_indicators"], RELATED_TARGET, both_classes=False)
-
-    out = records.select(TRANSACTION_KEY, "Amount", "CustomerID")
-    for name, columns in (
-        ("transaction_metadata", ["Timestamp", "MerchantID"]),
-        ("fraud_indicators", [RELATED_TARGET]),
-        ("transaction_category_labels", ["Category"]),
-        ("amount_data", ["TransactionAmount"]),
-        ("anomaly_scores", ["AnomalyScore"]),
-    ):
-        out = attach(out, tables[name], TRANSACTION_KEY, columns)
-    out = attach(out, tables["suspicious_activity"], "CustomerID", ["SuspiciousFlag"])
+    for relation, row in zip(RELATED_RELATIONS, ordered, strict=True):
+        if broken := breaches(row, relation):
+            raise ValidationError(f"{relation.source} -> {relation.target}: {broken}, keys such as {_keys_shown(row, relation, tables)}")
+    require_target(wide, RELATED_TARGET, both_classes=False)
+    audits = facts.sparkSession.createDataFrame([tuple(r) for r in ordered], facts.schema)
+
+    out = attach(wide.where("n0 > 0"), customers.where("n0 > 0"), "CustomerID", ["SuspiciousFlag"])
     out = attach(out, tables["merchant_data"], "MerchantID", ["MerchantName", "Location"])
     out = out.select(
         TRANSACTION_KEY, "Amount", "CustomerID", "Timestamp", "MerchantID", RELATED_TARGET, "Category",
         "TransactionAmount", "AnomalyScore", "SuspiciousFlag", "MerchantName", "Location",
     )
-    if verify_grain:
-        require_grain(out, TRANSACTION_KEY, rows)
-        if changed_targets(out, tables["fraud_indicators"], TRANSACTION_KEY, RELATED_TARGET).limit(1).count():
-            raise ValidationError(f"{RELATED_TARGET} differs after the join")
-    return out, audits
+    return out, _with_status(audits)
 
 
 def related_quality_checks(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any, ClassVar
 
+import numpy as np
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.errors import ValidationError
@@ -72,6 +74,10 @@ class Scorer:
     def alert(self) -> Column:
         raise NotImplementedError
 
+    def evaluator(self) -> Callable[[np.ndarray], np.ndarray] | None:
+        """The 0-100 score as a function of rows of prepared features, where it needs nothing but the model."""
+        return None
+
 
 @dataclass(frozen=True)
 class ProbabilityScorer(Scorer):
@@ -106,6 +112,15 @@ class ProbabilityScorer(Scorer):
     def alert(self) -> Column:
         return F.col("raw_score") >= F.lit(self.threshold)
 
+    def evaluator(self) -> Callable[[np.ndarray], np.ndarray] | None:
+        if isinstance(self.model, TreeEnsemble):
+            shared = self.model._shared
+            return lambda x: shared.value.predict(x) * 100.0
+        if isinstance(self.model, LogisticRegressionModel):
+            weights, intercept = self.model.coefficients.toArray(), float(self.model.intercept)
+            return lambda x: 100.0 / (1.0 + np.exp(-(x @ weights + intercept)))
+        return None
+
 
 @dataclass(frozen=True)
 class AnomalyScorer(Scorer):

@@ -137,6 +137,62 @@ UNION ALL SELECT 'labels', CASE WHEN n > pos + neg THEN 'failed' WHEN pos > 0 AN
 """
 
 
+def _star_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The ten related tables made of orders, customers and line items."""
+    orders_of, customers, key = orders(spark, folder), read(spark, folder, "customer"), F.col("o_orderkey").alias("TransactionID")
+    per_order = read(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("supplier"), F.count(F.lit(1)).alias("n"))
+    rolled = orders_of.join(per_order, "o_orderkey", "left")
+    client = F.col("c_custkey").alias("CustomerID")
+    return {
+        "account_activity": customers.select(client, F.col("c_acctbal").alias("AccountBalance"), F.lit("").alias("LastLogin")),
+        "customer_data": customers.select(client, F.col("c_name").alias("Name"), F.lit(0).cast("long").alias("Age"), F.lit("").alias("Address")),
+        "fraud_indicators": orders_of.select(key, F.col("y").alias("FraudIndicator")),
+        "suspicious_activity": customers.select(client, (F.col("c_acctbal") < 0).cast("int").alias("SuspiciousFlag")),
+        "merchant_data": read(spark, folder, "supplier").select(F.col("s_suppkey").alias("MerchantID"), F.col("s_name").alias("MerchantName"), F.col("s_nationkey").cast("string").alias("Location")),
+        "transaction_category_labels": orders_of.select(key, F.col("o_orderpriority").alias("Category")),
+        "amount_data": orders_of.select(key, F.round(F.col("o_totalprice") * 2, 2).alias("TransactionAmount")),
+        "anomaly_scores": rolled.select(key, F.coalesce("n", F.lit(0)).cast("double").alias("AnomalyScore")),
+        "transaction_metadata": rolled.select(key, F.date_format("o_orderdate", "yyyy-MM-dd").alias("Timestamp"), F.coalesce("supplier", F.lit(1)).cast("long").alias("MerchantID")),
+        "transaction_records": orders_of.select(key, F.col("o_totalprice").alias("Amount"), F.col("o_custkey").alias("CustomerID")),
+    }
+
+
+def related_star(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten audited tables joined to one row per order."""
+    return relations.transaction_table(_star_tables(spark, folder))[0]
+
+
+_STAR_SQL = """
+WITH l AS (SELECT l_orderkey, min(l_suppkey) AS supplier, count(*) AS n FROM lineitem GROUP BY 1),
+t AS (
+  SELECT o_orderkey AS TransactionID, o_totalprice AS Amount, o_custkey AS CustomerID, strftime(o_orderdate, '%Y-%m-%d') AS Timestamp,
+    CAST(coalesce(supplier, 1) AS BIGINT) AS MerchantID, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS FraudIndicator, o_orderpriority AS Category,
+    round(o_totalprice * 2, 2) AS TransactionAmount, CAST(coalesce(n, 0) AS DOUBLE) AS AnomalyScore
+  FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+"""
+RELATED_STAR_SQL = _STAR_SQL + """
+SELECT t.*, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS SuspiciousFlag, s_name AS MerchantName, CAST(s_nationkey AS VARCHAR) AS Location
+FROM t JOIN customer ON c_custkey = CustomerID JOIN supplier ON s_suppkey = MerchantID
+"""
+
+
+def related_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The nine audits that the star rests on."""
+    return relations.transaction_table(_star_tables(spark, folder))[1]
+
+
+RELATED_AUDIT_SQL = _STAR_SQL + """,
+one AS (SELECT unnest(['transaction_metadata', 'fraud_indicators', 'transaction_category_labels', 'amount_data', 'anomaly_scores']) AS target_table),
+many AS (SELECT unnest(['customer_data', 'account_activity', 'suspicious_activity']) AS target_table)
+SELECT 'transaction_records' AS source_table, target_table, 'TransactionID' AS key_column, 'one-to-one' AS cardinality,
+  (SELECT count(*) FROM t) AS matched, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS unreferenced, 'passed' AS status FROM one
+UNION ALL SELECT 'transaction_records', target_table, 'CustomerID', 'many-to-one', (SELECT count(DISTINCT CustomerID) FROM t), 0, u,
+  CASE WHEN u = 0 THEN 'passed' ELSE 'warning' END FROM many, (SELECT count(*) AS u FROM customer WHERE c_custkey NOT IN (SELECT CustomerID FROM t))
+UNION ALL SELECT 'transaction_metadata', 'merchant_data', 'MerchantID', 'many-to-one', (SELECT count(DISTINCT MerchantID) FROM t), 0, u,
+  CASE WHEN u = 0 THEN 'passed' ELSE 'warning' END FROM (SELECT count(*) AS u FROM supplier WHERE s_suppkey NOT IN (SELECT MerchantID FROM t))
+"""
+
+
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, whose texts hold commas, quotes and line breaks, written as CSV and read back by quote parity."""
     target = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
@@ -395,7 +451,7 @@ SELECT o_orderkey, CAST(hour(o_orderdate) AS DOUBLE) AS hour, CAST(isodow(o_orde
 QUERIES = {
     "transaction_table": transaction_table, "quality_report": quality_report, "duplicate_rows": duplicate_rows,
     "target_domain": target_domain, "numeric_coercion": numeric_coercion, "missing_by_column": missing_by_column,
-    "quality_checks": quality_checks, "csv_round_trip": csv_round_trip, "value_ranges": value_ranges, "key_audit": key_audit,
+    "quality_checks": quality_checks, "csv_round_trip": csv_round_trip, "related_star": related_star, "related_audit": related_audit, "value_ranges": value_ranges, "key_audit": key_audit,
     "relationship_audit": relationship_audit, "fk_examples": fk_examples, "kpi_overview": kpi_overview,
     "daily_trend": daily_trend, "elapsed_trend": elapsed_trend, "category_summary": category_summary,
     "amount_by_class": amount_by_class, "component_stats": component_stats, "amount_distribution": amount_distribution,
@@ -404,7 +460,7 @@ QUERIES = {
 ORACLES = {
     "transaction_table": TRANSACTION_TABLE_SQL, "quality_report": QUALITY_REPORT_SQL, "duplicate_rows": DUPLICATE_ROWS_SQL,
     "target_domain": TARGET_DOMAIN_SQL, "numeric_coercion": NUMERIC_COERCION_SQL, "missing_by_column": MISSING_BY_COLUMN_SQL,
-    "quality_checks": QUALITY_CHECKS_SQL, "csv_round_trip": CSV_ROUND_TRIP_SQL, "value_ranges": VALUE_RANGES_SQL, "key_audit": KEY_AUDIT_SQL,
+    "quality_checks": QUALITY_CHECKS_SQL, "csv_round_trip": CSV_ROUND_TRIP_SQL, "related_star": RELATED_STAR_SQL, "related_audit": RELATED_AUDIT_SQL, "value_ranges": VALUE_RANGES_SQL, "key_audit": KEY_AUDIT_SQL,
     "relationship_audit": RELATIONSHIP_AUDIT_SQL, "fk_examples": FK_EXAMPLES_SQL, "kpi_overview": KPI_OVERVIEW_SQL,
     "daily_trend": DAILY_TREND_SQL, "elapsed_trend": ELAPSED_TREND_SQL, "category_summary": CATEGORY_SUMMARY_SQL,
     "amount_by_class": AMOUNT_BY_CLASS_SQL, "component_stats": COMPONENT_STATS_SQL, "amount_distribution": AMOUNT_DISTRIBUTION_SQL,

@@ -129,3 +129,20 @@ def test_investigation_records(spark, kind):
         investigate.investigate(cases, "case", scorer, background, top=31)
     with pytest.raises(ValidationError, match="61 to"):
         investigate.investigate(cases, "case", scorer, background, max_evals=60)
+
+
+def test_blocks_equal_the_expanded_frame(spark):
+    random = np.random.default_rng(5)
+    cases = spark.createDataFrame([(f"c{i}", *map(float, random.normal(size=3))) for i in range(700)], "id string, a double, b double, c double").repartition(3)
+    background = random.normal(size=(7, 3)).tolist()
+    weights = np.array([0.7, -1.1, 0.4])
+    expected = explain.shapley_values(cases, "id", ["a", "b", "c"], background, lambda df: df.withColumn("score", 100 / (1 + F.exp(-(0.7 * F.col("x")[0] - 1.1 * F.col("x")[1] + 0.4 * F.col("x")[2])))), max_evals=50)
+    found = explain.shapley_blocks(cases, "id", ["a", "b", "c"], background, lambda x: 100 / (1 + np.exp(-(x @ weights))), max_evals=50)
+    one, two = (df.select("id", "own", "score", "baseline_score", "shap", "additive").orderBy("id").toPandas() for df in (expected, found))
+    assert one.id.tolist() == two.id.tolist() and two.additive.all() and one.additive.all()
+    for name in ("own", "shap"):
+        np.testing.assert_allclose(np.array(two[name].tolist()), np.array(one[name].tolist()), atol=1e-9)
+    for name in ("score", "baseline_score"):
+        np.testing.assert_allclose(two[name], one[name])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("REPARTITION")[0].split("MapInArrow")[0]
+    assert explain.shapley_blocks(cases.where("false"), "id", ["a", "b", "c"], background, lambda x: x.sum(axis=1), max_evals=50).count() == 0

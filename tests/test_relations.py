@@ -23,7 +23,7 @@ def test_transaction_table(spark):
 
 
 @pytest.mark.parametrize("change, message", [
-    ({"transaction_records": RELATED_ROWS["transaction_records"] + [(1, 10.0, 10)]}, "1 rows repeat TransactionID"),
+    ({"transaction_records": RELATED_ROWS["transaction_records"] + [(1, 10.0, 10)]}, "transaction_records repeating TransactionID': 1"),
     ({"fraud_indicators": RELATED_ROWS["fraud_indicators"] + [(1, 0)]}, "fraud_indicators repeating TransactionID': 1"),
     ({"transaction_records": [(1, 10.0, 999), (2, 20.0, 10), (3, 30.0, 20)]}, "CustomerID of transaction_records not in customer_data': 1.*999"),
     ({"transaction_metadata": [(1, "t", None), (2, "t", 100), (3, "t", 200)]}, "transaction_metadata without MerchantID': 1"),
