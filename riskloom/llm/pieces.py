@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from riskloom.llm.words import byte_hashes
 
 #: Bytes of text at a time; pieces that a worker remembers, some 50 bytes each.
-_CHUNK, _PIECES = 4 << 20, 1_500_000
+_CHUNK, _PIECES = 6 << 20, 1_500_000
 #: Pieces encoded in one call, and the mark between them: a control that is a token of its own.
 _TOGETHER, _MARK = 256, "\x01"
 _BETWEEN = f" {_MARK} "
 #: A piece that is one word to the library; as no piece is less than one, the count of word ends shows if all of a text were.
 _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: A common letter before the points that end a piece.
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
 #: Such texts encoded in one call.
 _CALLS = 64
 _LOADED: dict[int, Pieces] = {}
@@ -105,7 +107,7 @@ class Pieces:
             self.clear()
         bounds = np.frombuffer(names.buffers()[1], np.int32, len(names) + 1, names.offset * 4).astype(np.int64)
         data = np.frombuffer(names.buffers()[2] or b"", np.uint8)
-        key, check = (byte_hashes(data, bounds[:-1], bounds[1:], lower) ^ np.uint64(salt) for lower, salt in ((False, 0), (True, 1)))
+        key, check = (byte_hashes(data, bounds[:-1], bounds[1:], lower) for lower in (False, True))
         at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
         hit = (self.keys[at] == key) & (self.checks[at] == check) if len(self.keys) else np.zeros(len(names), bool)
         places = np.zeros(len(names), np.int64)
@@ -144,14 +146,15 @@ def _parted(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
 
     The library lowers letters, cuts between a letter and a point, and a point that ends a piece joins nothing behind it.
     """
-    heads = pc.ascii_rtrim(pieces, ".,;:!?")
-    cut = pc.match_substring_regex(heads, "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$")
-    heads = pc.if_else(cut, heads, pieces)
-    sizes = np.asarray(pc.subtract(pc.binary_length(pieces), pc.binary_length(heads)))
-    with_tail = np.flatnonzero(sizes)
+    trimmed = pc.ascii_rtrim(pieces, ".,;:!?")
+    sizes = np.asarray(pc.subtract(pc.binary_length(pieces), pc.binary_length(trimmed)))
+    longer = np.flatnonzero(sizes)
+    longer = longer[pc.match_substring_regex(trimmed.take(pa.array(longer)), _LETTER).to_numpy(zero_copy_only=False).astype(bool)]
+    cut = np.zeros(len(pieces), bool)
+    cut[longer] = True
+    heads = pc.if_else(pa.array(cut), trimmed, pieces)
     tails = np.full(len(pieces), "", object)
-    ends = pieces.take(pa.array(with_tail)).to_pylist()
-    tails[with_tail] = [p[-n:] for p, n in zip(ends, sizes[with_tail].tolist(), strict=True)]
+    tails[longer] = [p[-n:] for p, n in zip(pieces.take(pa.array(longer)).to_pylist(), sizes[longer].tolist(), strict=True)]
     plain = pc.and_(pc.string_is_ascii(heads), pc.invert(pc.match_substring(heads, "<|")))
     return pc.if_else(plain, pc.ascii_lower(heads), heads), pa.array(tails, pa.string())
 
