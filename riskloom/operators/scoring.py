@@ -15,6 +15,7 @@ from riskloom.functions.columns import as_percent, check_bands, risk_level
 from riskloom.operators.features import FeatureState, assemble, feature_columns
 from riskloom.operators.iforest import ALERT_ABOVE, IsolationForest
 from riskloom.operators.models import DECISION_THRESHOLD, positive_probability
+from riskloom.operators.optimum import LogisticModel
 from riskloom.operators.percentiles import PercentileIndex, build_index
 from riskloom.operators.ranks import running_totals
 from riskloom.operators.trees import TreeEnsemble
@@ -98,7 +99,7 @@ class ProbabilityScorer(Scorer):
         return f"positive-class probability >= {self.threshold:g}"
 
     def raw_of(self, features: Sequence[Column]) -> Column | None:
-        return self.model.probability(features) if isinstance(self.model, TreeEnsemble) else None
+        return self.model.probability(features) if isinstance(self.model, (TreeEnsemble, LogisticModel)) else None
 
     def raw(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         direct = self.raw_of(feature_columns(self.state))
@@ -116,6 +117,9 @@ class ProbabilityScorer(Scorer):
         if isinstance(self.model, TreeEnsemble):
             shared = self.model._shared
             return lambda x: shared.value.predict(x) * 100.0
+        if isinstance(self.model, LogisticModel):
+            model = self.model
+            return lambda x: model.predict(x) * 100.0
         if isinstance(self.model, LogisticRegressionModel):
             weights, intercept = self.model.coefficients.toArray(), float(self.model.intercept)
             return lambda x: 100.0 / (1.0 + np.exp(-(x @ weights + intercept)))

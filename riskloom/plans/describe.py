@@ -137,7 +137,7 @@ UNION ALL SELECT 'labels', CASE WHEN n > pos + neg THEN 'failed' WHEN pos > 0 AN
 """
 
 
-def _star_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def star_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The ten related tables made of orders, customers and line items."""
     orders_of, customers, key = orders(spark, folder), read(spark, folder, "customer"), F.col("o_orderkey").alias("TransactionID")
     per_order = read(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("supplier"), F.count(F.lit(1)).alias("n"))
@@ -159,7 +159,7 @@ def _star_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def related_star(spark: SparkSession, folder: str) -> DataFrame:
     """Ten audited tables joined to one row per order."""
-    return relations.transaction_table(_star_tables(spark, folder))[0]
+    return relations.transaction_table(star_tables(spark, folder))[0]
 
 
 _STAR_SQL = """
@@ -178,7 +178,7 @@ FROM t JOIN customer ON c_custkey = CustomerID JOIN supplier ON s_suppkey = Merc
 
 def related_audit(spark: SparkSession, folder: str) -> DataFrame:
     """The nine audits that the star rests on."""
-    return relations.transaction_table(_star_tables(spark, folder))[1]
+    return relations.transaction_table(star_tables(spark, folder))[1]
 
 
 RELATED_AUDIT_SQL = _STAR_SQL + """,

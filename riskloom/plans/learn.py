@@ -20,7 +20,7 @@ def chrono_split(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("o_orderkey", "split")
 
 
-_CUTS_SQL = """
+CUTS_SQL = """
 n AS (SELECT count(*) AS n FROM orders),
 ends AS (SELECT t, CAST(sum(c) OVER (ORDER BY t) AS BIGINT) AS e
          FROM (SELECT o_orderdate AS t, count(*) AS c FROM orders GROUP BY 1)),
@@ -31,7 +31,7 @@ chrono AS (SELECT o.*, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
                   CASE WHEN o_orderdate <= cut1.t THEN 'train' WHEN o_orderdate <= cut2.t THEN 'validation' ELSE 'test' END AS split
            FROM orders o, cut1, cut2)
 """
-CHRONO_SPLIT_SQL = f"WITH {_CUTS_SQL} SELECT o_orderkey, split FROM chrono"
+CHRONO_SPLIT_SQL = f"WITH {CUTS_SQL} SELECT o_orderkey, split FROM chrono"
 
 
 def split_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +39,7 @@ def split_report(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_report(out, "y")
 
 
-SPLIT_REPORT_SQL = f"""WITH {_CUTS_SQL}
+SPLIT_REPORT_SQL = f"""WITH {CUTS_SQL}
 SELECT split, count(*) AS row_count, count(*) FILTER (WHERE y = 0) AS negatives, count(*) FILTER (WHERE y = 1) AS positives
 FROM chrono GROUP BY split"""
 
@@ -50,7 +50,7 @@ def class_weight(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.count_if(F.col("y") == 0) / F.count_if(F.col("y") == 1), 6).alias("positive_weight"))
 
 
-CLASS_WEIGHT_SQL = f"""WITH {_CUTS_SQL}
+CLASS_WEIGHT_SQL = f"""WITH {CUTS_SQL}
 SELECT round(count(*) FILTER (WHERE y = 0) / count(*) FILTER (WHERE y = 1), 6) AS positive_weight FROM chrono WHERE split = 'train'"""
 
 
@@ -107,7 +107,7 @@ def impute_scale_onehot(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 5) for c in ("price", "weekday", "month")})
 
 
-IMPUTE_SCALE_ONEHOT_SQL = f"""WITH {_CUTS_SQL},
+IMPUTE_SCALE_ONEHOT_SQL = f"""WITH {CUTS_SQL},
 f AS (SELECT o_orderkey, split, CASE WHEN o_orderkey % 17 <> 0 THEN o_totalprice END AS price,
              CAST(isodow(o_orderdate) - 1 AS DOUBLE) AS weekday, CAST(month(o_orderdate) AS DOUBLE) AS month,
              CASE WHEN o_orderkey % 17 <> 0 THEN regexp_replace(o_orderpriority, '[^A-Z0-9]', '_', 'g') END AS priority FROM chrono),
@@ -131,7 +131,7 @@ def open_categories(spark: SparkSession, folder: str) -> DataFrame:
                       F.aggregate("customer.values", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-OPEN_CATEGORIES_SQL = f"""WITH {_CUTS_SQL},
+OPEN_CATEGORIES_SQL = f"""WITH {CUTS_SQL},
 v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS position, count(*) OVER () AS size
       FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS value FROM chrono WHERE split = 'train'))
 SELECT o_orderkey, (SELECT max(size) FROM v) AS size, position, CASE WHEN position IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS total

@@ -207,7 +207,7 @@ def gbt(spark: SparkSession, folder: str) -> DataFrame:
 ORDER_FEATURES = ["price", "line_count", "line_amount"]
 
 
-def _prepared_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, FeatureState]:
+def prepared_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, FeatureState]:
     """Orders with a line roll-up; orders without lines have gaps that the fitted state fills."""
     rollup = read(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).cast("double").alias("line_count"), F.sum("l_extendedprice").alias("line_amount"))
@@ -220,7 +220,7 @@ def _prepared_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, Featu
 
 
 def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
-    parts, state = _prepared_orders(spark, folder)
+    parts, state = prepared_orders(spark, folder)
     train = parts.where(F.col("split") == "train")
     forest = iforest.fit_isolation_forest(transform_features(train, state, ["o_orderkey"]), "o_orderkey", state.names, seed=SEED)
     scorer = scoring.AnomalyScorer("isolation_forest", forest, state, scoring.training_reference(forest, train, state))
@@ -228,7 +228,7 @@ def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def investigation(spark: SparkSession, folder: str) -> DataFrame:
-    parts, state = _prepared_orders(spark, folder)
+    parts, state = prepared_orders(spark, folder)
     model = models.fit_logistic(models.training_rows(parts, state, "y"))
     scorer = scoring.ProbabilityScorer("logistic_regression", model, state)
     train = transform_features(parts.where(F.col("split") == "train"), state, ["o_orderkey"])
@@ -238,7 +238,7 @@ def investigation(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """All three kinds of score on held-out orders, compared in one report."""
-    parts, state = _prepared_orders(spark, folder)
+    parts, state = prepared_orders(spark, folder)
     train = parts.where(F.col("split") == "train")
     rows = models.training_rows(parts, state, "y")
     forest = iforest.fit_isolation_forest(transform_features(train, state, ["o_orderkey"]), "o_orderkey", state.names, seed=SEED)

@@ -16,12 +16,13 @@ from pyspark.sql import SparkSession, functions as F
 from riskloom.errors import ValidationError
 from riskloom.operators.features import FeatureState
 from riskloom.operators.iforest import IsolationForest, forest_from_nodes
+from riskloom.operators.optimum import LogisticModel, model_from_weights
 from riskloom.operators.percentiles import build_index
 from riskloom.operators.scoring import ANOMALY_BASIS, PROBABILITY_BASIS, AnomalyScorer, BandPolicy, ProbabilityScorer, Scorer
 from riskloom.operators.trees import TreeEnsemble, ensemble_from_nodes
 
 FORMAT_VERSION = 1
-PROBABILITY_MODELS = ("LogisticRegressionModel", "TreeEnsemble")
+PROBABILITY_MODELS = ("LogisticRegressionModel", "LogisticModel", "TreeEnsemble")
 #: Score kind and basis that belong to each kind of model.
 SCALES = dict.fromkeys(PROBABILITY_MODELS, ("probability", PROBABILITY_BASIS)) | {"IsolationForest": ("anomaly", ANOMALY_BASIS)}
 
@@ -70,6 +71,8 @@ def _settings(model: Any) -> dict[str, Any]:
         return {"trees": len(model.roots), "sample": model.sample}
     if isinstance(model, TreeEnsemble):
         return {"trees": len(model.roots), "kind": model.kind}
+    if isinstance(model, LogisticModel):
+        return {"features": model.numFeatures}
     return {p.name: str(v) for p, v in model.extractParamMap().items()}
 
 
@@ -97,6 +100,8 @@ def save_bundle(spark: SparkSession, path: str, scorer: Scorer, *, dataset_id: s
         scorer.reference.table().write.mode("overwrite").parquet(f"{path}/reference")
     elif isinstance(scorer.model, TreeEnsemble):
         scorer.model.node_frame(spark.range(0)).write.mode("overwrite").parquet(f"{path}/model")
+    elif isinstance(scorer.model, LogisticModel):
+        scorer.model.weight_frame(spark).write.mode("overwrite").parquet(f"{path}/model")
     else:
         scorer.model.write().overwrite().save(f"{path}/model")
     _write_text(spark, scorer.state.to_json(), f"{path}/state", "overwrite")
@@ -130,6 +135,8 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Scorer, dict]:
     if manifest["score_kind"] == "probability":
         if manifest["model_type"] == "TreeEnsemble":
             model = ensemble_from_nodes(spark.read.parquet(f"{path}/model").toPandas(), state.names, manifest["model_config"]["kind"])
+        elif manifest["model_type"] == "LogisticModel":
+            model = model_from_weights(spark.read.parquet(f"{path}/model").collect())  # one row per feature
         else:
             model = LogisticRegressionModel.load(f"{path}/model")
         return ProbabilityScorer(manifest["model_name"], model, state, policy=policy, threshold=manifest["decision_threshold"]), manifest

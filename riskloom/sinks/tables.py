@@ -38,7 +38,12 @@ def write_evaluation(metrics: DataFrame, curves: DataFrame | None, folder: str,
     return paths
 
 
-def append_baseline(metrics: DataFrame, path: str, config: Mapping[str, str]) -> None:
-    """Adds a model's metric rows with its settings to the shared baseline table."""
+def append_baseline(metrics: DataFrame, path: str, config: Mapping[str, str], run: str) -> None:
+    """Adds a run's metric rows with its settings to the shared baseline table.
+
+    A run has a partition of its own, so repeating one, also after a lost driver, replaces its rows instead of doubling them.
+    """
+    if not run.strip() or "/" in run or "=" in run:
+        raise ValidationError("A baseline run needs a name without / and =")
     settings = F.create_map(*[F.lit(str(x)) for pair in config.items() for x in pair]) if config else F.lit(None).cast("map<string,string>")
-    metrics.withColumn("config", settings).write.mode("append").parquet(path)
+    metrics.withColumn("config", settings).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")

@@ -32,24 +32,28 @@ class LoadedTable:
 
 
 def discover_csv(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, str]:
-    """Path of each wanted file below a root; missing and repeated names are errors."""
+    """Path of each wanted file below a root; missing and repeated names are errors.
+
+    A folder that bears a wanted name, as Spark writes a table, counts as one file. Only two paths of a name are kept.
+    """
     try:
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
-            .select(F.element_at(F.split("path", "/"), -1).alias("name"), "path")
-        )
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
+        parts = F.split("path", "/")
+        own, above = F.element_at(parts, -1).isin(*names), F.try_element_at(parts, F.lit(-2)).isin(*names)
+        place = F.when(own, F.col("path")).when(above, F.regexp_replace("path", "/[^/]*$", ""))
         found = (
-            files.where(F.col("name").isin(*names)).groupBy("name")
-            .agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("path")), 1, 5).alias("paths")).collect()
+            files.select(place.alias("place")).where(F.col("place").isNotNull())
+            .groupBy(F.element_at(F.split("place", "/"), -1).alias("name"))
+            .agg(F.min("place").alias("place"), F.max("place").alias("other")).collect()
         )
     except AnalysisException as error:
         raise ValidationError(f"no folder to search at {root}") from error
     by_name = {r["name"]: r for r in found}
     if missing := sorted(set(names) - set(by_name)):
         raise ValidationError(f"absent below {root}: {missing}")
-    if repeated := {n: r.paths for n, r in by_name.items() if r.n > 1}:
+    if repeated := {n: (r.place, r.other) for n, r in by_name.items() if r.place != r.other}:
         raise ValidationError(f"found more than once below {root}: {repeated}")
-    return {n: by_name[n].paths[0] for n in names}
+    return {n: by_name[n].place for n in names}
 
 
 def _header(line: str) -> list[str]:

@@ -179,8 +179,8 @@ def test_evaluation_is_stored_and_read_back(spark, tmp_path, prepared, logistic,
         stored.read_performance(spark, paths["metrics"], "train")
     with pytest.raises(ValidationError, match="unavailable"):
         stored.read_performance(spark, str(tmp_path / "none"), "test")
-    sink.append_baseline(report, str(tmp_path / "baselines"), {"c": "1"})
-    sink.append_baseline(report, str(tmp_path / "baselines"), {})
+    for config, run in (({"c": "1"}, "first"), ({}, "second"), ({"c": "1"}, "first")):
+        sink.append_baseline(report, str(tmp_path / "baselines"), config, run)
     assert spark.read.parquet(str(tmp_path / "baselines")).count() == 8
     broken = spark.read.parquet(paths["metrics"]).withColumn("f1", F.lit(1.5))
     broken.write.partitionBy("split").parquet(str(tmp_path / "broken"))
@@ -231,7 +231,7 @@ def test_registered_model_queries_use_the_defaults(monkeypatch):
     note = lambda name: lambda *a, **k: calls.append((name, k))
     for name in ("evaluate_models", ):
         monkeypatch.setattr(score.metrics, name, note(name))
-    for name in ("_prepared_lines", "_prepared_orders"):
+    for name in ("_prepared_lines", "prepared_orders"):
         monkeypatch.setattr(score, name, lambda *_: (MagicMock(), MagicMock()))
     for module, names in ((score, ["transform_features", "cut_lineage", "bottom_by_digest"]), (score.models, ["training_rows", "fit_logistic"]),
                           (score.scoring, ["training_reference", "score_batch", "ProbabilityScorer", "AnomalyScorer"]), (score.evaluate, ["compare_scorers"]), (score.explain, ["background_rows"])):
