@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import csv
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from riskloom.errors import ValidationError
@@ -15,7 +16,8 @@ from riskloom.functions.columns import blank_to_null, to_number
 from riskloom.operators.quality import check_table, column_problems
 from riskloom.operators.relations import transaction_table
 from riskloom.schema import Contract, related_specs, wide_spec
-from riskloom.sources.rows import csv_records, raw_lines
+from riskloom.session import shared_folder
+from riskloom.sources.rows import csv_records, edge_quotes, raw_lines
 
 # Windows-1252 characters that ISO-8859-1 decodes to C1 controls, and the five undefined bytes.
 WINDOWS_CODES = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
@@ -60,32 +62,49 @@ def _header(line: str) -> list[str]:
     return next(csv.reader([line.removeprefix("\ufeff")]), [])
 
 
-def _encoding(lines: DataFrame, name: str) -> str:
-    """utf-8 when every line is valid UTF-8, else cp1252 when every byte is defined there."""
-    row = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("broken")).first()
+def _line_facts(lines: DataFrame, name: str) -> tuple[str, bool]:
+    """(encoding, whether every record is a line of its own), from one pass over the lines.
+
+    utf-8 when every line is valid UTF-8, else cp1252. A record spans lines only where a line leaves a quote open; returns
+    inside lines and lines of other white space are left to the general way, too.
+    """
+    value = F.regexp_replace("value", "\r$", "")
+    spanning = (edge_quotes(F.col("value")) % 2 == 1) | F.contains(value, F.lit("\r")) | (value.rlike("^[\\x00-\\x20]*$") & (F.trim(value) != ""))
+    row = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("broken"), F.count_if(spanning).alias("spanning")).first()
     if not row.n:
         raise ValidationError(f"{name}: the CSV is empty or has no header")
-    return "utf-8" if not row.broken else "cp1252"
+    return "cp1252" if row.broken else "utf-8", not row.spanning
 
 
 def read_text_cells(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, str, list[str]]:
     """All cells as text in header order, plus `_malformed` holding rows with too few or many fields.
 
-    Quoted cells may hold line breaks; they are read in parallel all the same.
+    Quoted cells may hold line breaks; they are read in parallel all the same. Where no cell does, lines need not be put
+    together and no row is shuffled.
     """
     lines = raw_lines(spark, path, name)
-    encoding = _encoding(lines, name)
-    records = csv_records(lines, name, "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
-    first = records.where("header").select("record").first()
-    names = _header(first[0]) if first is not None else []
+    encoding, lone = _line_facts(lines, name)
+    charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
+    if lone:
+        # The first line that a scan meets of a first block is the first line of its file.
+        first = lines.where(F.col("_metadata.file_block_start") == 0).select(F.decode(F.col("value").cast("binary"), charset)).first()
+        lone = first is not None and bool(first[0].strip(" \r"))
+    if not lone:
+        records = csv_records(lines, name, charset)
+        first = records.where("header").select("record").first()
+    names = _header(first[0].removesuffix("\r")) if first is not None else []
     if not names:
         raise ValidationError(f"{name}: the CSV is empty or has no header")
     if len(set(names)) != len(names):
         raise ValidationError(f"{name}: the header repeats a column")
     schema = ", ".join(f"`{c}` STRING" for c in [*(f"_cell_{i}" for i in range(len(names))), "_malformed"])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "escape": '"'}
-    parsed = records.where("NOT header").select(F.from_csv("record", schema, options).alias("row"))
-    frame = parsed.select(*[F.col(f"row._cell_{i}").alias(c) for i, c in enumerate(names)], "row._malformed")
+    if lone:
+        # All cells of a row are parsed whichever are asked for, so malformed rows are seen in any case.
+        frame = spark.read.schema(schema).options(header=True, encoding=charset, columnPruning=False, **options).csv(path)
+    else:
+        frame = records.where("NOT header").select(F.from_csv("record", schema, options).alias("row")).select("row.*")
+    frame = frame.select(*[F.col(f"_cell_{i}").alias(c) for i, c in enumerate(names)], "_malformed")
     if encoding == "cp1252":
         undefined = F.lit(False)
         for c in names:
@@ -107,32 +126,31 @@ def _number(field: T.StructField) -> Column:
         F.when(number == F.floor(number), number.try_cast(field.dataType)))
 
 
-def _typed(frame: DataFrame, spec: Contract, *, coerce: bool) -> DataFrame:
-    """Cells in their declared types; text that is no number raises, or becomes null with `coerce`."""
-    numeric = [f for f in spec.schema if not isinstance(f.dataType, T.StringType)]
-    cells = frame.withColumns({c: blank_to_null(c) for c in frame.columns})
-    values = {f.name: _number(f) for f in numeric}
-    if numeric and not coerce:
-        bad = cells.agg(*[F.count_if(F.col(n).isNotNull() & v.isNull()).alias(n) for n, v in values.items()]).first()
-        if failures := {n: bad[n] for n in values if bad[n]}:
-            raise ValidationError(f"{spec.name}: cells that are no numbers {failures}")
-    return cells.withColumns(values)
-
-
 def read_csv(spark: SparkSession, path: str, spec: Contract, *, duplicate_policy: str = "report",
              coerce: bool = False, typed: bool = True) -> LoadedTable:
-    """Reads and validates one CSV; duplicates are reported and never removed."""
+    """Reads and validates one CSV; duplicates are reported and never removed.
+
+    The text is parsed into typed cells once, written to the shared folder as columns, while malformed rows and cells that are
+    no numbers are counted in the same pass; every later step reads that table. Text that is no number raises, or becomes
+    null with `coerce`.
+    """
     if duplicate_policy not in ("report", "error"):
         raise ValueError("duplicate_policy must be 'report' or 'error'")
     frame, encoding, names = read_text_cells(spark, path, spec.name)
     if problems := column_problems(names, spec):
         raise ValidationError(f"{spec.name} {', '.join(problems)}")
-    malformed = frame.select("*").where(F.col("_malformed").isNotNull())
-    broken = malformed.agg(F.count(F.lit(1)).alias("n"), *[F.count(c) for c in names]).first()
-    if broken.n:
-        raise ValidationError(f"{spec.name}: {broken.n} row(s) with other than {len(names)} fields")
-    cells = frame.drop("_malformed")
-    out = _typed(cells, spec, coerce=coerce) if typed else cells.withColumns({c: blank_to_null(c) for c in names})
+    cells = frame.withColumns({c: blank_to_null(c) for c in names})
+    values = {f.name: _number(f) for f in spec.schema if typed and not isinstance(f.dataType, T.StringType)}
+    seen = Observation()
+    bad = {} if coerce else {n: F.count_if(F.col("_malformed").isNull() & F.col(n).isNotNull() & v.isNull()) for n, v in values.items()}
+    counted = cells.observe(seen, F.count("_malformed").alias("_malformed"), *[count.alias(n) for n, count in bad.items()])
+    target = f"{shared_folder(spark)}/{spec.name}-{uuid.uuid4().hex}"
+    counted.withColumns(values).drop("_malformed").write.parquet(target)
+    if broken := seen.get["_malformed"]:
+        raise ValidationError(f"{spec.name}: {broken} row(s) with other than {len(names)} fields")
+    if failures := {n: seen.get[n] for n in bad if seen.get[n]}:
+        raise ValidationError(f"{spec.name}: cells that are no numbers {failures}")
+    out = spark.read.parquet(target)
     report = check_table(out, spec, duplicate_policy=duplicate_policy)
     return LoadedTable(out, report | {"path": path, "encoding": encoding})
 

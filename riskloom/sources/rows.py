@@ -7,7 +7,7 @@ A break at even parity ends a record. Only records of several lines are ever shu
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from riskloom.errors import ValidationError
 
@@ -22,11 +22,16 @@ def raw_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
         raise ValidationError(f"{name}: nothing to read at {path}") from error
 
 
+def edge_quotes(value: Column) -> Column:
+    """How many quotes of a line begin or end a cell."""
+    return F.regexp_count(F.replace(value, F.lit('""'), F.lit("")), F.lit(EDGE_QUOTE))
+
+
 def numbered_lines(lines: DataFrame, charset: str = "UTF-8") -> DataFrame:
     """(file, block, id, value, quotes): id ascends within a block, block is the offset at which it begins."""
     value = F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), charset)
     lines = lines.select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return lines.select("file", "block", F.monotonically_increasing_id().alias("id"), "value", F.regexp_count(F.replace("value", F.lit('""'), F.lit("")), F.lit(EDGE_QUOTE)).alias("quotes"))
+    return lines.select("file", "block", F.monotonically_increasing_id().alias("id"), "value", edge_quotes(F.col("value")).alias("quotes"))
 
 
 def csv_records(lines: DataFrame, name: str, charset: str = "UTF-8") -> DataFrame:

@@ -139,3 +139,30 @@ def test_line_breaks_inside_quotes_however_files_are_cut(spark, tmp_path, block)
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert names == ["id", "note"] and (blocks > 20) == (block == 64)
     assert got == [(i, c.replace("\r\n", "\n")) for i, c in cells] or got == cells
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_lines_and_records_give_the_same_cells(spark, tmp_path, end):
+    rows = ["k,t,u", '1,"a ""b"", c",x', "", "2,,", '3," padded ",5" pipe', "4,one too few", "5,a,b,one too many", '"6",,""']
+    alone = put(tmp_path, end.join(rows) + end, "alone.csv")
+    spanning = put(tmp_path, end.join([*rows, '7,"two\nlines",z']) + end, "spanning.csv")
+    assert source._line_facts(source.raw_lines(spark, alone, "n"), "n")[1]
+    assert not source._line_facts(source.raw_lines(spark, spanning, "n"), "n")[1]
+
+    def cells(path):
+        frame, _, names = source.read_text_cells(spark, path, "n")
+        assert names == ["k", "t", "u"]
+        return {r.k: (r.t, r.u, r._malformed is not None) for r in frame.collect()}
+
+    assert cells(alone) == {k: v for k, v in cells(spanning).items() if k != "7"}
+    assert cells(alone)["1"] == ('a "b", c', "x", False) and cells(alone)["4"][2] and cells(alone)["5"][2]
+
+
+def test_folders_named_like_a_file_count_as_one(spark, tmp_path):
+    spark.range(40).repartition(4).write.option("header", True).csv(str(tmp_path / "q" / "open.csv"))
+    put(tmp_path, "k\n7\n", "shut.csv")
+    found = source.discover_csv(spark, str(tmp_path), ["open.csv", "shut.csv"])
+    assert found["open.csv"].endswith("q/open.csv") and source.read_text_cells(spark, found["open.csv"], "open")[0].count() == 40
+    put(tmp_path, "k\n7\n", "r/open.csv")
+    with pytest.raises(ValidationError, match="more than once"):
+        source.discover_csv(spark, str(tmp_path), ["open.csv"])
