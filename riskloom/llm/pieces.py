@@ -159,6 +159,23 @@ def _parted(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pc.if_else(plain, pc.ascii_lower(heads), heads), pa.array(tails, pa.string())
 
 
+def encoded(batches: Iterator[pa.RecordBatch], spec: str, end: int) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, ids) of batches (doc_id, text), some megabytes of text at a time; a worker keeps its pieces."""
+    if hash(spec) not in _LOADED:
+        _LOADED[hash(spec)] = Pieces(spec)
+    pieces = _LOADED[hash(spec)]
+    for batch in batches:
+        texts = batch.column("text").fill_null("").cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        row = 0
+        while row < len(texts):
+            last = max(row + 1, int(np.searchsorted(bounds, bounds[row] + _CHUNK, "right")) - 1)
+            ids, offsets = pieces.encode(texts.slice(row, last - row).cast(pa.string()), end)
+            data = pa.Array.from_buffers(pa.binary(), last - row, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, last - row), data], ["doc_id", "ids"])
+            row = last
+
+
 def sequences(docs: DataFrame, path: str, end: int) -> DataFrame:
     """(doc_id, ids) of every row of docs(doc_id, text), partitions and order kept; ids are 4-byte little-endian numbers.
 
@@ -168,20 +185,4 @@ def sequences(docs: DataFrame, path: str, end: int) -> DataFrame:
     with open(path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec = shared.value
-        if hash(spec) not in _LOADED:
-            _LOADED[hash(spec)] = Pieces(spec)
-        pieces = _LOADED[hash(spec)]
-        for batch in batches:
-            texts = batch.column("text").fill_null("").cast(pa.large_string())
-            bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-            row = 0
-            while row < len(texts):
-                last = max(row + 1, int(np.searchsorted(bounds, bounds[row] + _CHUNK, "right")) - 1)
-                ids, offsets = pieces.encode(texts.slice(row, last - row).cast(pa.string()), end)
-                data = pa.Array.from_buffers(pa.binary(), last - row, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, last - row), data], ["doc_id", "ids"])
-                row = last
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: encoded(batches, shared.value, end), "doc_id long, ids binary")

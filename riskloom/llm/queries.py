@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import bpe, divergence, html, mixing, pieces, pseudonyms, records, repetition, revisits, secrets, setsketch, topk, toxicity, trie
+from riskloom.llm import bpe, divergence, html, mixing, pseudonyms, records, repetition, revisits, secrets, setsketch, topk, toxicity, trie
 from riskloom.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,7 +270,7 @@ def op13_records(spark: SparkSession, folder: str, tokenizer: str | None = None)
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     target = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
-    records.write_records(pieces.sequences(records.in_order(_table(spark, folder, "documents")), tokenizer, end=2), target)
+    records.write_texts(records.in_order(_table(spark, folder, "documents")), target, tokenizer, end=2)
     found = records.read_records(spark, target)
     return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

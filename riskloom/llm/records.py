@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from riskloom.llm.pieces import encoded
+
 FORMAT = "token_records"
 MANIFEST = "_MANIFEST.json"
 #: Data of one frame before the ids; bytes read or written at a time; bytes of a shard that one task reads.
@@ -92,8 +94,10 @@ class Shard(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
+    """Writes ids, or, where a tokenizer is given, the ids of texts: these are encoded in the process that writes them."""
+
+    def __init__(self, folder: str, spec: str | None = None, end: int = 0):
+        self.folder, self.spec, self.end = folder, spec, end
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _store(self.folder)
@@ -102,7 +106,7 @@ class _Writer(DataSourceArrowWriter):
         records = tokens = size = 0
         data = index = None
         try:
-            for batch in batches:
+            for batch in batches if self.spec is None else encoded(batches, self.spec, self.end):
                 if not batch.num_rows:
                     continue
                 if data is None:
@@ -248,7 +252,7 @@ def _batch(positions: np.ndarray, starts: np.ndarray, rows: list[tuple[int | Non
 
 
 class TokenRecords(DataSource):
-    """Options: path, and seed for a read in shuffled order."""
+    """Options: path, seed for a read in shuffled order, tokenizer and end for a write of texts."""
 
     @classmethod
     def name(cls) -> str:
@@ -263,7 +267,10 @@ class TokenRecords(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         store, root = _store(self.options["path"])
         store.create_dir(root)
-        return _Writer(self.options["path"])
+        if "tokenizer" not in self.options:
+            return _Writer(self.options["path"])
+        with open(self.options["tokenizer"], encoding="utf-8") as file:
+            return _Writer(self.options["path"], file.read(), int(self.options["end"]))
 
 
 def write_records(sequences: DataFrame, folder: str) -> None:
@@ -272,6 +279,13 @@ def write_records(sequences: DataFrame, folder: str) -> None:
     sequences.select("doc_id", "ids").write.format(FORMAT).mode("append").option("path", folder).save()
 
 
+def write_texts(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
+    """Writes (doc_id long, text) as the records of `pieces.sequences`, encoded by the writer: ids stay in one process."""
+    docs.sparkSession.dataSource.register(TokenRecords)
+    writer = docs.select("doc_id", "text").write.format(FORMAT).mode("append")
+    writer.option("path", folder).option("tokenizer", tokenizer).option("end", str(end)).save()
+
+
 def read_records(spark: SparkSession, folder: str, seed: int | None = None) -> DataFrame:
     """(position, doc_id, start, ids) of every record, checksums verified; start counts the token ids before the record.
 

@@ -140,6 +140,20 @@ def test_no_documents(spark, docs_of, tmp_path):
     assert records.read_records(spark, str(tmp_path / "out"), seed=1).count() == 0
 
 
+def test_texts_are_encoded_where_they_are_written(spark, docs_of, tmp_path, library):
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    docs = records.in_order(docs_of(*rows))
+    records.write_texts(docs, str(tmp_path / "texts"), PATH, 2)
+    records.write_records(pieces.sequences(docs, PATH, 2), str(tmp_path / "ids"))
+    got, plain = ([(r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in sorted(records.read_records(spark, str(tmp_path / kind)).collect())] for kind in ("texts", "ids"))
+    assert got == plain == expected(library, rows)
+
+
+def test_query_hands_no_ids_between_processes(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "sequences", None)
+    assert queries.op13_records(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
 def test_query_equals_the_library(spark, library):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     want = [(d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, start, ids in expected(library, rows)]
