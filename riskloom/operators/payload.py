@@ -53,11 +53,17 @@ def parse_payloads(df: DataFrame, payload: str, features: Sequence[str] = WIDE_F
     merely look like numbers are refused.
     """
     # The parser stops after the first value; inside an array and inside an object nothing can follow it unseen.
-    listed = F.try_parse_json(F.concat(F.lit("["), F.col(payload), F.lit("]")))
     nested = F.try_parse_json(F.concat(F.lit('{"p":'), F.col(payload), F.lit("}")))
-    alone = nested.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    parsed = df.withColumn("__v", F.when(alone, F.try_variant_get(listed, "$[0]", "variant")))
+    alone = nested.isNotNull() & F.try_variant_get("__listed", "$[1]", "variant").isNull()
+    parsed = df.withColumn("__listed", F.try_parse_json(F.concat(F.lit("["), F.col(payload), F.lit("]"))))
+    parsed = parsed.withColumn("__v", F.when(alone, F.try_variant_get("__listed", "$[0]", "variant")))
     parsed = parsed.withColumn("__keys", F.when(F.schema_of_variant("__v").startswith("OBJECT<"), F.json_object_keys(payload)))
+    # Kinds and values are columns of their own: each is taken from the variant once, however many rules name it.
+    taken = {}
+    for i, f in enumerate(features):
+        taken[f"__kind_{i}"] = F.schema_of_variant(F.try_variant_get("__v", f"$.{f}", "variant"))
+        taken[f"__value_{i}"] = F.try_variant_get("__v", f"$.{f}", "double")
+    parsed = parsed.withColumns(taken)
     expected = F.array(*[F.lit(f) for f in features])
     missing = F.array_sort(F.array_except(expected, F.col("__keys")))
     extra = F.array_sort(F.array_except(F.col("__keys"), expected))
@@ -68,17 +74,18 @@ def parse_payloads(df: DataFrame, payload: str, features: Sequence[str] = WIDE_F
         (F.size(extra) > 0, F.concat(F.size(extra).cast("string"), F.lit(" unsupported field(s)"))),
     ]
     values = {}
-    for f in features:
-        path = f"$.{f}"
-        kind = F.schema_of_variant(F.try_variant_get("__v", path, "variant"))
-        value = F.try_variant_get("__v", path, "double")
+    for i, f in enumerate(features):
+        kind, value = F.col(f"__kind_{i}"), F.col(f"__value_{i}")
         rules.append((~F.coalesce(kind.rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False)), f"feature {f} must be a numeric value"))
         rules.append((value.isNull() | is_infinite(value), f"feature {f} must be finite"))
         if f in non_negative:
             rules.append((value < 0, f"feature {f} cannot be negative"))
         values[f] = value
     out = parsed.withColumn("reject_reason", _first_reason(rules))
-    return out.withColumns({f: F.when(F.col("reject_reason").isNull(), v) for f, v in values.items()}).drop("__v", "__keys")
+    told = F.struct("reject_reason", *[F.when(F.col("reject_reason").isNull(), v).alias(f) for f, v in values.items()])
+    # A filter on a generated column stays above it; pushed into the parsing, it would parse a payload once for each mention.
+    kept = [f"`{c}`" for c in df.columns if c not in ("reject_reason", *features)]
+    return out.select(*kept, F.explode(F.array(told)).alias("__told")).select(*kept, "__told.*")
 
 
 def split_rejects(df: DataFrame, *, atomic: bool = False) -> tuple[DataFrame, DataFrame]:

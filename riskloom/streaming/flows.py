@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -36,14 +37,18 @@ def write_scored(payloads: DataFrame, scorer: Scorer, folder: str, checkpoint: s
                  payload: str = "payload") -> StreamingQuery:
     """Scores a payload stream of any score kind batch by batch, as `score_batch` does, into folder/scored and folder/rejected.
 
-    Each batch writes its own partition again if it is repeated, so a restart leaves no row twice.
+    Each batch writes its own partition again if it is repeated, so a restart leaves no row twice. A batch is parsed once
+    for both folders.
     """
     def score(batch: DataFrame, number: int) -> None:
-        parsed = parse_payloads(batch, payload, scorer.state.inputs)
+        parsed = parse_payloads(batch, payload, scorer.state.inputs).persist(StorageLevel.DISK_ONLY)
         parts = {"scored": score_batch(parsed.where(F.col("reject_reason").isNull()), scorer, [id_column]),
                  "rejected": parsed.where(F.col("reject_reason").isNotNull()).select(id_column, "reject_reason")}
-        for name, rows in parts.items():
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        try:
+            for name, rows in parts.items():
+                rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        finally:
+            parsed.unpersist()
 
     return payloads.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -78,3 +78,17 @@ def test_case_ids(spark):
             payload.case_ids(spark.createDataFrame([(None,)], f"id {kind}"), "id")
     with pytest.raises(ValidationError, match="1 to 128"):
         payload.require_case_ids(df, "id")
+
+
+def test_a_filter_leaves_the_parsing_whole(spark):
+    names = ["Time", "V1"]
+    df = spark.createDataFrame([('{"Time": 1, "V1": 2}',), ('{"Time": 1, "V1": true}',)], "body string")
+    accepted = payload.parse_payloads(df, "body", names).where("reject_reason IS NULL")
+    plan = accepted._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("variant_get") <= 2 + 2 * len(names)  # each cell is taken once, beside the look for a second value
+    assert [r.V1 for r in accepted.collect()] == [2.0]
+
+
+def test_columns_beside_the_payload_stay(spark):
+    df = spark.createDataFrame([(7, '{"Time": 1}', "x", 5.0)], "`an.id` long, body string, reject_reason string, Time double")
+    assert payload.parse_payloads(df, "body", ["Time"]).collect()[0].asDict() == {"an.id": 7, "body": '{"Time": 1}', "reject_reason": None, "Time": 1.0}
