@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.errors import ValidationError
 from riskloom.operators.ranks import bottom_by_digest, key_digest
+from riskloom.operators.walk import Walk
 
 # Baseline settings and the native alert cut-off.
 TREES, SAMPLE, SEED = 300, 256, 42
@@ -37,28 +40,28 @@ class IsolationForest:
 
     def score(self, features: Sequence[Column]) -> Column:
         """Anomaly score in (0, 1); larger is more anomalous."""
-        roots, feature, threshold = self.roots, self.feature, self.threshold
-        below, above, path = self.below, self.above, self.path
-        depth_limit = int(np.ceil(np.log2(max(self.sample, 2))))
-        expected = average_path(self.sample)
+        shared, trees, expected = self._shared, len(self.roots), average_path(self.sample)
 
         def anomaly(*columns: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(np.float64) for c in columns])
-            index = np.arange(len(x))
-            total = np.zeros(len(x))
-            for root in roots:
-                at = np.full(len(x), root, dtype=np.int64)
-                for _ in range(depth_limit):
-                    column = feature[at]
-                    inner = column >= 0
-                    go_below = x[index, np.maximum(column, 0)] <= threshold[at]
-                    at = np.where(inner, np.where(go_below, below[at], above[at]), at)
-                total += path[at]
-            depth = total / len(roots)
+            depth = shared.value._walk.total(x) / trees
             return pd.Series(2.0 ** (-depth / expected) if expected else np.ones(len(x)))
 
         return F.pandas_udf(anomaly, "double")(*[f.cast("double") for f in features])
 
+    @cached_property
+    def _walk(self) -> Walk:
+        """The trees as rows are led down them; a worker that scores many batches keeps it."""
+        return Walk(self.roots, self.feature, self.threshold, self.below, self.above, self.path, missing_above=True)
+
+    @cached_property
+    def _shared(self):
+        """The arrays as a broadcast variable: their size follows from the settings."""
+        return SparkContext.getOrCreate().broadcast(self)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_shared", "_walk")}
+
     def node_frame(self, df: DataFrame) -> DataFrame:
         """The forest as a table, for storage."""
         trees = np.searchsorted(self.roots, np.arange(len(self.feature)), side="right") - 1

@@ -19,6 +19,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.errors import ValidationError
+from riskloom.operators.walk import Walk
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, below int, value double"
 _NODE_NAMES = ["tree", "node", "feature", "threshold", "below", "value"]
@@ -45,25 +46,21 @@ class TreeEnsemble:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 for each row of x."""
-        total = np.zeros(len(x))
-        for root in self.roots:
-            at = np.full(len(x), root, dtype=np.int64)
-            moving = np.arange(len(x))
-            while len(moving):
-                node = at[moving]
-                column = self.feature[node]
-                moving, node, column = moving[column >= 0], node[column >= 0], column[column >= 0]
-                at[moving] = self.below[node] + (x[moving, column] > self.threshold[node])
-            total += self.value[at]
+        total = self._walk.total(x)
         return total / len(self.roots) if self.kind == "forest" else 1.0 / (1.0 + np.exp(-total))
 
+    @cached_property
+    def _walk(self) -> Walk:
+        """The trees as rows are led down them; a worker that scores many batches keeps it."""
+        return Walk(self.roots, self.feature, self.threshold, self.below, self.below + 1, self.value, missing_above=False)
+
     @cached_property
     def _shared(self):
         """The arrays as a broadcast variable: their size follows from the settings and the bound on rows."""
         return SparkContext.getOrCreate().broadcast(self)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_shared"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_shared", "_walk")}
 
     def probability(self, features: Sequence[Column]) -> Column:
         shared = self._shared
