@@ -181,18 +181,31 @@ RELATED_RELATIONS = (
 )
 
 
-def tagged_rows(tables: Mapping[str, DataFrame], key: str, columns: Mapping[str, Sequence[str]]) -> DataFrame:
+#: Transactions of one task of the star's aggregate: what it sorts does not grow with the tables.
+ROWS_A_TASK = 300_000
+#: Rows without key are dealt into so many groups.
+_WITHOUT_KEY = 64
+
+
+def tagged_rows(tables: Mapping[str, DataFrame], key: str, columns: Mapping[str, Sequence[str]], tasks: int | None = None) -> DataFrame:
     """One row for each key found in any table: rows of it in each table (n0, n1, ...), and the named columns.
 
     All tables meet in one aggregate: one shuffle, in which hot and missing keys are combined first. A column's value is
-    its greatest one, which is its only one wherever the count of its table is 1.
+    its greatest one, which is its only one wherever the count of its table is 1. For keys that hardly repeat, name the
+    number of `tasks`: rows are then dealt out to them as they are, since combining would only sort every input once more.
+    Missing keys come as several rows in that case.
     """
     parts = [tables[name].select(F.col(key), F.lit(i).alias("tag"), *columns.get(name, ())) for i, name in enumerate(tables)]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part, allowMissingColumns=True)
+    groups = [key]
+    if tasks:
+        dealt = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(_WITHOUT_KEY))).otherwise(F.lit(0))
+        groups.append("__dealt")
+        union = union.withColumn("__dealt", dealt).repartition(tasks, *groups)
     named = [c for name in tables for c in columns.get(name, ())]
-    return union.groupBy(key).agg(*[F.count_if(F.col("tag") == i).alias(f"n{i}") for i in range(len(parts))], *[F.max(c).alias(c) for c in named])
+    return union.groupBy(*groups).agg(*[F.count_if(F.col("tag") == i).alias(f"n{i}") for i in range(len(parts))], *[F.max(c).alias(c) for c in named]).drop("__dealt")
 
 
 def tagged_facts(rows: DataFrame, key: str, relations: Sequence[Relation]) -> DataFrame:
@@ -230,7 +243,9 @@ def transaction_table(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataF
         require_columns(tables[name], needed, name)
     by_key = {key: [r for r in RELATED_RELATIONS if r.key == key and r.source == "transaction_records"] for key in (TRANSACTION_KEY, "CustomerID")}
     columns = {name: [c for c in specs[name].names if c != TRANSACTION_KEY] for name in ("transaction_records", *(r.target for r in by_key[TRANSACTION_KEY]))}
-    wide = cut_lineage(tagged_rows({name: tables[name] for name in columns}, TRANSACTION_KEY, columns))
+    records = tables["transaction_records"]
+    tasks = max(records.sparkSession.sparkContext.defaultParallelism, -(-records.count() // ROWS_A_TASK))
+    wide = cut_lineage(tagged_rows({name: tables[name] for name in columns}, TRANSACTION_KEY, columns, tasks))
     customers = tagged_rows({name: tables[name] for name in ("transaction_records", *(r.target for r in by_key["CustomerID"]))}, "CustomerID", {"suspicious_activity": ["SuspiciousFlag"]})
     customers = cut_lineage(customers)
     merchant = next(r for r in RELATED_RELATIONS if r.key == "MerchantID")

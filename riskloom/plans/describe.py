@@ -10,7 +10,7 @@ from riskloom.functions.columns import calendar_parts
 from riskloom.operators import profile, quality, relations
 from riskloom.operators.relations import Relation, attach
 from riskloom.plans.tables import embedding_components, events, orders, read, timed_events
-from riskloom.session import shared_folder
+from riskloom.session import cut_lineage, shared_folder
 from riskloom.sources import csv
 
 LONG_TEXT = {"documents": ("text",)}
@@ -141,7 +141,8 @@ def star_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The ten related tables made of orders, customers and line items."""
     orders_of, customers, key = orders(spark, folder), read(spark, folder, "customer"), F.col("o_orderkey").alias("TransactionID")
     per_order = read(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("supplier"), F.count(F.lit(1)).alias("n"))
-    rolled = orders_of.join(per_order, "o_orderkey", "left")
+    # Two tables are made of it, one of which is read twice.
+    rolled = cut_lineage(orders_of.join(per_order, "o_orderkey", "left").select("o_orderkey", "o_orderdate", "supplier", "n"))
     client = F.col("c_custkey").alias("CustomerID")
     return {
         "account_activity": customers.select(client, F.col("c_acctbal").alias("AccountBalance"), F.lit("").alias("LastLogin")),

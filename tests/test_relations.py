@@ -71,3 +71,31 @@ def test_related_quality_checks(spark):
     assert status == dict.fromkeys(("columns", "gaps", "repeated rows", "relations", "labels"), "passed")
     broken = related_tables(spark, amount_data=RELATED_ROWS["amount_data"] + [(4, 1.0)])
     assert {r.check_name: r.status for r in relations.related_quality_checks(broken).collect()}["relations"] == "failed"
+
+
+def test_dealt_rows_equal_combined_ones(spark):
+    tables = related_tables(spark, transaction_records=[(1, 10.0, 10), (1, 20.0, 10), (None, 30.0, 20), (None, 40.0, 20), (5, 1.0, 10)])
+    tables = {name: tables[name] for name in ("transaction_records", "fraud_indicators")}
+    columns = {"transaction_records": ["Amount"], "fraud_indicators": ["FraudIndicator"]}
+    facts = [relations.Relation("transaction_records", "fraud_indicators", "TransactionID", one_to_one=True)]
+    plain, dealt = (relations.tagged_rows(tables, "TransactionID", columns, tasks) for tasks in (None, 5))
+    known = "TransactionID IS NOT NULL"
+    assert sorted(map(tuple, plain.where(known).collect())) == sorted(map(tuple, dealt.where(known).collect()))
+    assert plain.columns == dealt.columns and plain.where(f"NOT {known}").first().n0 == 2
+    assert [tuple(r) for r in relations.tagged_facts(plain, "TransactionID", facts).collect()] == [tuple(r) for r in relations.tagged_facts(dealt, "TransactionID", facts).collect()]
+
+
+def test_tasks_of_the_star_follow_its_rows(spark, monkeypatch):
+    seen = []
+    tagged = relations.tagged_rows
+    monkeypatch.setattr(relations, "ROWS_A_TASK", 1, raising=False)
+    monkeypatch.setattr(relations, "tagged_rows", lambda *given: seen.append(tagged(*given)) or seen[-1])
+    tables = related_tables(spark)
+    rows = [(i, float(i), 10) for i in range(1, 41)]
+    more = {name: [(i, *related[0][1:]) for i in range(1, 41)] for name, related in RELATED_ROWS.items() if related[0][0] == 1 and name != "transaction_records"}
+    tables |= {name: spark.createDataFrame(values, tables[name].schema) for name, values in (more | {"transaction_records": rows}).items()}
+    assert relations.transaction_table(tables)[0].count() == 40
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    above, exchange, below = plan.partition("Exchange hashpartitioning")
+    assert exchange and "hashpartitioning" not in below and "Aggregate" in above and "Aggregate" not in below  # dealt out as they are
+    assert seen[0].rdd.getNumPartitions() == 40  # one row a task, whatever the session's setting
