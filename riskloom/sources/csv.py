@@ -69,7 +69,9 @@ def _line_facts(lines: DataFrame, name: str) -> tuple[str, bool]:
     inside lines and lines of other white space are left to the general way, too.
     """
     value = F.regexp_replace("value", "\r$", "")
-    spanning = (edge_quotes(F.col("value")) % 2 == 1) | F.contains(value, F.lit("\r")) | (value.rlike("^[\\x00-\\x20]*$") & (F.trim(value) != ""))
+    # Most lines hold neither a quote nor a return, so the patterns are only tried where they can be met.
+    quoted, returned = (F.contains("value", F.lit(c)) for c in ('"', "\r"))
+    spanning = (quoted & (edge_quotes(F.col("value")) % 2 == 1)) | (returned & F.contains(value, F.lit("\r"))) | (value.rlike("^[\\x00-\\x20]*$") & (F.trim(value) != ""))
     row = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("broken"), F.count_if(spanning).alias("spanning")).first()
     if not row.n:
         raise ValidationError(f"{name}: the CSV is empty or has no header")
@@ -121,8 +123,9 @@ def _number(field: T.StructField) -> Column:
     number = to_number(field.name)
     if not isinstance(field.dataType, T.IntegralType):
         return number.try_cast(field.dataType)
-    text = F.regexp_replace(F.trim(field.name), r"\.0*$", "")
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(field.dataType)).otherwise(
+    plain, whole = F.trim(field.name), r"^[+-]?\d+$"
+    text = F.regexp_replace(plain, r"\.0*$", "")
+    return F.when(plain.rlike(whole), plain.try_cast(field.dataType)).when(text.rlike(whole), text.try_cast(field.dataType)).otherwise(
         F.when(number == F.floor(number), number.try_cast(field.dataType)))
 
 
@@ -141,11 +144,12 @@ def read_csv(spark: SparkSession, path: str, spec: Contract, *, duplicate_policy
         raise ValidationError(f"{spec.name} {', '.join(problems)}")
     cells = frame.withColumns({c: blank_to_null(c) for c in names})
     values = {f.name: _number(f) for f in spec.schema if typed and not isinstance(f.dataType, T.StringType)}
-    seen = Observation()
-    bad = {} if coerce else {n: F.count_if(F.col("_malformed").isNull() & F.col(n).isNotNull() & v.isNull()) for n, v in values.items()}
+    seen, typed_cells = Observation(), {n: f"__number_{i}" for i, n in enumerate(values)}
+    cells = cells.withColumns({typed_cells[n]: v for n, v in values.items()})  # made once, then counted and written
+    bad = {} if coerce else {n: F.count_if(F.col("_malformed").isNull() & F.col(n).isNotNull() & F.col(c).isNull()) for n, c in typed_cells.items()}
     counted = cells.observe(seen, F.count("_malformed").alias("_malformed"), *[count.alias(n) for n, count in bad.items()])
     target = f"{shared_folder(spark)}/{spec.name}-{uuid.uuid4().hex}"
-    counted.withColumns(values).drop("_malformed").write.parquet(target)
+    counted.select(*[F.col(typed_cells.get(n, n)).alias(n) for n in names]).write.parquet(target)
     if broken := seen.get["_malformed"]:
         raise ValidationError(f"{spec.name}: {broken} row(s) with other than {len(names)} fields")
     if failures := {n: seen.get[n] for n in bad if seen.get[n]}:

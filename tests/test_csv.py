@@ -3,6 +3,7 @@ import random
 import pytest
 from conftest import write_related_csv
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from riskloom.errors import ValidationError
 from riskloom.schema import Contract, WIDE_FEATURES, struct_of
@@ -166,3 +167,16 @@ def test_folders_named_like_a_file_count_as_one(spark, tmp_path):
     put(tmp_path, "k\n7\n", "r/open.csv")
     with pytest.raises(ValidationError, match="more than once"):
         source.discover_csv(spark, str(tmp_path), ["open.csv"])
+
+
+def test_cells_are_made_numbers_once(spark, tmp_path, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, **options):
+        plans.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, path, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    loaded = source.read_csv(spark, put(tmp_path, "account,balance,closed\n70,-3.25,0\n+71,12, 1.00\n72.0,1e3,0\n"), LEDGER)
+    assert sorted(tuple(r) for r in loaded.frame.collect()) == [(70, -3.25, 0), (71, 12.0, 1), (72, 1000.0, 0)]
+    assert plans[0].count("RLIKE(balance") == 1
