@@ -17,7 +17,7 @@ from riskloom.operators.quality import check_table, column_problems
 from riskloom.operators.relations import transaction_table
 from riskloom.schema import Contract, related_specs, wide_spec
 from riskloom.session import shared_folder
-from riskloom.sources.rows import csv_records, edge_quotes, raw_lines
+from riskloom.sources.rows import edge_quotes, header_record, joined_records, marked_lines, raw_lines
 
 # Windows-1252 characters that ISO-8859-1 decodes to C1 controls, and the five undefined bytes.
 WINDOWS_CODES = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
@@ -69,9 +69,8 @@ def _line_facts(lines: DataFrame, name: str) -> tuple[str, bool]:
     inside lines and lines of other white space are left to the general way, too.
     """
     value = F.regexp_replace("value", "\r$", "")
-    # Most lines hold neither a quote nor a return, so the patterns are only tried where they can be met.
-    quoted, returned = (F.contains("value", F.lit(c)) for c in ('"', "\r"))
-    spanning = (quoted & (edge_quotes(F.col("value")) % 2 == 1)) | (returned & F.contains(value, F.lit("\r"))) | (value.rlike("^[\\x00-\\x20]*$") & (F.trim(value) != ""))
+    returned = F.contains("value", F.lit("\r"))  # most lines hold none, so the pattern is only tried on those that do
+    spanning = (edge_quotes(F.col("value")) % 2 == 1) | (returned & F.contains(value, F.lit("\r"))) | (value.rlike("^[\\x00-\\x20]*$") & (F.trim(value) != ""))
     row = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("broken"), F.count_if(spanning).alias("spanning")).first()
     if not row.n:
         raise ValidationError(f"{name}: the CSV is empty or has no header")
@@ -92,9 +91,11 @@ def read_text_cells(spark: SparkSession, path: str, name: str) -> tuple[DataFram
         first = lines.where(F.col("_metadata.file_block_start") == 0).select(F.decode(F.col("value").cast("binary"), charset)).first()
         lone = first is not None and bool(first[0].strip(" \r"))
     if not lone:
-        records = csv_records(lines, name, charset)
-        first = records.where("header").select("record").first()
-    names = _header(first[0].removesuffix("\r")) if first is not None else []
+        marked = marked_lines(lines, name, charset)
+        records, top = joined_records(marked), header_record(marked)
+    else:
+        top = first[0].removesuffix("\r")
+    names = _header(top) if top is not None else []
     if not names:
         raise ValidationError(f"{name}: the CSV is empty or has no header")
     if len(set(names)) != len(names):

@@ -180,3 +180,20 @@ def test_cells_are_made_numbers_once(spark, tmp_path, monkeypatch):
     loaded = source.read_csv(spark, put(tmp_path, "account,balance,closed\n70,-3.25,0\n+71,12, 1.00\n72.0,1e3,0\n"), LEDGER)
     assert sorted(tuple(r) for r in loaded.frame.collect()) == [(70, -3.25, 0), (71, 12.0, 1), (72, 1000.0, 0)]
     assert plans[0].count("RLIKE(balance") == 1
+
+
+def test_lines_of_long_records_are_marked_once(spark, tmp_path, monkeypatch):
+    seen, numbered = [], rows.numbered_lines
+    monkeypatch.setattr(rows, "numbered_lines", lambda *given: numbered(*given).withColumn("value", F.udf(lambda v: (open(tmp_path / "seen", "a").write("."), v)[1])("value")))
+    path = put(tmp_path, 'account,note\n70,"a\nb"\n71,c\n', "long.csv")
+    frame, _, names = source.read_text_cells(spark, path, "notes")
+    for _ in range(3):
+        seen.append(sorted(tuple(r)[:2] for r in frame.collect()))
+    assert names == ["account", "note"] and seen == [[("70", "a\nb"), ("71", "c")]] * 3
+    assert (tmp_path / "seen").stat().st_size <= 2 * 4  # four lines, read for the marks and perhaps for the counts
+
+
+def test_a_header_may_span_lines(spark, tmp_path):
+    path = put(tmp_path, '"acc\nount",note\n70,"a\nb"\n', "wide.csv")
+    frame, _, names = source.read_text_cells(spark, path, "notes")
+    assert names == ["acc\nount", "note"] and [tuple(r)[:2] for r in frame.collect()] == [("70", "a\nb")]
