@@ -72,8 +72,8 @@ def fit_forest(training: Training, seed: int = SEED, rows_per_class: int = ROWS_
     return trees.fit_forest(_labelled(training), training.counts, training.names, seed=seed, rows_per_class=rows_per_class, **(FOREST | settings))
 
 
-def fit_boosting(training: Training, seed: int = SEED, rows_per_class: int = ROWS_PER_CLASS, **settings) -> trees.TreeEnsemble:
-    """Second-order boosted trees on a bounded number of labelled rows; positives weigh negatives / positives of the training part."""
+def fit_boosting(training: Training, seed: int = SEED, rows_per_class: int | None = None, **settings) -> trees.TreeEnsemble:
+    """Second-order boosted trees on all labelled rows; positives weigh negatives / positives of the training part."""
     return trees.fit_boosting(_labelled(training), training.counts, training.names, seed=seed, rows_per_class=rows_per_class, **(BOOSTING | settings))
 
 

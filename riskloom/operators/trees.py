@@ -1,9 +1,9 @@
 """Binned decision trees: a forest grown one tree to a group, and second-order boosting on gradient histograms.
 
-Both are fitted on a bounded set of labelled rows, drawn by a digest from the whole training part, and give a node table
+Both are fitted on all labelled rows, counted by the cells of the grid of cuts where there are many, and give a node table
 and one way to score with it. Each tree of a forest draws its own bootstrap and weighs the classes of that bootstrap.
 Boosting sums gradients and hessians by (node, feature, bin), level by level, and takes Newton steps; as each round needs
-the one before, and a round on the bounded set takes some milliseconds, one task runs them all.
+the one before, and a round on the counted cells takes well under a second, one task runs them all.
 """
 
 from __future__ import annotations
@@ -19,11 +19,14 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.errors import ValidationError
+from riskloom.operators.cells import count_cells, grid_cuts
 from riskloom.operators.walk import Walk
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, below int, value double"
 _NODE_NAMES = ["tree", "node", "feature", "threshold", "below", "value"]
 _NODE_KINDS = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64())
+#: Up to so many rows of the larger class, rows are gathered as they are; more are counted by cells.
+_ONE_BY_ONE = 20_000
 
 
 @dataclass(frozen=True)
@@ -202,6 +205,17 @@ def _bounded_rows(rows: DataFrame, counts: dict[int, int], rows_per_class: int,
     return np.array(found["x"].tolist(), np.float64), found["label"].to_numpy(np.int64), found["copies"].to_numpy(np.int64)
 
 
+def _coded_rows(rows: DataFrame, counts: dict[int, int], features: int, rows_per_class: int | None, bins: int,
+                seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(codes, label, copies, cuts) of all rows, or of about `rows_per_class` of each class where a caller asks for that."""
+    if rows_per_class is None and max(counts.values()) > _ONE_BY_ONE:
+        cuts = grid_cuts(rows, features, sum(counts.values()), bins)
+        return *count_cells(rows, cuts), cuts
+    x, label, copies = _bounded_rows(rows, counts, rows_per_class or max(counts.values()), seed)
+    cuts = [even_cuts(x[:, j], bins) for j in range(features)]
+    return code_rows(x, cuts), label, copies, cuts
+
+
 def fit_forest(rows: DataFrame, counts: dict[int, int], names: Sequence[str], *, trees: int, depth: int, least: int, share: float,
                rows_per_class: int, bins: int, seed: int) -> TreeEnsemble:
     """Random forest on rows(x array<double>, label int); `tries` is the square root of the features, as usual.
@@ -251,6 +265,7 @@ def boost(codes: np.ndarray, label: np.ndarray, weight: np.ndarray, copies: np.n
     """
     n, m = codes.shape
     bins = max((len(c) for c in cuts), default=0) + 1
+    by_feature = np.ascontiguousarray(codes.T)
     margin = np.zeros(n)
     out: list[tuple] = []
     for tree in range(rounds):
@@ -265,13 +280,13 @@ def boost(codes: np.ndarray, label: np.ndarray, weight: np.ndarray, copies: np.n
         for level in range(depth + 1):
             if level < depth:
                 inside = node[sampled]
-                live = inside >= 0
-                rows, inside = sampled[live], inside[live]
+                live = np.flatnonzero(inside >= 0)
+                rows, weights, start = sampled[live], (gradient[live], hessian[live]), inside[live] * bins
                 sums = np.zeros((len(used), 2, count, bins))
                 for i, j in enumerate(used):
-                    at = inside * bins + codes[rows, j]
-                    for k, values in enumerate((gradient, hessian)):
-                        sums[i, k] = np.bincount(at, weights=values[live], minlength=count * bins).reshape(count, bins)
+                    at = start + by_feature[j][rows]
+                    for k, values in enumerate(weights):
+                        sums[i, k] = np.bincount(at, weights=values, minlength=count * bins).reshape(count, bins)
                 if totals is None:
                     totals = sums[0].sum(axis=2)
                 left = np.cumsum(sums, axis=3)
@@ -299,7 +314,7 @@ def boost(codes: np.ndarray, label: np.ndarray, weight: np.ndarray, copies: np.n
             going = here[inner[node[here]]]
             at = node[going]
             moved = np.full(n, -1, np.int64)
-            moved[going] = below[at] - first - count + (codes[going, used[which[at]]] > cut[at])
+            moved[going] = below[at] - first - count + (by_feature.take(used[which[at]] * n + going) > cut[at])
             split = np.flatnonzero(inner)
             pair = np.stack([left[which[split], :, split, cut[split]], right[which[split], :, split, cut[split]]], axis=1)
             totals = pair.reshape(-1, 2).T
@@ -308,19 +323,18 @@ def boost(codes: np.ndarray, label: np.ndarray, weight: np.ndarray, copies: np.n
 
 
 def fit_boosting(rows: DataFrame, counts: dict[int, int], names: Sequence[str], *, rounds: int, depth: int, rate: float, share: float,
-                 columns: float, most: float, penalty: float, least: float, rows_per_class: int, bins: int, seed: int) -> TreeEnsemble:
-    """Second-order boosting on rows(x array<double>, label int), of which about `rows_per_class` of a class are used.
+                 columns: float, most: float, penalty: float, least: float, bins: int, seed: int, rows_per_class: int | None = None) -> TreeEnsemble:
+    """Second-order boosting on all rows(x array<double>, label int); with `rows_per_class`, on about so many of a class.
 
-    Sampled rows weigh as much as the rows they stand for, and positives negatives / positives times that, so sums of
+    Positives weigh negatives / positives. Rows drawn for `rows_per_class` weigh as much as those they stand for, so sums of
     hessians have the size they would have on all rows. Two fits of equal rows are equal.
     """
-    if rounds < 1 or depth < 1 or not 0 < share <= 1 or not 0 < columns <= 1 or not 2 <= bins <= 256 or rows_per_class < 1:
+    if rounds < 1 or depth < 1 or not 0 < share <= 1 or not 0 < columns <= 1 or not 2 <= bins <= 256 or (rows_per_class is not None and rows_per_class < 1):
         raise ValidationError("boosting settings out of range")
-    x, label, copies = _bounded_rows(rows, counts, rows_per_class, seed)
-    cuts = [even_cuts(x[:, j], bins) for j in range(x.shape[1])]
+    codes, label, copies, cuts = _coded_rows(rows, counts, len(names), rows_per_class, bins, seed)
     weight = np.array([counts[0] / max(1, copies[label == k].sum()) for k in (0, 1)])[label]
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((code_rows(x, cuts), label, weight, copies, cuts))
+    shared = spark.sparkContext.broadcast((codes, label, weight, copies, cuts))
     settings = {"rounds": rounds, "depth": depth, "rate": rate, "share": share, "columns": columns, "most": most, "penalty": penalty, "least": least, "seed": seed}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
