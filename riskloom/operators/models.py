@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskloom.errors import ValidationError
 from riskloom.operators import trees
 from riskloom.operators.features import FeatureState, assemble
+from riskloom.operators.forests import StoredForest
 from riskloom.operators.quality import require_target
 
 # The baseline settings of each model.
@@ -22,8 +23,6 @@ SEED = 42
 LOGISTIC = {"maxIter": 2000, "tol": 1e-8, "elasticNetParam": 0.0, "standardization": False}
 FOREST = {"trees": 200, "depth": 20, "least": 2, "share": 0.8, "bins": 256}
 BOOSTING = {"rounds": 300, "depth": 4, "rate": 0.05, "share": 0.8, "columns": 0.8, "most": 1.0, "penalty": 1.0, "least": 1.0, "bins": 256}
-#: Labelled rows of each class that trees are grown on at most, about.
-ROWS_PER_CLASS = 20_000
 
 
 @dataclass(frozen=True)
@@ -67,8 +66,8 @@ def _labelled(training: Training) -> DataFrame:
     return training.rows.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"))
 
 
-def fit_forest(training: Training, seed: int = SEED, rows_per_class: int = ROWS_PER_CLASS, **settings) -> trees.TreeEnsemble:
-    """Random forest whose classes are balanced within each tree's bootstrap, on a bounded number of labelled rows."""
+def fit_forest(training: Training, seed: int = SEED, rows_per_class: int | None = None, **settings) -> trees.TreeEnsemble | StoredForest:
+    """Random forest whose classes are balanced within each tree's bootstrap, on all labelled rows."""
     return trees.fit_forest(_labelled(training), training.counts, training.names, seed=seed, rows_per_class=rows_per_class, **(FOREST | settings))
 
 
@@ -84,6 +83,12 @@ FITTERS: dict[str, Callable] = {
 
 def positive_probability(model, df: DataFrame) -> DataFrame:
     """Adds `raw_score`, the probability of class 1, to rows with a `features` vector."""
+    if isinstance(model, StoredForest):
+        if not df.isStreaming:
+            x = vector_to_array("features")
+            return model.score(df, [x[j] for j in range(model.numFeatures)], "raw_score")
+        # A stream has no distinct cells yet: each process must hold the forest.
+        model = trees.ensemble_from_nodes(model.node_frame(df).toPandas(), model.names, model.kind)
     if isinstance(model, trees.TreeEnsemble):
         x = vector_to_array("features")
         return df.withColumn("raw_score", model.probability([x[j] for j in range(model.numFeatures)]))

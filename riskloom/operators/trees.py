@@ -1,4 +1,4 @@
-"""Binned decision trees: a forest grown one tree to a group, and second-order boosting on gradient histograms.
+"""Binned decision trees: a forest grown tree by tree, and second-order boosting on gradient histograms.
 
 Both are fitted on all labelled rows, counted by the cells of the grid of cuts where there are many, and give a node table
 and one way to score with it. Each tree of a forest draws its own bootstrap and weighs the classes of that bootstrap.
@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.errors import ValidationError
 from riskloom.operators.cells import count_cells, grid_cuts
+from riskloom.operators.forests import NODE_NAMES as _NODE_NAMES, NODE_SCHEMA, TREE_SCHEMA, StoredForest, packed, stored_forest
 from riskloom.operators.walk import Walk
 
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, below int, value double"
-_NODE_NAMES = ["tree", "node", "feature", "threshold", "below", "value"]
 _NODE_KINDS = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64())
 #: Up to so many rows of the larger class, rows are gathered as they are; more are counted by cells.
 _ONE_BY_ONE = 20_000
+#: Nodes of a forest that every process may hold; larger forests stay in their table.
+_HELD = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ class TreeEnsemble:
 
     @cached_property
     def _shared(self):
-        """The arrays as a broadcast variable: their size follows from the settings and the bound on rows."""
+        """The arrays as a broadcast variable: of rounds x 2 ** (depth + 1) nodes at most, or of a forest small enough to be held."""
         return SparkContext.getOrCreate().broadcast(self)
 
     def __getstate__(self):
@@ -114,41 +115,67 @@ def even_cuts(values: np.ndarray, bins: int) -> np.ndarray:
 
 def _totals(key: np.ndarray, weights: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct keys in order and the sums of each weight."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    bits = len(key).bit_length()
+    packed = np.sort(key << bits | np.arange(len(key)))  # a key and its row in one number sort faster than rows by key
+    key, order = packed >> bits, packed & (1 << bits) - 1
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return key[first], [np.add.reduceat(w[order], first) for w in weights]
 
 
-def _best_splits(codes: np.ndarray, node: np.ndarray, n_nodes: int, w0: np.ndarray, w1: np.ndarray, rows: np.ndarray, least: int, drawn: np.ndarray):
-    """(gain, feature, bin) of the best Gini split of every node; features not drawn only count where no drawn one splits."""
-    best = np.full((2, n_nodes), -np.inf)
-    feature, cut = np.full((2, n_nodes), -1), np.zeros((2, n_nodes), np.int64)
-    for j in range(codes.shape[1]):
-        key, (a, b, n) = _totals(node * 256 + codes[:, j], (w0, w1, rows))
-        owner = key // 256
-        start = np.searchsorted(owner, np.arange(n_nodes))
-        end = np.append(start[1:], len(owner))
-        left = []
-        right = []
-        for part in (a, b, n):
-            running = np.concatenate([[0.0], np.cumsum(part)])
-            left.append(running[1:] - running[start][owner])
-            right.append(running[end][owner] - running[1:])
-        (la, lb, ln), (ra, rb, rn) = left, right
-        with np.errstate(divide="ignore", invalid="ignore"):
-            purity = (la * la + lb * lb) / (la + lb) + (ra * ra + rb * rb) / (ra + rb)
-        purity = np.where((ln >= least) & (rn >= least), purity, -np.inf)
-        top = np.maximum.reduceat(purity, start)
-        place = np.flatnonzero((purity == top[owner]) & np.isfinite(purity))
-        which, first = np.unique(owner[place], return_index=True)
-        for rank in (0, 1):
-            better = which[(top[which] > best[rank, which]) & (drawn[which, j] | (rank == 1))]
-            best[rank, better], feature[rank, better] = top[better], j
-            cut[rank, better] = key[place[first[np.searchsorted(which, better)]]] % 256
-    use = (feature[0] < 0).astype(int)
-    at = np.arange(n_nodes)
-    return feature[use, at], cut[use, at]
+def _purity(left: Sequence[np.ndarray], right: Sequence[np.ndarray], least: int, scale: tuple[float, float]) -> np.ndarray:
+    """What a split by Gini is worth, given (class 0, class 1, rows) on either side; -inf where a side has too few rows."""
+    (la, lb, ln), (ra, rb, rn) = ((a * scale[0], b * scale[1], n) for a, b, n in (left, right))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        purity = (la * la + lb * lb) / (la + lb) + (ra * ra + rb * rb) / (ra + rb)
+    return np.where((ln >= least) & (rn >= least), purity, -np.inf)
+
+
+def _best_cuts(code: np.ndarray, node: np.ndarray, n_nodes: int, weights: Sequence[np.ndarray], least: int, scale: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(purity, code) of the best cut of one feature in every node, each of which has rows; a table of all codes where that is small."""
+    bins = int(code.max()) + 1
+    key = node * bins + code
+    if n_nodes * bins <= 2 * len(code):
+        left = [np.cumsum(np.bincount(key, weights=w, minlength=n_nodes * bins).reshape(n_nodes, bins), axis=1) for w in weights]
+        purity = _purity(left, [part[:, -1:] - part for part in left], least, scale)
+        cut = purity.argmax(axis=1)
+        return purity[np.arange(n_nodes), cut], cut
+    key, sums = _totals(key, weights)
+    owner = key // bins
+    start = np.searchsorted(owner, np.arange(n_nodes))
+    end = np.append(start[1:], len(owner))
+    left, right = [], []
+    for part in sums:
+        running = np.concatenate([[0.0], np.cumsum(part)])
+        left.append(running[1:] - running[start][owner])
+        right.append(running[end][owner] - running[1:])
+    purity = _purity(left, right, least, scale)
+    top = np.maximum.reduceat(purity, start)
+    place = np.flatnonzero(purity == top[owner])
+    return top, key[place[np.searchsorted(owner[place], np.arange(n_nodes))]] % bins
+
+
+def _best_splits(codes: np.ndarray, node: np.ndarray, n_nodes: int, w0: np.ndarray, w1: np.ndarray, rows: np.ndarray, least: int, drawn: np.ndarray,
+                 scale: tuple[float, float] = (1.0, 1.0)):
+    """(feature, bin) of the best Gini split of every node, feature -1 where none splits; features not drawn only count where no
+    drawn one splits. The classes weigh by `scale`: sums of whole numbers do not depend on the order of addition."""
+    feature, cut = np.full(n_nodes, -1), np.zeros(n_nodes, np.int64)
+    for wanted in (drawn, ~drawn):
+        best, undecided = np.full(n_nodes, -np.inf), feature < 0
+        for j in range(codes.shape[1]):
+            which = np.flatnonzero(wanted[:, j] & undecided)
+            if not len(which):
+                continue
+            at, inside = slice(None), node
+            if len(which) < n_nodes:
+                number = np.full(n_nodes, -1)
+                number[which] = np.arange(len(which))
+                inside = number[node]
+                at = np.flatnonzero(inside >= 0)
+                inside = inside[at]
+            top, found = _best_cuts(codes[at, j], inside, len(which), (w0[at], w1[at], rows[at]), least, scale)
+            better = top > best[which]
+            best[which[better]], feature[which[better]], cut[which[better]] = top[better], j, found[better]
+    return feature, cut
 
 
 def grow_tree(codes: np.ndarray, label: np.ndarray, copies: np.ndarray, cuts: Sequence[np.ndarray], *, depth: int, least: int,
@@ -160,33 +187,36 @@ def grow_tree(codes: np.ndarray, label: np.ndarray, copies: np.ndarray, cuts: Se
     draws = random.multinomial(max(1, round(share * copies.sum())), copies / copies.sum())
     used = np.flatnonzero(draws)
     codes, label, draws = codes[used], label[used], draws[used]
-    n1, n0 = int(draws[label == 1].sum()), int(draws[label == 0].sum())
-    total = n0 + n1
-    w1 = np.where(label == 1, draws * (total / (2 * max(n1, 1))), 0.0)
-    w0 = np.where(label == 0, draws * (total / (2 * max(n0, 1))), 0.0)
-    rows = np.minimum(draws, copies[used]).astype(float)
+    start = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]).any(axis=1)]))  # neighbours of equal codes are one row
+    codes = codes[start]
+    w0, w1, rows = (np.add.reduceat(w.astype(float), start) for w in (draws * (label == 0), draws * (label == 1), np.minimum(draws, copies[used])))
+    n0, n1 = w0.sum(), w1.sum()
+    scale = (n0 + n1) / (2 * max(n0, 1)), (n0 + n1) / (2 * max(n1, 1))
     out: list[tuple] = []
-    node, alive, first, count = np.zeros(len(used), np.int64), np.arange(len(used)), 0, 1
+    node, first, count = np.zeros(len(codes), np.int64), 0, 1
     for level in range(depth + 1):
-        a, b, n = (np.bincount(node, weights=w[alive], minlength=count) for w in (w0, w1, rows))
+        a, b, n = (np.bincount(node, weights=w, minlength=count) * k for w, k in ((w0, scale[0]), (w1, scale[1]), (rows, 1.0)))
         value = b / np.maximum(a + b, 1e-300)
         splits = (n >= 2 * least) & (a > 0) & (b > 0) if level < depth else np.zeros(count, bool)
         feature, cut = np.full(count, -1), np.zeros(count, np.int64)
         if splits.any():
             number = np.cumsum(splits) - 1
-            inside = splits[node]
+            at = np.flatnonzero(splits[node])
             m = codes.shape[1]
             drawn = np.argsort(random.random((int(splits.sum()), m)), axis=1) < tries
-            at = alive[inside]
-            feature[splits], cut[splits] = _best_splits(codes[at], number[node[inside]], int(splits.sum()), w0[at], w1[at], rows[at], least, drawn)
+            feature[splits], cut[splits] = _best_splits(codes[at], number[node[at]], int(splits.sum()), w0[at], w1[at], rows[at], least, drawn, scale)
         inner = feature >= 0
         below = first + count + 2 * (np.cumsum(inner) - 1)
         out += [(first + i, int(feature[i]), float(cuts[feature[i]][cut[i]]) if inner[i] else 0.0, int(below[i]) if inner[i] else -1, float(value[i])) for i in range(count)]
         if not inner.any():
             break
-        moving = inner[node]
-        alive, node = alive[moving], node[moving]
-        node = below[node] - first - count + (codes[alive, feature[node]] > cut[node])
+        moving = np.flatnonzero(inner[node])
+        node = node[moving]
+        node = below[node] - first - count + (codes[moving, feature[node]] > cut[node])
+        bits = len(node).bit_length()
+        packed = np.sort(node << bits | np.arange(len(node)))  # rows of a node lie together
+        node, moving = packed >> bits, moving[packed & (1 << bits) - 1]
+        codes, w0, w1, rows = codes[moving], w0[moving], w1[moving], rows[moving]
         first, count = first + count, 2 * int(inner.sum())
     return out
 
@@ -217,29 +247,31 @@ def _coded_rows(rows: DataFrame, counts: dict[int, int], features: int, rows_per
 
 
 def fit_forest(rows: DataFrame, counts: dict[int, int], names: Sequence[str], *, trees: int, depth: int, least: int, share: float,
-               rows_per_class: int, bins: int, seed: int) -> TreeEnsemble:
-    """Random forest on rows(x array<double>, label int); `tries` is the square root of the features, as usual.
+               bins: int, seed: int, rows_per_class: int | None = None) -> TreeEnsemble | StoredForest:
+    """Random forest on all rows(x array<double>, label int); `tries` is the square root of the features, as usual.
 
-    At most about `rows_per_class` labelled rows of a class are used, a documented bound: they are what each group of trees
-    receives. Classes are balanced within each bootstrap, so the bound does not shift them. Two fits of equal rows are equal.
+    With `rows_per_class`, about so many of a class are used. Classes are balanced within each bootstrap. Two fits of equal
+    rows are equal. Trees go to a table; a forest of more than two million nodes stays there.
     """
-    if trees < 1 or depth < 1 or least < 1 or not 0 < share <= 1 or not 2 <= bins <= 256 or rows_per_class < 1:
+    if trees < 1 or depth < 1 or least < 1 or not 0 < share <= 1 or not 2 <= bins <= 256 or (rows_per_class is not None and rows_per_class < 1):
         raise ValidationError("forest settings out of range")
-    x, label, copies = _bounded_rows(rows, counts, rows_per_class, seed)
-    cuts = [even_cuts(x[:, j], bins) for j in range(x.shape[1])]
+    codes, label, copies, cuts = _coded_rows(rows, counts, len(names), rows_per_class, bins, seed)
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((code_rows(x, cuts), label, copies, cuts))
-    tries = max(1, int(np.sqrt(x.shape[1])))
-
-    def grow(key: tuple, _: pa.Table) -> pa.Table:
-        tree = key[0].as_py()
-        nodes = grow_tree(*shared.value, depth=depth, least=least, share=share, tries=tries, random=np.random.default_rng([seed, tree]))
-        columns = ([tree] * len(nodes), *zip(*nodes, strict=True))
-        return pa.table([pa.array(c, k) for c, k in zip(columns, _NODE_KINDS, strict=True)], _NODE_NAMES)
-
-    wanted = spark.range(trees).select(F.col("id").cast("int").alias("tree")).repartition(min(trees, 4 * spark.sparkContext.defaultParallelism), "tree")
-    nodes = wanted.groupBy("tree").applyInArrow(grow, NODE_SCHEMA).toPandas()  # bounded by trees x rows
-    return ensemble_from_nodes(nodes, names, "forest")
+    shared = spark.sparkContext.broadcast((codes, label, copies, cuts))
+    tries = max(1, int(np.sqrt(len(names))))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree in batch.column(0).to_pylist():
+                nodes = grow_tree(*shared.value, depth=depth, least=least, share=share, tries=tries, random=np.random.default_rng([seed, tree]))
+                _, feature, threshold, below, value = (np.array(c) for c in zip(*nodes, strict=True))
+                yield packed(tree, feature, threshold, below, value, cuts)
+
+    tasks = spark.range(0, trees, 1, min(trees, 4 * spark.sparkContext.defaultParallelism))
+    forest = stored_forest(tasks.mapInArrow(grow, TREE_SCHEMA), names, cuts, trees)
+    if forest.table.agg(F.sum("nodes")).first()[0] > _HELD:
+        return forest
+    return ensemble_from_nodes(forest.node_frame(rows).toPandas(), names, "forest")
 
 
 # --- boosting

@@ -111,19 +111,23 @@ class Walk:
         return out
 
     def _reached(self, codes: np.ndarray, root: int) -> np.ndarray:
-        """The leaf of one tree that each row reaches."""
-        n = codes.shape[1]
-        codes, reached = codes.ravel(), np.empty(n, np.int64)
-        at, row = np.full(n, root), np.arange(n)
-        while len(at):
-            for _ in range(_STEPS):
-                before, node = at, self.nodes.take(at)
-                code = codes.take((node >> self.low & (1 << self.high - self.low) - 1) * n + row)
-                at = (node >> self.high) + (code > (node & (1 << self.low) - 1))
-            moving = at != before
-            reached[row] = at
-            at, row = at[moving], row[moving]
-        return reached
+        return reached(self.nodes, self.low, self.high, codes, root)
+
+
+def reached(nodes: np.ndarray, low: int, high: int, codes: np.ndarray, root: int) -> np.ndarray:
+    """The leaf of one tree that each row reaches; a node holds its cut in the bits below `low`, its feature in those below `high`."""
+    n = codes.shape[1]
+    codes, leaf = codes.ravel(), np.empty(n, np.int64)
+    at, row = np.full(n, root), np.arange(n)
+    while len(at):
+        for _ in range(_STEPS):
+            before, node = at, nodes.take(at)
+            code = codes.take((node >> low & (1 << high - low) - 1) * n + row)
+            at = (node >> high) + (code > (node & (1 << low) - 1))
+        moving = at != before
+        leaf[row] = at
+        at, row = at[moving], row[moving]
+    return leaf
 
 
 def _side_by_side(roots: np.ndarray, inner: np.ndarray, below: np.ndarray, above: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from riskloom.errors import ValidationError
 from riskloom.operators.features import FeatureState
+from riskloom.operators.forests import StoredForest, forest_of_nodes
 from riskloom.operators.iforest import IsolationForest, forest_from_nodes
 from riskloom.operators.optimum import LogisticModel, model_from_weights
 from riskloom.operators.percentiles import build_index
@@ -22,7 +23,7 @@ from riskloom.operators.scoring import ANOMALY_BASIS, PROBABILITY_BASIS, Anomaly
 from riskloom.operators.trees import TreeEnsemble, ensemble_from_nodes
 
 FORMAT_VERSION = 1
-PROBABILITY_MODELS = ("LogisticRegressionModel", "LogisticModel", "TreeEnsemble")
+PROBABILITY_MODELS = ("LogisticRegressionModel", "LogisticModel", "TreeEnsemble", "StoredForest")
 #: Score kind and basis that belong to each kind of model.
 SCALES = dict.fromkeys(PROBABILITY_MODELS, ("probability", PROBABILITY_BASIS)) | {"IsolationForest": ("anomaly", ANOMALY_BASIS)}
 
@@ -71,6 +72,8 @@ def _settings(model: Any) -> dict[str, Any]:
         return {"trees": len(model.roots), "sample": model.sample}
     if isinstance(model, TreeEnsemble):
         return {"trees": len(model.roots), "kind": model.kind}
+    if isinstance(model, StoredForest):
+        return {"trees": model.trees, "kind": model.kind}
     if isinstance(model, LogisticModel):
         return {"features": model.numFeatures}
     return {p.name: str(v) for p, v in model.extractParamMap().items()}
@@ -98,7 +101,7 @@ def save_bundle(spark: SparkSession, path: str, scorer: Scorer, *, dataset_id: s
     if anomaly:
         scorer.model.node_frame(spark.range(0)).write.mode("overwrite").parquet(f"{path}/model")
         scorer.reference.table().write.mode("overwrite").parquet(f"{path}/reference")
-    elif isinstance(scorer.model, TreeEnsemble):
+    elif isinstance(scorer.model, (TreeEnsemble, StoredForest)):
         scorer.model.node_frame(spark.range(0)).write.mode("overwrite").parquet(f"{path}/model")
     elif isinstance(scorer.model, LogisticModel):
         scorer.model.weight_frame(spark).write.mode("overwrite").parquet(f"{path}/model")
@@ -135,6 +138,8 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Scorer, dict]:
     if manifest["score_kind"] == "probability":
         if manifest["model_type"] == "TreeEnsemble":
             model = ensemble_from_nodes(spark.read.parquet(f"{path}/model").toPandas(), state.names, manifest["model_config"]["kind"])
+        elif manifest["model_type"] == "StoredForest":
+            model = forest_of_nodes(spark.read.parquet(f"{path}/model"), state.names, manifest["model_config"]["trees"])
         elif manifest["model_type"] == "LogisticModel":
             model = model_from_weights(spark.read.parquet(f"{path}/model").collect())  # one row per feature
         else:
