@@ -59,6 +59,8 @@ def fit_logistic(training: Training, c: float = 1.0, **settings):
     model = LogisticRegression(weightCol="weight", regParam=1.0 / (c * training.total), **options).fit(_balanced(training))
     if model.summary.totalIterations >= options["maxIter"]:
         raise ValidationError("Logistic regression did not converge within the iteration limit")
+    # The summary holds the session, which cannot be sent to tasks once it has observed a metric (as `read_csv` does).
+    model._java_obj.setSummary(training.rows.sparkSession._jvm.scala.Option.empty())
     return model
 
 

@@ -5,7 +5,7 @@ from unittest.mock import MagicMock
 import numpy as np
 import pytest
 from conftest import NAMES, modular_toy, wide_frame
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from riskloom.errors import ValidationError
 from riskloom.operators import evaluate, features, iforest, metrics, models, percentiles, scoring
@@ -55,6 +55,15 @@ def test_trees_are_deterministic_and_need_both_classes(prepared):
         models.training_rows(out.withColumn("Class", F.lit(0)), state, "Class")
 
 
+def test_logistic_scores_in_a_session_that_has_observed_metrics(spark, prepared):
+    out, state = prepared
+    seen = Observation()
+    out.observe(seen, F.count("*").alias("n")).count()
+    assert seen.get["n"] == 400
+    model = models.fit_logistic(models.training_rows(out, state, "Class"))
+    assert scoring.score_batch(out, scoring.ProbabilityScorer("logistic", model, state), ["Class"]).where("raw_score between 0 and 1").count() == 400
+
+
 def test_probability_scores_bands_and_alerts(prepared, logistic):
     out, state = prepared
     scorer = scoring.ProbabilityScorer("logistic", logistic, state, policy=scoring.BandPolicy(25, 65))
