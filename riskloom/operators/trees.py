@@ -221,15 +221,15 @@ def grow_tree(codes: np.ndarray, label: np.ndarray, copies: np.ndarray, cuts: Se
     return out
 
 
-def _bounded_rows(rows: DataFrame, counts: dict[int, int], rows_per_class: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, label, copies) of about `rows_per_class` rows of each class, chosen and ordered by a digest of the row.
-
-    Equal rows share a digest and come as one row with its copies, combined before the shuffle, so they cannot swell the set.
-    """
-    digest = F.xxhash64(F.lit(seed), "x", "label")
+def _drawn_rows(rows: DataFrame, counts: dict[int, int], rows_per_class: int, seed: int) -> DataFrame:
+    """About `rows_per_class` rows of each class, chosen by a digest of the row, for a caller who asks for no more."""
     share = F.when(F.col("label") == 1, min(1.0, rows_per_class / counts[1])).otherwise(min(1.0, rows_per_class / counts[0]))
-    kept = rows.withColumn("digest", digest).where(F.pmod("digest", F.lit(1 << 32)) < share * (1 << 32))
-    found = kept.groupBy("digest", "label", "x").agg(F.count("*").alias("copies")).toPandas()
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "x", "label"), F.lit(1 << 32)) < share * (1 << 32))
+
+
+def _distinct_rows(rows: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, label, copies) of all of a few rows, ordered by a digest of the row; equal rows come as one, combined before the shuffle."""
+    found = rows.withColumn("digest", F.xxhash64(F.lit(seed), "x", "label")).groupBy("digest", "label", "x").agg(F.count("*").alias("copies")).toPandas()
     found["x"] = found["x"].map(tuple)
     found = found.sort_values(["digest", "label", "x"])
     return np.array(found["x"].tolist(), np.float64), found["label"].to_numpy(np.int64), found["copies"].to_numpy(np.int64)
@@ -238,10 +238,12 @@ def _bounded_rows(rows: DataFrame, counts: dict[int, int], rows_per_class: int,
 def _coded_rows(rows: DataFrame, counts: dict[int, int], features: int, rows_per_class: int | None, bins: int,
                 seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """(codes, label, copies, cuts) of all rows, or of about `rows_per_class` of each class where a caller asks for that."""
-    if rows_per_class is None and max(counts.values()) > _ONE_BY_ONE:
+    if rows_per_class is not None:
+        rows = _drawn_rows(rows, counts, rows_per_class, seed)
+    elif max(counts.values()) > _ONE_BY_ONE:
         cuts = grid_cuts(rows, features, sum(counts.values()), bins)
         return *count_cells(rows, cuts), cuts
-    x, label, copies = _bounded_rows(rows, counts, rows_per_class or max(counts.values()), seed)
+    x, label, copies = _distinct_rows(rows, seed)
     cuts = [even_cuts(x[:, j], bins) for j in range(features)]
     return code_rows(x, cuts), label, copies, cuts
 
