@@ -77,9 +77,9 @@ def grid_cuts(rows: DataFrame, features: int, total: int, bins: int) -> list[np.
     cuts = {j: _middles(v[:-1], v[1:]) for j, v in few.items()}
     if many:
         wide = rows.select(*[F.col("x")[j].alias(f"c{j}") for j in many])
-        ranks = {str(i): F.expr(f"total * {i} div {bins} + 1") for i in range(1, bins)}
-        buckets = max(bucket_count(wide, len(many)), min(MAX_BUCKETS, 16 * bins, 65_536 // len(many)))
-        found = locate_ranks(wide, [f"c{j}" for j in many], ranks, buckets=buckets, rows=total).select("column_name", "value").distinct().toPandas()
+        ranks = F.expr(f"transform(sequence(1, {bins - 1}), i -> named_struct('rank_label', CAST(i AS STRING), 'rank', CAST(total * i div {bins} + 1 AS BIGINT)))")
+        buckets = max(bucket_count(wide, len(many)), min(MAX_BUCKETS, 8 * bins, 65_536 // len(many)))
+        found = locate_ranks(wide, [f"c{j}" for j in many], ranks, buckets=buckets, rows=total, most=bins).select("column_name", "value").distinct().toPandas()
         at = {j: np.sort(found["value"][found["column_name"] == f"c{j}"].to_numpy()) for j in many}
         for j, below in _next_below(rows, at).items():
             inside = np.isfinite(below)

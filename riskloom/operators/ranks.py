@@ -73,15 +73,16 @@ def _hint(df: DataFrame, rows: int) -> DataFrame:
 def locate_ranks(
     df: DataFrame,
     columns: Sequence[str],
-    ranks: Mapping[str, Column],
+    ranks: Mapping[str, Column] | Column,
     keys: Sequence[str] = (),
     buckets: int | None = None,
     rows: int | None = None,
+    most: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Values found at given 1-based ranks of each column, per key group.
 
     `ranks` maps a label to an integer expression over `total`, the number of non-missing values of
-    the group. Result: keys, column_name, total, rank_label, rank, value, n_below, n_upto, where
+    the group; many ranks can be one array of structs (rank_label, rank) instead, of at most `most`. Result: keys, column_name, total, rank_label, rank, value, n_below, n_upto, where
     n_below counts values strictly smaller and n_upto values not greater.
 
     Two narrow passes instead of a sort: a histogram over (keys, column, bucket) tells which bucket
@@ -110,7 +111,8 @@ def locate_ranks(
         .withColumn("before", F.sum("n").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
         .withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
     )
-    wanted = F.explode(F.array(*[
+    single = isinstance(ranks, Column)
+    wanted = F.explode(ranks if single else F.array(*[
         F.struct(F.lit(label).alias("rank_label"), rank.cast("long").alias("rank")) for label, rank in ranks.items()
     ])).alias("target")
     targets = (
@@ -119,7 +121,7 @@ def locate_ranks(
         .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
         .drop("n")
     )
-    bound = groups * len(columns) * len(ranks)
+    bound = groups * len(columns) * (most if single else len(ranks))
     chosen = targets.select(*group, "bucket", "before").distinct()
     in_bucket = Window.partitionBy(*group, "bucket").orderBy("value")
     counted = (
